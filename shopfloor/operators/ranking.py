@@ -68,9 +68,14 @@ def rank_by_value(
     out: str = "rank",
     method: str = "rank",
     descending: bool = True,
+    bounded_values: bool = True,
 ) -> DataFrame:
     """Add ``out`` = ``rank()`` or ``dense_rank()`` of ``col`` over all rows of ``df``.
 
+    ``bounded_values`` states that ``col`` is a per-group row count (see the
+    module docstring); for other columns pass False and the join is left to
+    the planner's size estimates and AQE.
+
     ``df`` is typically already aggregated (one row per group). NULL values
     rank last, as in ``ORDER BY col DESC NULLS LAST``; ranks are BIGINT.
     """
@@ -84,6 +89,11 @@ def rank_by_value(
         ranked = values.select(col, F.row_number().over(w).cast("bigint").alias(out))
     else:
         raise ValueError(method)
+    if bounded_values:
+        # Counts: Σ counts = N allows at most sqrt(2N) distinct values (1.4 M rows
+        # for N = 10^12), a proven bound, and the join key is heavily skewed
+        # (many groups share a count), so the ranked values are broadcast.
+        ranked = F.broadcast(ranked)
     return df.join(ranked, df[col].eqNullSafe(ranked[col])).drop(ranked[col])
 
 

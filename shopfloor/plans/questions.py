@@ -136,8 +136,10 @@ def q16_vendors_by_part_name(r: Roles, pattern: str = "%ENGINE OIL%") -> DataFra
 def q17_purchase_cost_by_part_name(r: Roles, pattern: str = "%COLOUR%") -> DataFrame:
     """Total purchase cost per part name for names matching ``pattern``."""
     parts = r.part.where(F.col("spname").like(pattern)).select("spid", "spname")
-    return (r.purchase.select("spid", "total").join(parts, "spid")
-            .groupBy("spname").agg(money_sum("total").alias("total_purchase_cost")))
+    per_part = present(r.purchase.select("spid", "total"), parts.select("spid"), ["spid"]) \
+        .groupBy("spid").agg(money_sum_exact("total").alias("_t"))  # one row per part before the join
+    return (per_part.join(parts, "spid")
+            .groupBy("spname").agg(F.sum("_t").cast("double").alias("total_purchase_cost")))
 
 
 def q18_purchased_unused_parts(r: Roles) -> DataFrame:
@@ -183,7 +185,7 @@ def q24_customers_of_max_gst_part(r: Roles) -> DataFrame:
     """Customer and part for services using a part that was bought at the highest GST."""
     cust, _, part, _ = _names(r)
     hot = keys_of(rows_at(r.purchase, "spgst", "max"), "spid")
-    used = present(r.service.select("cid", "spid"), hot, ["spid"])
+    used = present(r.service.select("cid", "spid"), hot, ["spid"]).distinct()
     return used.join(cust, "cid").join(part, "spid").select("cname", "spname").distinct()
 
 
@@ -359,8 +361,10 @@ def q46_null_salary_services(r: Roles) -> DataFrame:
 
 
 def _purchase_by_location(r: Roles, out: str) -> DataFrame:
-    return (r.purchase.select("vid", "total").join(r.vendor.select("vid", "vadd"), "vid")
-            .groupBy("vadd").agg(money_sum("total").alias(out)))
+    # Sum per vendor first (exact decimals), so the join sees one row per vendor.
+    per_vendor = r.purchase.groupBy("vid").agg(money_sum_exact("total").alias("_t"))
+    return (per_vendor.join(r.vendor.select("vid", "vadd"), "vid")
+            .groupBy("vadd").agg(F.sum("_t").cast("double").alias(out)))
 
 
 def q47_purchase_total_by_location(r: Roles) -> DataFrame:

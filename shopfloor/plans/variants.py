@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfloor.functions.money import as_money, money_sum
+from shopfloor.functions.money import as_money, money_sum, money_sum_exact
 from shopfloor.operators.extremes import rows_at, top_n
 from shopfloor.operators.keep_first import first_per_key
 from shopfloor.operators.membership import absent, keys_of
@@ -39,9 +39,14 @@ def v03_first_per_comm(r: Roles) -> DataFrame:
     return first_per_key(v03_zero_comm_rows(r), ["comm"], ["ename"])
 
 
+def _per_employee(r: Roles, *aggs) -> DataFrame:
+    """Aggregate service rows per employee id first, then attach the employee."""
+    return r.service.groupBy("eid").agg(*aggs).join(r.employee.select("eid", "ename", "esal"), "eid")
+
+
 def v04_max_comm_per_employee(r: Roles) -> DataFrame:
     """The employee name with the largest single commission (ties → smallest name)."""
-    per = _served_by(r).groupBy("ename").agg(F.max("comm").alias("max_comm"))
+    per = _per_employee(r, F.max("comm").alias("_m")).groupBy("ename").agg(F.max("_m").alias("max_comm"))
     return top_n(per, [F.col("max_comm").desc_nulls_last(), F.col("ename").asc()], 1)
 
 
@@ -60,7 +65,7 @@ def v04_top1_row(r: Roles) -> DataFrame:
 
 def v05_min_comm_per_employee(r: Roles) -> DataFrame:
     """Smallest commission per employee name, zeros included."""
-    return _served_by(r).groupBy("ename").agg(F.min("comm").alias("min_comm"))
+    return _per_employee(r, F.min("comm").alias("_m")).groupBy("ename").agg(F.min("_m").alias("min_comm"))
 
 
 def v05_bottom1_positive(r: Roles) -> DataFrame:
@@ -82,8 +87,9 @@ def v07_last_n_ascending(r: Roles, n: int = 4) -> DataFrame:
 
 def v10_top_total_spender(r: Roles) -> DataFrame:
     """The customer name with the largest total spend (ties → smallest name)."""
-    per = r.service.join(r.customer.select("cid", "cname"), "cid") \
-        .groupBy("cname").agg(money_sum("total").alias("sum_total"))
+    per_cid = r.service.groupBy("cid").agg(money_sum_exact("total").alias("_t"))
+    per = per_cid.join(r.customer.select("cid", "cname"), "cid") \
+        .groupBy("cname").agg(F.sum("_t").cast("double").alias("sum_total"))
     return top_n(per, [F.col("sum_total").desc_nulls_last(), F.col("cname").asc()], 1)
 
 
@@ -106,8 +112,9 @@ def v12_service_rows_by_vehicle_type(r: Roles, vehicle_type: str = "TWO WHEELER"
 
 def v13_part_usage_counts(r: Roles) -> DataFrame:
     """Number of services per part name."""
-    return r.service.select("spid").join(r.part.select("spid", "spname"), "spid") \
-        .groupBy("spname").agg(F.count("*").alias("usage_count"))
+    per_part = r.service.groupBy("spid").agg(F.count("*").alias("_n"))
+    return per_part.join(r.part.select("spid", "spname"), "spid") \
+        .groupBy("spname").agg(F.sum("_n").cast("bigint").alias("usage_count"))
 
 
 def v15_income_per_service(r: Roles) -> DataFrame:
@@ -129,8 +136,10 @@ def v18_unused_purchase_rows(r: Roles) -> DataFrame:
 
 def v20_margin_per_employee(r: Roles) -> DataFrame:
     """Per employee name: Σ (monthly salary − service bill) over their services."""
-    term = as_money(F.col("esal")) - as_money(F.col("total"))
-    return _served_by(r).groupBy("ename").agg(F.sum(term).cast("double").alias("margin"))
+    # Σ(esal − total) over an employee's n services = n·esal − Σ total (NULL when esal is NULL).
+    per = _per_employee(r, F.count("*").alias("_n"), money_sum_exact("total").alias("_t"))
+    term = as_money(F.col("esal")) * F.col("_n") - F.col("_t")
+    return per.groupBy("ename").agg(F.sum(term).cast("double").alias("margin"))
 
 
 def v24_top_service_gst(r: Roles) -> DataFrame:

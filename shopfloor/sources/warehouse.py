@@ -37,11 +37,14 @@ equality, grouping and printed values agree across engines.
 
 from __future__ import annotations
 
+import hashlib
 import os
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopfloor.session import ensure_checkpoint_dir
 from shopfloor.sources.roles import Roles
 
 WAREHOUSE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -141,3 +144,36 @@ def roles_from_tables(t: dict[str, DataFrame]) -> Roles:
 
 def warehouse_roles(spark: SparkSession, folder: str) -> Roles:
     return roles_from_tables(read_warehouse(spark, folder))
+
+
+_PERSISTED: dict[tuple[str, str], Roles] = {}
+
+
+def persist_facts(spark: SparkSession, roles: Roles, tag: str) -> Roles:
+    """Write the two derived facts once as Parquet in the shared checkpoint folder.
+
+    Deriving ``service`` joins lineitem with orders; a suite of questions would
+    otherwise repeat that join (a full shuffle of both tables) in every query.
+    The facts are written once under ``<checkpoint dir>/shopfloor_roles/<tag>``
+    — the folder the cluster names in ``spark.checkpoint.dir``, never a
+    machine-local temp dir — and read back as Parquet, so every later query
+    gets column pruning and filter pushdown on the narrow fact instead of the
+    join. The write is a normal Spark job: lost executors only re-run tasks.
+    """
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    target = f"{base}/shopfloor_roles/{tag}"
+    facts = {}
+    for fact in ("service", "purchase"):
+        path = f"{target}/{fact}"
+        getattr(roles, fact).write.mode("overwrite").parquet(path)
+        facts[fact] = spark.read.parquet(path)
+    return replace(roles, **facts).validate()
+
+
+def suite_roles(spark: SparkSession, folder: str) -> Roles:
+    """Warehouse roles with persisted facts, built once per application and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _PERSISTED:
+        tag = hashlib.sha1(folder.encode()).hexdigest()[:16]
+        _PERSISTED[key] = persist_facts(spark, warehouse_roles(spark, folder), tag)
+    return _PERSISTED[key]
