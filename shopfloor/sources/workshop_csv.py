@@ -81,6 +81,14 @@ def read_role_csv(spark: SparkSession, path: str, role: str) -> DataFrame:
 
 
 def read_workshop_csv(spark: SparkSession, folder: str) -> Roles:
-    """Load the six CSV files in ``folder`` as :class:`Roles`."""
+    """Load the six CSV files in ``folder`` as :class:`Roles`.
+
+    CSV filter pushdown is switched off for the session: on Spark 4.1 a
+    predicate that the optimizer folds to ``true`` (e.g. after a join with an
+    empty side is removed) is pushed as ``AlwaysTrue`` and makes the CSV parser
+    fail with an index error. Pushdown into a CSV parser only saves converting
+    rejected rows; it never skips reading, so nothing is lost.
+    """
+    spark.conf.set("spark.sql.csv.filterPushdown.enabled", "false")
     frames = {role: read_role_csv(spark, _resolve(folder, role), role) for role in FILE_NAMES}
     return Roles(**frames).validate()
