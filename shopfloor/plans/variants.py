@@ -176,8 +176,8 @@ def v35_salary_grade_bands(r: Roles, bands: Sequence[tuple[float, str]] = (
     for limit, label in bands:
         hit = F.col("esal") > limit
         expr = F.when(hit, label) if expr is None else expr.when(hit, label)
-    return r.employee.select("ename", "esal", expr.otherwise(otherwise).alias("grade")) \
-        .orderBy(F.col("esal").desc_nulls_last(), "ename")
+    return r.employee.select("eid", "ename", "esal", expr.otherwise(otherwise).alias("grade")) \
+        .orderBy(F.col("esal").desc_nulls_last(), "ename", "eid").drop("eid")
 
 
 def v39_same_city_as_employee(r: Roles) -> DataFrame:
