@@ -1,0 +1,9 @@
+"""Streaming entry points.
+
+The workshop questions are all batch questions over complete tables; the
+source notebooks contain no stream, watermark or stateful operator, so this
+package deliberately holds no operator. Every question plan is a plain
+DataFrame over :class:`~shopfloor.sources.roles.Roles`, so a caller with a
+streaming ``service`` source can still apply the stateless ones (filters,
+projections, joins with static dimensions) to it unchanged.
+"""
