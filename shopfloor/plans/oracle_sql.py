@@ -1,19 +1,33 @@
-"""Independent SQL for every registered question, over the raw warehouse tables.
-
-Each statement restates the role mapping of :mod:`shopfloor.sources.warehouse`
-as CTEs and answers the question the direct way — including the quadratic
-pair listings (q27, q40, q60) that the Spark plans factorise — so the oracle
-checks the factorisation against brute force. Written for DuckDB; column
-names and types match the Spark results (counts and day differences BIGINT,
-money summed as DECIMAL(18,2) and returned as DOUBLE).
+"""Independent SQL for every registered question.
+
+Each question is answered the direct way in SQL over six views named
+``r_customer r_service r_employee r_part r_purchase r_vendor`` — including
+the quadratic pair listings (q27, q40, q60) that the DataFrame plans
+factorise, so the SQL checks the factorisation against brute force.
+
+* :func:`oracle_queries` prefixes the statements with CTEs that restate the
+  warehouse role mapping of :mod:`shopfloor.sources.warehouse`, for DuckDB
+  over the raw warehouse tables (the driver's correctness oracle).
+* :func:`sql_forms` gives the same statements with the questions' default
+  (or given) literals, to run with ``spark.sql`` over roles registered as
+  views (``Roles.register_views(prefix="r_")``). Two statements use DuckDB-only
+  syntax and have no Spark form (:data:`DUCKDB_ONLY`).
+
+Column names and types match the DataFrame results (counts and day
+differences BIGINT, money summed as DECIMAL(18,2) and returned as DOUBLE).
 """
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
+
 from shopfloor.functions.words import amount_in_words_sql
-from shopfloor.plans.catalog import WAREHOUSE_PARAMS
+from shopfloor.plans.catalog import ALL, WAREHOUSE_PARAMS
 from shopfloor.plans.common import SERVICE_ORDER
 
+DUCKDB_ONLY = frozenset({"q48_purchase_total_in_words", "q60_part_age_at_use"})
+
 ROLES_SQL = """
 r_customer AS (
   SELECT c_custkey AS cid, c_name AS cname, n_name AS cadd, c_mktsegment AS gender
@@ -51,17 +65,22 @@ r_purchase AS (
 
 SVC_COLS = ", ".join(SERVICE_ORDER)
 SVC_ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in SERVICE_ORDER)
-EMP_COLS = "eid, ename, ejob, eadd, esal, edoj, edol"
 PART_COLS = "spid, spname, sprate, spunit"
-PUR_COLS = "pid, vid, spid, pqty, sprate, spgst, pdate, total"
 
 
 def money(expr: str) -> str:
     return f"CAST(SUM(CAST({expr} AS DECIMAL(18,2))) AS DOUBLE)"
 
 
+_resolve: Callable[[str, str], object]
+
+
 def _p(name: str, key: str):
-    return WAREHOUSE_PARAMS[name][key]
+    return _resolve(name, key)
+
+
+def _default(name: str, key: str):
+    return inspect.signature(ALL[name]).parameters[key].default
 
 
 def _lit_list(values) -> str:
@@ -72,7 +91,9 @@ def _svc(prefix: str) -> str:
     return ", ".join(f"{prefix}.{c}" for c in SERVICE_ORDER)
 
 
-def _queries() -> dict[str, str]:
+def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
+    global _resolve
+    _resolve = resolve
     q: dict[str, str] = {}
     q["q01_serviced_customers"] = "SELECT DISTINCT c.cname FROM r_customer c JOIN r_service s ON c.cid = s.cid"
     q["q02_unserviced_customers"] = (
@@ -88,7 +109,7 @@ def _queries() -> dict[str, str]:
     q["q06_middle_record"] = (
         f"SELECT {SVC_COLS} FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {SVC_ORDER}) AS rn, "
         f"COUNT(*) OVER () AS n FROM r_service) WHERE rn = CAST(CEIL(n / 2.0) AS BIGINT)")
-    q["q07_last_n_records"] = f"SELECT {EMP_COLS} FROM r_employee ORDER BY eid DESC LIMIT 4"
+    q["q07_last_n_records"] = "SELECT * FROM r_employee ORDER BY eid DESC LIMIT 4"
     q["q08_row_count_no_count"] = "SELECT CAST(SUM(1) AS BIGINT) AS record_count FROM r_employee"
     q["q09_first_service_per_customer"] = (
         f"SELECT {SVC_COLS} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cid ORDER BY {SVC_ORDER}) AS rn "
@@ -176,8 +197,7 @@ def _queries() -> dict[str, str]:
     q["q35_salary_grade_rank"] = (
         "SELECT ename, esal, CASE WHEN dr <= 2 THEN 'A' WHEN dr <= 4 THEN 'B' ELSE 'C' END AS salary_grade "
         "FROM (SELECT ename, esal, DENSE_RANK() OVER (ORDER BY esal DESC NULLS LAST) AS dr FROM r_employee)")
-    q["q36_nth_record"] = (
-        f"SELECT {EMP_COLS} FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY eid) AS rn FROM r_employee) WHERE rn = 4")
+    q["q36_nth_record"] = "SELECT * FROM r_employee ORDER BY eid LIMIT 1 OFFSET 3"
     q["q37_default_commission"] = (
         "SELECT sid, eid, comm, CASE WHEN comm IS NULL OR comm = 0 THEN 100 ELSE comm END AS new_commission "
         "FROM r_service")
@@ -307,7 +327,7 @@ def _queries() -> dict[str, str]:
         "SELECT sp.spname, p.total FROM r_purchase p JOIN r_part sp ON p.spid = sp.spid "
         f"WHERE p.spid IN ({_lit_list(_p('v17_colour_purchase_rows', 'part_ids'))})")
     q["v18_unused_purchase_rows"] = (
-        f"SELECT {PUR_COLS} FROM r_purchase p WHERE NOT EXISTS (SELECT 1 FROM r_service s WHERE s.spid = p.spid)")
+        "SELECT p.* FROM r_purchase p WHERE NOT EXISTS (SELECT 1 FROM r_service s WHERE s.spid = p.spid)")
     q["v20_margin_per_employee"] = (
         "SELECT e.ename, CAST(SUM(CAST(e.esal AS DECIMAL(18,2)) - CAST(s.total AS DECIMAL(18,2))) AS DOUBLE) "
         f"AS margin FROM {served} GROUP BY e.ename")
@@ -326,7 +346,8 @@ def _queries() -> dict[str, str]:
     bands = _p("v35_salary_grade_bands", "bands")
     cases = " ".join(f"WHEN esal > {limit} THEN '{label}'" for limit, label in bands)
     q["v35_salary_grade_bands"] = (
-        f"SELECT ename, esal, CASE {cases} ELSE 'Grade E' END AS grade FROM r_employee "
+        f"SELECT ename, esal, CASE {cases} ELSE '{_p('v35_salary_grade_bands', 'otherwise')}' END AS grade "
+        "FROM r_employee "
         "ORDER BY esal DESC NULLS LAST, ename")
     q["v39_same_city_as_employee"] = (
         "SELECT s.sid, c.cname, c.cadd, s.veh_no, s.typ_ser, s.type_veh FROM r_service s "
@@ -351,10 +372,24 @@ def _queries() -> dict[str, str]:
     return q
 
 
+def sql_forms(params: dict[str, dict] | None = None) -> dict[str, str]:
+    """Statements over the ``r_*`` views with default literals (overridden per question by ``params``)."""
+    params = params or {}
+
+    def resolve(name: str, key: str):
+        return params.get(name, {}).get(key, _default(name, key))
+
+    return {k: v for k, v in _queries(resolve).items() if k not in DUCKDB_ONLY}
+
+
 def oracle_queries() -> dict[str, str]:
-    """Full statements: role CTEs + question body."""
+    """Full DuckDB statements over the warehouse tables: role CTEs + question body."""
+
+    def resolve(name: str, key: str):
+        return WAREHOUSE_PARAMS[name][key] if key in WAREHOUSE_PARAMS.get(name, {}) else _default(name, key)
+
     out = {}
-    for name, body in _queries().items():
+    for name, body in _queries(resolve).items():
         if body.lstrip().upper().startswith("WITH "):
             out[name] = "WITH " + ROLES_SQL.strip() + ",\n" + body.lstrip()[5:]
         else:

@@ -19,6 +19,13 @@ ROLE_COLUMNS = {
 }
 
 
+# View names under which the workshop notebooks query the six tables with SQL.
+TABLE_VIEW_NAMES = {
+    "customer": "customer_table", "service": "ser_det_table", "employee": "employee_table",
+    "part": "sparepart_table", "purchase": "purchase_table", "vendor": "vendor_table",
+}
+
+
 @dataclass(frozen=True)
 class Roles:
     """Lazy DataFrames for the workshop star schema.
@@ -43,7 +50,12 @@ class Roles:
                 raise ValueError(f"role {role!r} lacks columns {missing}")
         return self
 
-    def register_views(self, prefix: str = "") -> None:
-        """Expose the roles to ``spark.sql`` as temp views."""
+    def register_views(self, prefix: str = "", names: dict[str, str] | None = None) -> None:
+        """Expose the roles to ``spark.sql`` as temp views.
+
+        Views are named ``prefix + role`` (``customer``, ``service``, ...) or, with
+        ``names``, by an explicit role → view mapping such as :data:`TABLE_VIEW_NAMES`.
+        """
         for role in ROLE_COLUMNS:
-            getattr(self, role).createOrReplaceTempView(f"{prefix}{role}")
+            view = names[role] if names else f"{prefix}{role}"
+            getattr(self, role).createOrReplaceTempView(view)
