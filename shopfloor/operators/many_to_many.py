@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
+from shopfloor.operators.hot_keys import split_join
+
 
 def summarise_matches(
     left: DataFrame,
@@ -22,11 +24,17 @@ def summarise_matches(
     key: str,
     aggs: Sequence[Column],
     how: str = "inner",
+    right_extra: DataFrame | None = None,
 ) -> DataFrame:
     """Each ``left`` row joined with ``aggs`` over the ``right`` rows sharing ``key``.
 
     With ``how='inner'`` left rows without a match are dropped, as in an inner
     many-to-many join; ``how='left'`` keeps them with NULL summaries.
+    ``right_extra`` (one row per key, e.g. a dimension) is attached to the
+    per-key summaries first, so the large side is joined once. That join
+    splits hot keys (:func:`~shopfloor.operators.hot_keys.split_join`).
     """
     per_key = right.groupBy(key).agg(*aggs)
-    return left.join(per_key, key, how)
+    if right_extra is not None:
+        per_key = per_key.join(right_extra, key, "inner" if how == "inner" else "left")
+    return split_join(left, per_key, key, how)

@@ -216,8 +216,8 @@ def q27_service_supply_report(r: Roles) -> DataFrame:
     parts that were never bought are dropped, as in the inner join.
     """
     cust, _, part, _ = _names(r)
-    uses = r.service.select("cid", "veh_no", "spid").distinct().join(cust, "cid").join(part, "spid") \
-        .select("cname", "veh_no", "spid", "spname").distinct()
+    uses = r.service.select("cid", "veh_no", "spid").distinct().join(cust, "cid") \
+        .select("cname", "veh_no", "spid").distinct()
     supply = (r.purchase.select("spid", "pdate", "vid")
               .join(r.vendor.select("vid", "vname", "vadd"), "vid")
               .select("spid", "pdate", "vid", "vname", "vadd").distinct())
@@ -226,7 +226,8 @@ def q27_service_supply_report(r: Roles) -> DataFrame:
         F.min("pdate").alias("first_pdate"),
         F.max("pdate").alias("last_pdate"),
         F.count_distinct("vid").alias("n_vendors"),
-    ])
+    ], right_extra=part).select("cname", "veh_no", "spid", "spname", "n_supply_records", "first_pdate",
+                                "last_pdate", "n_vendors")
 
 
 def q28_vehicle_owner(r: Roles, veh_no: str = "MH14PA335") -> DataFrame:
@@ -473,7 +474,7 @@ def q60_part_age_at_use(r: Roles) -> DataFrame:
         F.min("pdate").alias("_first"),
         F.max("pdate").alias("_last"),
         F.sum(epoch_day).alias("_sum_day"),
-    ]).join(part, "spid")
+    ], right_extra=part)
     use_day = F.unix_date(F.col("ser_date")).cast("bigint")
     return per_service.select(
         *r.service.columns, "spname", "n_purchases",
