@@ -26,9 +26,9 @@ HOT_FRACTION = 1e-3
 
 def hot_keys(df: DataFrame, key: str, hot_fraction: float = HOT_FRACTION) -> DataFrame:
     """Keys of ``df`` holding at least ``hot_fraction`` of its rows (at most 1/hot_fraction keys)."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*")).scalar()
-    return counts.where(F.col("_n") >= total * F.lit(hot_fraction)).select(key)
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()  # same aggregate: its exchange is reused
+    return counts.where(F.col(key).isNotNull() & (F.col("_n") >= total * F.lit(hot_fraction))).select(key)
 
 
 def split_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
