@@ -24,8 +24,9 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = sys.argv[1:]
-    spark = local_session(cpus, shuffle_partitions=max(8, 2 * int(cpus)) if cpus.isdigit() else 16,
-                          app="shopfloor-bench")
+    default_parts = max(8, 2 * int(cpus)) if cpus.isdigit() else 16
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", default_parts))
+    spark = local_session(cpus, shuffle_partitions=parts, app="shopfloor-bench")
     spark.sparkContext.setLogLevel("ERROR")
     raw = warehouse_roles(spark, sf_dir)
     # Warm-up: JVM class loading and the Parquet footers, not counted.

@@ -216,18 +216,18 @@ def q27_service_supply_report(r: Roles) -> DataFrame:
     parts that were never bought are dropped, as in the inner join.
     """
     cust, _, part, _ = _names(r)
-    uses = r.service.select("cid", "veh_no", "spid").distinct().join(cust, "cid") \
-        .select("cname", "veh_no", "spid").distinct()
+    uses = r.service.select("cid", "veh_no", "spid").distinct()
     supply = (r.purchase.select("spid", "pdate", "vid")
               .join(r.vendor.select("vid", "vname", "vadd"), "vid")
               .select("spid", "pdate", "vid", "vname", "vadd").distinct())
+    cols = ["cname", "veh_no", "spid", "spname", "n_supply_records", "first_pdate", "last_pdate", "n_vendors"]
+    # The summary columns depend on spid only, so the final distinct is over (cname, veh_no, spid).
     return summarise_matches(uses, supply, "spid", [
         F.count("*").alias("n_supply_records"),
         F.min("pdate").alias("first_pdate"),
         F.max("pdate").alias("last_pdate"),
         F.count_distinct("vid").alias("n_vendors"),
-    ], right_extra=part).select("cname", "veh_no", "spid", "spname", "n_supply_records", "first_pdate",
-                                "last_pdate", "n_vendors")
+    ], right_extra=part).join(cust, "cid").select(*cols).distinct()
 
 
 def q28_vehicle_owner(r: Roles, veh_no: str = "MH14PA335") -> DataFrame:
