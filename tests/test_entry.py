@@ -1,4 +1,6 @@
-"""The driver contract in __spark_entry__.py."""
+"""The driver contract in __spark_entry__.py, and the command line."""
+
+import os
 
 import __spark_entry__ as E
 
@@ -18,3 +20,12 @@ def test_entry_runs_on_smallest_tables(spark):
 def test_query_callables_take_spark_and_folder(spark):
     df = E.queries()["q23_count_by_vehicle_type"](spark, "/root/testdata/sf0.001")
     assert sorted(r.type_veh for r in df.collect()) == ["A", "N", "R"]
+
+
+def test_cli_lists_and_runs(capsys, spark):
+    from shopfloor.__main__ import main
+
+    assert main(["--list"]) == 0
+    assert "q47_purchase_total_by_location" in capsys.readouterr().out
+    assert main(["--csv", os.path.join(os.path.dirname(__file__), "fixtures", "edition_a"), "q47"]) == 0
+    assert "PUNE" in capsys.readouterr().out
