@@ -48,15 +48,20 @@ def grade_by_dense_rank(
     # Threshold for rank <= k: the k-th best distinct value (or the worst one if fewer exist).
     pos = F.row_number().over(Window.orderBy(F.col(col).desc() if descending else F.col(col).asc()))
     ranked_top = top.withColumn("_dr", pos)  # at most kmax rows
-    n_distinct = ranked_top.agg(F.count("*")).scalar()
+    pick = F.min if descending else F.max
+    # One scalar subquery (a struct) carries every threshold and the distinct count;
+    # Spark evaluates it once however often its fields are referenced.
+    cut = ranked_top.agg(F.struct(
+        F.count("*").alias("n"),
+        *[pick(F.when(F.col("_dr") <= k, F.col(col))).alias(f"t{i}") for i, (k, _) in enumerate(bands)],
+    )).scalar()
     expr = None
     null_expr = None
-    for k, label in bands:
-        pick = F.min(col) if descending else F.max(col)
-        thr = ranked_top.where(F.col("_dr") <= k).agg(pick).scalar()
+    for i, (k, label) in enumerate(bands):
+        thr = cut.getField(f"t{i}")
         hit = (F.col(col) >= thr) if descending else (F.col(col) <= thr)
         expr = F.when(hit, label) if expr is None else expr.when(hit, label)
-        null_hit = n_distinct + 1 <= k
+        null_hit = cut.getField("n") + 1 <= k
         null_expr = F.when(null_hit, label) if null_expr is None else null_expr.when(null_hit, label)
     null_expr = null_expr.otherwise(otherwise)
     return df.withColumn(out, F.when(F.col(col).isNull(), null_expr).otherwise(expr.otherwise(otherwise)))
