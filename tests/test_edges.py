@@ -101,3 +101,25 @@ def test_amount_in_words_null_and_fraction(spark):
     df = spark.createDataFrame([(None,), (12.99,), (-0.99,), (1000.5,)], "x double")
     got = [r.w for r in df.select(amount_in_words(F.col("x")).alias("w")).collect()]
     assert got == [None, "twelve", "zero", "one thousand"]
+
+
+def test_namesake_employees_counted_separately(spark, roles_a):
+    twin = roles_a.employee.where(F.col("eid") == 3001).withColumn("eid", F.lit(3011))
+    r = replace(roles_a, employee=roles_a.employee.unionByName(twin))
+    r = _with_service_row(spark, r, sid=6105, eid=3011)
+    got = project(plan("q34_service_count_by_job_filter", r), ["ename", "service_count"])
+    assert got == expect([("DAVID AUSTIN", 2), ("STEVEN KING", 4), ("STEVEN KING", 1)])
+
+
+def test_first_hired_by_calendar(spark, roles_a):
+    # '01-DEC-07' sorts after '01-APR-08' as text, but is the earliest date.
+    e = roles_a.employee.withColumn(
+        "edoj", F.when(F.col("eid") == 3005, F.lit("2007-12-01").cast("date")).otherwise(F.col("edoj")))
+    got = project(plan("v56_first_hired", replace(roles_a, employee=e)), ["ename"])
+    assert got == expect(["SHERI GOMES"])
+
+
+def test_null_commission_in_income(spark, roles_a):
+    r = _with_service_row(spark, roles_a, sid=6106, eid=3002, comm=None)
+    got = dict(project(plan("q15_annual_income", r), ["ename", "annual_income"]))
+    assert got["DAVID AUSTIN"] == 13300.0 and got["JAMES PHILIP"] is None
