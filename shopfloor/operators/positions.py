@@ -1,14 +1,19 @@
-"""Global row positions without moving all rows into one task.
+"""Global row positions and n-th rows without moving all rows into one task.
 
 ``row_number() OVER (ORDER BY k)`` plans an ``Exchange SinglePartition``: the
 whole table is sorted by one task. Here the table is range-partitioned on the
 order (Spark samples the bounds, so every task gets a similar share and a
-heavy key value is spread by the remaining order columns), sorted within each
-partition, and tagged with ``monotonically_increasing_id`` — whose upper bits
-are the partition index and lower 33 bits the row's index inside it. A tiny
-per-partition count table (one row per partition) gives each partition's
-offset. The tagged relation is reliably checkpointed first: range bounds are
-sampled, so two evaluations could otherwise lay rows out differently.
+heavy key value is spread by the remaining order columns) and sorted within
+each partition. Each row's position is its partition's offset (the total of
+all earlier partitions — a table with one row per partition) plus its
+running position inside the partition. The range-partitioned relation is
+reliably checkpointed first: the bounds are sampled, so two evaluations
+could otherwise lay the rows out differently.
+
+``select_nth`` avoids positioning the whole table when only one row is
+wanted: it positions the (narrow, partially aggregated) per-value counts of
+the leading order column, finds the one value whose rows hold position n,
+and positions only the rows of that value.
 """
 
 from __future__ import annotations
@@ -23,31 +28,39 @@ from shopfloor.session import ensure_checkpoint_dir
 _LOW_BITS = 33
 
 
-def with_position(df: DataFrame, order: Sequence[str], out: str = "pos", partitions: int | None = None) -> DataFrame:
-    """Add ``out`` (BIGINT, 1-based) = position of each row in ``order``.
-
-    ``order`` should be a total order (add columns until rows are distinct);
-    rows equal on all of ``order`` get arbitrary but distinct positions.
-    """
+def _range_layout(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
+    """``df`` range-partitioned and sorted on ``order``, tagged with ``_part``/``_local``
+    (0-based index inside the partition), and checkpointed to pin that layout."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (
+    return (
         df.repartitionByRange(n_parts, *order)
         .sortWithinPartitions(*order)
+        # monotonically_increasing_id: partition index in the upper bits, row index in the lower 33
         .withColumn("_tag", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright(F.col("_tag"), _LOW_BITS))
         .withColumn("_local", F.col("_tag").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
         .drop("_tag")
         .checkpoint(eager=True)
     )
-    # One row per non-empty partition: bounded by the partition count.
-    sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select(
-        "_part",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_offset"),
-    )
+
+
+def _partition_offsets(tagged: DataFrame, weight: Column) -> DataFrame:
+    """One row per non-empty partition: total weight of all earlier partitions."""
+    sizes = tagged.groupBy("_part").agg(F.sum(weight).alias("_w"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_part", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_offset"))
+
+
+def with_position(df: DataFrame, order: Sequence[str], out: str = "pos", partitions: int | None = None) -> DataFrame:
+    """Add ``out`` (BIGINT, 1-based) = position of each row in ``order``.
+
+    ``order`` should be a total order (add columns until rows are distinct);
+    rows equal on all of ``order`` get arbitrary but distinct positions.
+    """
+    tagged = _range_layout(df, order, partitions)
+    offsets = _partition_offsets(tagged, F.lit(1))  # bounded by the partition count
     return (
         tagged.join(F.broadcast(offsets), "_part")
         .withColumn(out, (F.col("_offset") + F.col("_local") + 1).cast("bigint"))
@@ -55,7 +68,44 @@ def with_position(df: DataFrame, order: Sequence[str], out: str = "pos", partiti
     )
 
 
+def with_running_total(df: DataFrame, order: Sequence[str], weight: str, out: str = "running",
+                       partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = Σ ``weight`` over all rows up to and including this one in ``order``.
+
+    The running sum inside a range partition is a window over that partition
+    alone (``partitionBy('_part')``): every window partition is one balanced
+    range partition, never the whole table.
+    """
+    tagged = _range_layout(df, order, partitions)
+    offsets = _partition_offsets(tagged, F.col(weight))
+    inside = Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        tagged.join(F.broadcast(offsets), "_part")
+        .withColumn(out, F.col("_offset") + F.sum(weight).over(inside))
+        .drop("_part", "_local", "_offset")
+    )
+
+
 def row_at(df: DataFrame, order: Sequence[str], position: Column | int) -> DataFrame:
-    """The row(s) at 1-based ``position`` (a literal or a scalar-subquery column)."""
+    """The row at 1-based ``position`` (a literal or a scalar-subquery column), positioning every row."""
     pos = position if isinstance(position, Column) else F.lit(position)
     return with_position(df, order, out="_pos").where(F.col("_pos") == pos).drop("_pos")
+
+
+def select_nth(df: DataFrame, order: Sequence[str], position: Column | int) -> DataFrame:
+    """The row at 1-based ``position`` in the total order ``order``, positioning only one key's rows.
+
+    1. rows per value of the leading order column (hash aggregate, partial per task);
+    2. running totals over those values (narrow; see :func:`with_running_total`);
+    3. the single value whose running range covers ``position``, and the rows before it;
+    4. :func:`row_at` over that value's rows only, at the remaining position.
+    An empty input or an out-of-range position gives no row.
+    """
+    lead, pos = order[0], position if isinstance(position, Column) else F.lit(position)
+    counts = df.groupBy(lead).agg(F.count("*").alias("_n"))
+    totals = with_running_total(counts, [lead], "_n", out="_upto")
+    target = totals.where((F.col("_upto") - F.col("_n") < pos) & (pos <= F.col("_upto"))) \
+        .select(lead, (F.col("_upto") - F.col("_n")).alias("_before"))  # at most one row
+    key = F.broadcast(target.select(F.col(lead).alias("_key")))
+    rows = df.join(key, df[lead].eqNullSafe(key["_key"]), "left_semi")
+    return row_at(rows, order, pos - target.agg(F.max("_before")).scalar())

@@ -23,7 +23,7 @@ from shopfloor.operators.extremes import extreme_value, nth_by, rows_at, top_n
 from shopfloor.operators.keep_first import first_per_key
 from shopfloor.operators.many_to_many import summarise_matches
 from shopfloor.operators.membership import absent, keys_of, present
-from shopfloor.operators.positions import row_at
+from shopfloor.operators.positions import select_nth
 from shopfloor.operators.ranking import grade_by_dense_rank, rank_by_value
 from shopfloor.plans.common import PURCHASE_ORDER, SERVICE_ORDER, asc
 from shopfloor.sources.roles import Roles
@@ -70,7 +70,7 @@ def q05_min_positive_commission(r: Roles) -> DataFrame:
 def q06_middle_record(r: Roles, order: Sequence[str] = tuple(SERVICE_ORDER)) -> DataFrame:
     """The middle service row by key: position ceil(n/2) (the lower middle when n is even)."""
     n = r.service.agg(F.count("*")).scalar()
-    return row_at(r.service, list(order), F.ceil(n / 2))
+    return select_nth(r.service, list(order), F.ceil(n / 2))
 
 
 def q07_last_n_records(r: Roles, n: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import project
 from shopfloor.operators.cooccurrence import group_partners
 from shopfloor.operators.keep_first import first_per_key
-from shopfloor.operators.positions import row_at, with_position
+from shopfloor.operators.positions import row_at, select_nth, with_position, with_running_total
 from shopfloor.operators.ranking import grade_by_dense_rank, rank_by_value
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,21 @@ def test_first_per_key_matches_row_number(lineitem):
                                                                                                "l_orderkey")]])
     naive = lineitem.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
     assert project(ours, lineitem.columns) == project(naive, lineitem.columns)
+
+
+@pytest.mark.parametrize("k", [1, 2, 777, 3001, 6000, 10 ** 9])
+def test_select_nth_matches_row_number(lineitem, k):
+    n = lineitem.count()
+    got = select_nth(lineitem, LINE_ORDER, k)
+    naive = lineitem.withColumn("rn", F.row_number().over(Window.orderBy(*LINE_ORDER))).where(F.col("rn") == k) \
+        .drop("rn")
+    assert project(got, LINE_ORDER) == project(naive, LINE_ORDER)
+    assert got.count() == (1 if k <= n else 0)
+
+
+def test_with_running_total_matches_window(lineitem):
+    counts = lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"))
+    ours = with_running_total(counts, ["l_partkey"], "n", out="upto", partitions=4)
+    naive = counts.withColumn("upto", F.sum("n").over(Window.orderBy("l_partkey")
+                                                      .rowsBetween(Window.unboundedPreceding, 0)))
+    assert project(ours, ["l_partkey", "upto"]) == project(naive, ["l_partkey", "upto"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from helpers import norm, project
 from shopfloor.operators.cooccurrence import group_partners
 from shopfloor.operators.keep_first import first_per_key
-from shopfloor.operators.positions import with_position
+from shopfloor.operators.positions import select_nth, with_position
 from shopfloor.operators.ranking import rank_by_value
 from shopfloor.plans.catalog import plan
 from shopfloor.plans.oracle_sql import oracle_queries
@@ -103,3 +103,14 @@ def test_hot_questions_match_sql(spark, hot_tables, name):
     exp = [dict(zip(cols, r)) for r in res.fetchall()]
     want = sorted((tuple(norm(r[c]) for c in got.columns) for r in exp), key=repr)
     assert project(got, got.columns) == want
+
+
+def test_hot_key_select_nth(hot_tables):
+    line = hot_tables["lineitem"].withColumn("l_orderkey", F.when(hot(), F.lit(7).cast("bigint"))
+                                             .otherwise(F.col("l_orderkey")))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    naive = line.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+    for k in (1, 50, 1500, line.count()):
+        want = naive.where(F.col("rn") == k).drop("rn")
+        assert project(select_nth(line, order, k), order) == project(want, order)
