@@ -286,10 +286,10 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     # --- variants ---
     served = "r_service s JOIN r_employee e ON s.eid = e.eid"
     q["v03_zero_comm_rows"] = f"SELECT e.ename, s.comm FROM {served} WHERE s.comm = 0"
-    q["v03_first_per_ename"] = (
+    q["v03_dedup_by_key"] = (
         f"SELECT ename, comm FROM (SELECT e.ename, s.comm, ROW_NUMBER() OVER (PARTITION BY e.ename "
         f"ORDER BY s.comm NULLS FIRST) AS rn FROM {served} WHERE s.comm = 0) WHERE rn = 1")
-    q["v03_first_per_comm"] = (
+    q["v03_dedup_by_key_comm"] = (
         f"SELECT ename, comm FROM (SELECT e.ename, s.comm, ROW_NUMBER() OVER (PARTITION BY s.comm "
         f"ORDER BY e.ename NULLS FIRST) AS rn FROM {served} WHERE s.comm = 0) WHERE rn = 1")
     q["v04_max_comm_per_employee"] = (

@@ -29,12 +29,12 @@ def v03_zero_comm_rows(r: Roles) -> DataFrame:
     return _served_by(r).where(F.col("comm") == 0).select("ename", "comm")
 
 
-def v03_first_per_ename(r: Roles) -> DataFrame:
+def v03_dedup_by_key(r: Roles) -> DataFrame:
     """One zero-commission row per employee name."""
     return first_per_key(v03_zero_comm_rows(r), ["ename"], ["comm"])
 
 
-def v03_first_per_comm(r: Roles) -> DataFrame:
+def v03_dedup_by_key_comm(r: Roles) -> DataFrame:
     """One zero-commission row per commission value (the smallest name)."""
     return first_per_key(v03_zero_comm_rows(r), ["comm"], ["ename"])
 

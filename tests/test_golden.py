@@ -123,8 +123,8 @@ GOLDEN_A = {
         (6005, 1, 1, 1, 1), (6006, 1, 42, 42, 42), (6007, 1, 365, 365, 365)]),
     "q61_services_in_date_range": (["sid"], [6002, 6003, 6004, 6005]),
     "v03_zero_comm_rows": (["ename", "comm"], [(LP, 0), (SK, 0), (SK, 0)]),
-    "v03_first_per_ename": (["ename", "comm"], [(LP, 0), (SK, 0)]),
-    "v03_first_per_comm": (["ename", "comm"], [(LP, 0)]),
+    "v03_dedup_by_key": (["ename", "comm"], [(LP, 0), (SK, 0)]),
+    "v03_dedup_by_key_comm": (["ename", "comm"], [(LP, 0)]),
     "v04_max_comm_per_employee": (["ename", "max_comm"], [(SK, 150)]),
     "v04_top_total_commission": (["eid", "sum_comm"], [(3001, 300)]),
     "v04_top1_row": (["ename", "comm"], [(SK, 150)]),
