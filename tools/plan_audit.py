@@ -1,5 +1,6 @@
-"""Print plan hazards for every registered question: single-task exchanges, cartesian
-products, nested-loop joins, Python evaluation, and whether scans prune columns.
+"""Print plan facts for every registered question: exchanges to a single partition (and what
+feeds them), cartesian products, nested-loop joins, Python evaluation, and the columns each
+Parquet scan reads.
 
 Usage: python tools/plan_audit.py [sf_dir]
 """
@@ -15,8 +16,9 @@ from shopfloor.plans.catalog import ALL, plan  # noqa: E402
 from shopfloor.session import local_session  # noqa: E402
 from shopfloor.sources.warehouse import warehouse_roles  # noqa: E402
 
-HAZARDS = ["SinglePartition", "CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
-           "ArrowEvalPython", "FlatMapGroupsInPandas"]
+HAZARDS = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+           "FlatMapGroupsInPandas", "MapInPandas"]
+SCAN = re.compile(r"FileScan parquet \[([^\]]*)\].*?/(\w+)(?:\.parquet)?\]")
 
 
 def main() -> None:
@@ -25,15 +27,18 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     roles = warehouse_roles(spark, sf_dir)
     for name in ALL:
-        if name == "q06_middle_record":
-            print(f"{name}: (checkpoints eagerly; audited separately)")
-            continue
-        df = plan(name, roles, warehouse=True)
-        text = df._jdf.queryExecution().executedPlan().toString()
-        found = {h: text.count(h) for h in HAZARDS if h in text}
-        scans = re.findall(r"ReadSchema: struct<([^>]*)>", text)
-        widest = max((s.count(":") for s in scans), default=0)
-        print(f"{name}: hazards={found or '-'} scans={len(scans)} widest_scan_cols={widest}")
+        text = plan(name, roles, warehouse=True)._jdf.queryExecution().executedPlan().toString()
+        lines = text.splitlines()
+        single = [re.sub(r"^[\s:+\-*()0-9]*", "", lines[i + 1]).split("(")[0]
+                  for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+        hazards = [h for h in HAZARDS if h in text]
+        widths: dict[str, int] = {}
+        for line in lines:
+            m = SCAN.search(line)
+            if m:
+                widths[m.group(2)] = max(widths.get(m.group(2), 0), len(m.group(1).split(",")))
+        print(f"{name}: single-partition inputs={sorted(set(single)) or '-'} hazards={hazards or '-'} "
+              f"scan columns={widths}")
 
 
 if __name__ == "__main__":
