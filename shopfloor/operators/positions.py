@@ -31,11 +31,12 @@ _LOW_BITS = 33
 def _range_layout(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
     """``df`` range-partitioned and sorted on ``order``, tagged with ``_part``/``_local``
     (0-based index inside the partition), and checkpointed to pin that layout."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    # Without an explicit count AQE may merge adjacent ranges (the global order is kept) and size
+    # the partitions by data volume.
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     return (
-        df.repartitionByRange(n_parts, *order)
+        ranged
         .sortWithinPartitions(*order)
         # monotonically_increasing_id: partition index in the upper bits, row index in the lower 33
         .withColumn("_tag", F.monotonically_increasing_id())
