@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -165,9 +166,8 @@ def persist_facts(spark: SparkSession, roles: Roles, tag: str) -> Roles:
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
     target = f"{base}/shopfloor_roles/{tag}"
-    derived = {}
-    for role, date_col in (("service", "ser_date"), ("purchase", "pdate"), ("customer", None),
-                           ("employee", None), ("vendor", None)):
+
+    def write(role: str, date_col: str | None) -> str:
         path = f"{target}/{role}"
         df = getattr(roles, role)
         if date_col:
@@ -175,7 +175,14 @@ def persist_facts(spark: SparkSession, roles: Roles, tag: str) -> Roles:
             # date range, so Parquet min/max statistics let date filters skip row groups.
             df = df.sortWithinPartitions(date_col)
         df.write.mode("overwrite").parquet(path)
-        derived[role] = spark.read.parquet(path)
+        return path
+
+    jobs = (("service", "ser_date"), ("purchase", "pdate"), ("customer", None), ("employee", None),
+            ("vendor", None))
+    # Independent writes: submitted together so the scheduler can run them side by side.
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        paths = dict(zip([r for r, _ in jobs], pool.map(lambda job: write(*job), jobs)))
+    derived = {role: spark.read.parquet(path) for role, path in paths.items()}
     return replace(roles, **derived).validate()
 
 
