@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shopfloor.functions.money import as_money, money_sum, money_sum_exact
 from shopfloor.operators.extremes import rows_at, top_n
 from shopfloor.operators.keep_first import first_per_key
-from shopfloor.operators.membership import absent, keys_of
+from shopfloor.operators.membership import absent, keys_of, present
 from shopfloor.operators.ranking import label_by_position, rank_by_value
 from shopfloor.plans.common import SERVICE_ORDER, asc
 from shopfloor.sources.roles import Roles
@@ -155,7 +155,9 @@ def v27_vehicle_supply_report(r: Roles, veh_no: str = "MH14PA335") -> DataFrame:
     listing is linear in the purchases of its parts.
     """
     uses = r.service.where(F.col("veh_no") == veh_no).select("cid", "veh_no", "spid")
-    buys = r.purchase.select("spid", "vid", "pqty", "pdate").join(r.vendor.select("vid", "vadd"), "vid")
+    # Restrict purchases to that vehicle's parts before the vendor join (a tiny key set).
+    buys = present(r.purchase.select("spid", "vid", "pqty", "pdate"), keys_of(uses, "spid"), ["spid"]) \
+        .join(r.vendor.select("vid", "vadd"), "vid")
     return (uses.join(r.customer.select("cid", "cname"), "cid").join(r.part.select("spid", "spname"), "spid")
             .join(buys, "spid").select("cname", "veh_no", "spname", "pqty", "pdate", "vadd"))
 
