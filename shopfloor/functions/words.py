@@ -63,8 +63,19 @@ def spell_integer(n: int | None) -> str | None:
     return sign + ", ".join(high + ([BELOW_THOUSAND[g0]] if g0 else []))
 
 
-def amount_in_words(amount: Column) -> Column:
-    """English words for the integer part of ``amount`` (numeric column)."""
+def amount_in_words(amount: Column | str) -> Column:
+    """English words for the integer part of ``amount``.
+
+    Given a column *name*, the expression is handed to Spark as one SQL
+    expression (a single call to the JVM, parsed there); given a ``Column``
+    (any expression), it is assembled from column functions.
+    """
+    if isinstance(amount, str):
+        return F.expr(words_sql(f"`{amount}`", "spark"))
+    return _amount_in_words_column(amount)
+
+
+def _amount_in_words_column(amount: Column) -> Column:
     n = amount.cast("decimal(38,6)").cast("bigint")  # truncate toward zero
     digits = F.lpad(F.abs(n).cast("string"), _DIGITS, "0")
     # One string literal split into the 1000-entry array: a single value crosses to the JVM and
@@ -87,17 +98,31 @@ def amount_in_words(amount: Column) -> Column:
     return F.when(n < 0, F.concat(F.lit("minus "), body)).when(n >= 0, body)
 
 
-def amount_in_words_sql(expr: str) -> str:
-    """The same spelling as a DuckDB SQL expression over ``expr``."""
-    lookup = "[" + ", ".join(f"'{w}'" for w in BELOW_THOUSAND) + "]"
-    n = f"CAST(TRUNC(CAST({expr} AS DECIMAL(38,6))) AS BIGINT)"
-    digits = f"lpad(CAST(abs({n}) AS VARCHAR), {_DIGITS}, '0')"
+def words_sql(expr: str, dialect: str) -> str:
+    """The same spelling as a SQL expression over ``expr``, for ``dialect`` 'spark' or 'duckdb'."""
+    if dialect == "spark":
+        lookup = "split('" + "|".join(BELOW_THOUSAND) + "', '[|]')"
+        n = f"CAST(CAST({expr} AS DECIMAL(38,6)) AS BIGINT)"  # the cast truncates toward zero
+        text_type, int_type = "STRING", "INT"
+
+        def at(i: str) -> str:
+            return f"element_at({lookup}, {i} + 1)"
+    elif dialect == "duckdb":
+        lookup = "[" + ", ".join(f"'{w}'" for w in BELOW_THOUSAND) + "]"
+        n = f"CAST(TRUNC(CAST({expr} AS DECIMAL(38,6))) AS BIGINT)"
+        text_type, int_type = "VARCHAR", "INTEGER"
+
+        def at(i: str) -> str:
+            return f"{lookup}[{i} + 1]"
+    else:
+        raise ValueError(dialect)
+    digits = f"lpad(CAST(abs({n}) AS {text_type}), {_DIGITS}, '0')"
 
     def group(i: int) -> str:
-        return f"CAST(substring({digits}, {_DIGITS - 3 * i - 2}, 3) AS INTEGER)"
+        return f"CAST(substring({digits}, {_DIGITS - 3 * i - 2}, 3) AS {int_type})"
 
     def words(i: int) -> str:
-        return f"{lookup}[{group(i)} + 1]"
+        return at(group(i))
 
     high = ", ".join(f"CASE WHEN {group(i)} > 0 THEN {words(i)} || ' {SCALES[i]}' END"
                      for i in range(len(SCALES) - 1, 0, -1))
@@ -107,3 +132,8 @@ def amount_in_words_sql(expr: str) -> str:
             f"ELSE concat_ws(', ', {high}, CASE WHEN {g0} > 0 THEN {words(0)} END) END")
     body = f"CASE WHEN {n} = 0 THEN 'zero' ELSE {body} END"
     return f"CASE WHEN {n} < 0 THEN 'minus ' || {body} WHEN {n} >= 0 THEN {body} END"
+
+
+def amount_in_words_sql(expr: str) -> str:
+    """The spelling as a DuckDB SQL expression over ``expr`` (used by the oracle)."""
+    return words_sql(expr, "duckdb")

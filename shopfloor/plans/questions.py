@@ -378,7 +378,7 @@ def q47_purchase_total_by_location(r: Roles) -> DataFrame:
 def q48_purchase_total_in_words(r: Roles) -> DataFrame:
     """Purchase total per location, with its whole part spelled in English words."""
     return _purchase_by_location(r, "total_amount") \
-        .withColumn("amount_in_words", amount_in_words(F.col("total_amount")))
+        .withColumn("amount_in_words", amount_in_words("total_amount"))
 
 
 def _spend(r: Roles) -> DataFrame:

@@ -92,15 +92,17 @@ def test_amount_in_words_matches_python_spelling(spark, chunk):
             1000000, 1000001, 1001000, 2000050, 999999999, -1, -1000, -999999, 10 ** 15 + 7, 9 * 10 ** 17 + 1]
     nums = edge + [(i * 7919 + chunk * 104729) ** 2 % (10 ** (3 + chunk * 4)) for i in range(300)]
     df = spark.createDataFrame([(n,) for n in nums], "n long")
-    got = {r.n: r.w for r in df.select("n", amount_in_words(F.col("n")).alias("w")).collect()}
+    got = {r.n: (r.w, r.s) for r in df.select("n", amount_in_words(F.col("n")).alias("w"),
+                                              amount_in_words("n").alias("s")).collect()}
     for n in nums:
-        assert got[n] == spell_integer(n), n
+        assert got[n] == (spell_integer(n), spell_integer(n)), n
 
 
 def test_amount_in_words_null_and_fraction(spark):
     df = spark.createDataFrame([(None,), (12.99,), (-0.99,), (1000.5,)], "x double")
-    got = [r.w for r in df.select(amount_in_words(F.col("x")).alias("w")).collect()]
-    assert got == [None, "twelve", "zero", "one thousand"]
+    for words in (amount_in_words(F.col("x")), amount_in_words("x")):
+        got = [r.w for r in df.select(words.alias("w")).collect()]
+        assert got == [None, "twelve", "zero", "one thousand"]
 
 
 def test_namesake_employees_counted_separately(spark, roles_a):
