@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
@@ -148,6 +149,7 @@ def warehouse_roles(spark: SparkSession, folder: str) -> Roles:
 
 
 _PERSISTED: dict[tuple[str, str], Roles] = {}
+_PERSIST_LOCK = threading.Lock()
 
 
 def persist_facts(spark: SparkSession, roles: Roles, tag: str) -> Roles:
@@ -189,7 +191,8 @@ def persist_facts(spark: SparkSession, roles: Roles, tag: str) -> Roles:
 def suite_roles(spark: SparkSession, folder: str) -> Roles:
     """Warehouse roles with persisted facts, built once per application and folder."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _PERSISTED:
-        tag = hashlib.sha1(folder.encode()).hexdigest()[:16]
-        _PERSISTED[key] = persist_facts(spark, warehouse_roles(spark, folder), tag)
-    return _PERSISTED[key]
+    with _PERSIST_LOCK:  # concurrent callers wait for one write instead of racing on the same folder
+        if key not in _PERSISTED:
+            tag = hashlib.sha1(folder.encode()).hexdigest()[:16]
+            _PERSISTED[key] = persist_facts(spark, warehouse_roles(spark, folder), tag)
+        return _PERSISTED[key]

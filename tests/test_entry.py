@@ -29,3 +29,14 @@ def test_cli_lists_and_runs(capsys, spark):
     assert "q47_purchase_total_by_location" in capsys.readouterr().out
     assert main(["--csv", os.path.join(os.path.dirname(__file__), "fixtures", "edition_a"), "q47"]) == 0
     assert "PUNE" in capsys.readouterr().out
+
+
+def test_suite_roles_once_under_concurrency(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from shopfloor.sources.warehouse import suite_roles
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: suite_roles(spark, "/root/testdata/sf0.001"), range(4)))
+    assert all(r is got[0] for r in got)
+    assert got[0].service.count() > 0
