@@ -152,7 +152,7 @@ _PERSISTED: dict[tuple[str, str], Roles] = {}
 _PERSIST_LOCK = threading.Lock()
 
 
-def persist_facts(spark: SparkSession, roles: Roles, tag: str) -> Roles:
+def persist_roles(spark: SparkSession, roles: Roles, tag: str) -> Roles:
     """Write the derived roles once as Parquet in the shared checkpoint folder.
 
     Deriving ``service`` joins lineitem with orders, and the customer,
@@ -194,5 +194,5 @@ def suite_roles(spark: SparkSession, folder: str) -> Roles:
     with _PERSIST_LOCK:  # concurrent callers wait for one write instead of racing on the same folder
         if key not in _PERSISTED:
             tag = hashlib.sha1(folder.encode()).hexdigest()[:16]
-            _PERSISTED[key] = persist_facts(spark, warehouse_roles(spark, folder), tag)
+            _PERSISTED[key] = persist_roles(spark, warehouse_roles(spark, folder), tag)
         return _PERSISTED[key]
