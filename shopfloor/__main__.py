@@ -2,6 +2,7 @@
 
     python -m shopfloor --csv tests/fixtures/edition_a q01_serviced_customers q47
     python -m shopfloor --warehouse /root/testdata/sf0.01 q27 --rows 10
+    python -m shopfloor --warehouse /root/testdata/sf0.01 q47 --explain
     python -m shopfloor --list
 
 A question may be given by its full key or any unique prefix (``q47``).
@@ -31,6 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--parquet", help="folder with the six roles as Parquet folders")
     src.add_argument("--warehouse", help="folder with the warehouse tables")
     ap.add_argument("--rows", type=int, default=20)
+    ap.add_argument("--explain", action="store_true", help="print the formatted physical plan instead of rows")
     ap.add_argument("--list", action="store_true", help="list question keys")
     ap.add_argument("questions", nargs="*")
     args = ap.parse_args(argv)
@@ -55,7 +57,11 @@ def main(argv: list[str] | None = None) -> int:
         roles, warehouse = warehouse_roles(spark, args.warehouse), True
     for name in map(_resolve, args.questions):
         print(f"== {name}: {(ALL[name].__doc__ or '').strip().splitlines()[0]}")
-        plan(name, roles, warehouse=warehouse).show(args.rows, truncate=False)
+        df = plan(name, roles, warehouse=warehouse)
+        if args.explain:
+            df.explain("formatted")
+        else:
+            df.show(args.rows, truncate=False)
     return 0
 
 

@@ -29,6 +29,8 @@ def test_cli_lists_and_runs(capsys, spark):
     assert "q47_purchase_total_by_location" in capsys.readouterr().out
     assert main(["--csv", os.path.join(os.path.dirname(__file__), "fixtures", "edition_a"), "q47"]) == 0
     assert "PUNE" in capsys.readouterr().out
+    assert main(["--warehouse", "/root/testdata/sf0.001", "--explain", "q23"]) == 0
+    assert "Physical Plan" in capsys.readouterr().out
 
 
 def test_suite_roles_once_under_concurrency(spark):
