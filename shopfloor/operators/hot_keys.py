@@ -7,8 +7,10 @@ split would break the partitioning a following join on the same key relies
 on. ``split_join`` therefore handles hot keys explicitly:
 
 1. count rows per key on the big side (hash aggregate, partial per task);
-2. hot keys are those holding at least ``hot_fraction`` of all rows — there
-   can be at most ``1 / hot_fraction`` of them (1000 by default), a proven
+2. hot keys are those holding at least ``hot_fraction`` of all rows — by
+   default more than an average reducer partition would hold
+   (1 / ``spark.sql.shuffle.partitions``, at most 1e-3 and at least 1e-5).
+   There can be at most ``1 / hot_fraction`` of them (≤ 100 000), a proven
    bound, so the hot-key set is broadcast;
 3. the big side's hot rows join the small side's rows for those keys — at
    most one row per key, so again at most ``1 / hot_fraction`` rows — by a
@@ -21,18 +23,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_FRACTION = 1e-3
+MAX_HOT_FRACTION = 1e-3
+MIN_HOT_FRACTION = 1e-5
 
 
-def hot_keys(df: DataFrame, key: str, hot_fraction: float = HOT_FRACTION) -> DataFrame:
+def default_hot_fraction(df: DataFrame) -> float:
+    """Share of rows above which a key outgrows an average reducer partition."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_HOT_FRACTION, max(MIN_HOT_FRACTION, 1.0 / partitions))
+
+
+def hot_keys(df: DataFrame, key: str, hot_fraction: float | None = None) -> DataFrame:
     """Keys of ``df`` holding at least ``hot_fraction`` of its rows (at most 1/hot_fraction keys)."""
+    hot_fraction = hot_fraction or default_hot_fraction(df)
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()  # same aggregate: its exchange is reused
     return counts.where(F.col(key).isNotNull() & (F.col("_n") >= total * F.lit(hot_fraction))).select(key)
 
 
 def split_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
-               hot_fraction: float = HOT_FRACTION) -> DataFrame:
+               hot_fraction: float | None = None) -> DataFrame:
     """``big.join(small, key, how)`` for a ``small`` with at most one row per ``key``.
 
     ``how`` is ``inner`` or ``left``. Output columns are those of the plain join.
