@@ -2,10 +2,11 @@
 
 Two generative models over hashed n-grams: the target is the text of documents labelled good
 (quality 1, not toxic), the raw model the text of all documents. An n-gram is a word or sign,
-or the first four or five letters of a word; a document counts each n-gram once, so repeated
+the first four or five letters of a word, or the bigram of any word with itself; a document counts each n-gram once, so repeated
 lines don't weigh more. The log ratio of the two, with ``SMOOTH`` pseudo-counts, is the evidence
-of an n-gram; ratios within ``DEAD_ZONE`` of one are sampling noise and count as none. The sum
-over a document is its log importance weight.
+of an n-gram; ratios within ``DEAD_ZONE`` of one, and counts within ``DEVIATIONS`` standard
+deviations of what the raw model expects, are sampling noise and count as none. The sum over a
+document is its log importance weight.
 
 The number of documents to draw, k, is the number whose weight reaches the cut that best
 separates the labelled documents. The draw is Gumbel top-k: the k largest of weight /
@@ -23,6 +24,7 @@ several labels of one document count as the worst of them; a NULL label is no la
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,10 @@ from shopfloor.llm.common import arrow_bytes, text_or_empty, written
 BUCKETS = 1 << 20  #: hash buckets of a model
 SMOOTH = 3.0
 DEAD_ZONE = 0.7
+DEVIATIONS = 3.0
 TEMPERATURE = 0.1
 LABEL_ROWS = 400_000
+AGAIN = 0  #: the bucket of all bigrams of a word and itself
 SLICE = 1 << 14  #: buckets that are summed in one row
 
 
@@ -55,10 +59,16 @@ class NgramBuckets(dict):
         return found
 
 
-def _splitter():  # noqa: ANN202
-    import re
+_SPLIT = re.compile(r"\w+|[^\w\s]+").findall
 
-    return re.compile(r"\w+|[^\w\s]+").findall
+
+def ngrams(text: str, buckets: NgramBuckets) -> set[int]:
+    """Buckets of the different n-grams of a text."""
+    words = _SPLIT(text)
+    found = set().union(*map(buckets.__getitem__, set(words)))
+    if any(map(str.__eq__, words, words[1:])):
+        found.add(AGAIN)
+    return found
 
 
 def model_counts(docs: DataFrame) -> DataFrame:
@@ -68,11 +78,11 @@ def model_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, grams = _splitter(), NgramBuckets()
+        buckets = NgramBuckets()
         total = np.zeros((2, BUCKETS + SLICE), np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = set().union(*map(grams.__getitem__, set(split(text.as_py()))))
+                found = ngrams(text.as_py(), buckets)
                 at = np.fromiter(found, np.int64, len(found))
                 total[0, at] += 1
                 total[0, BUCKETS] += 1
@@ -109,7 +119,8 @@ def log_ratios(docs: DataFrame) -> np.ndarray:
         return np.zeros(BUCKETS)
     expected = total[0, :BUCKETS] * (n_target / n_raw)
     ratio = np.log((total[1, :BUCKETS] + SMOOTH) / (expected + SMOOTH))
-    ratio[np.abs(ratio) < DEAD_ZONE] = 0
+    noise = np.sqrt(np.maximum(expected * (1 - n_target / n_raw), 1e-9))
+    ratio[(np.abs(ratio) < DEAD_ZONE) | (np.abs(total[1, :BUCKETS] - expected) < DEVIATIONS * noise)] = 0
     return ratio
 
 
@@ -120,12 +131,12 @@ def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, grams = _splitter(), NgramBuckets()
+        buckets = NgramBuckets()
         evidence = dict(zip(*(x.tolist() for x in shared.value), strict=True))
         for batch in batches:
             out = []
             for text in batch.column(batch.schema.get_field_index("text")):
-                found = set().union(*map(grams.__getitem__, set(split(text.as_py()))))
+                found = ngrams(text.as_py(), buckets)
                 out.append(float(sum(evidence[x] for x in sorted(found & evidence.keys()))))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, pa.float64())], [*keep, "weight"])
 

@@ -86,9 +86,12 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, version: str = RULE_VE
 
 def digest_columns(found: DataFrame) -> DataFrame:
     """The counts by kind, all spans in text form and their digest."""
-    n = [F.size(F.filter("findings", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in RULES]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     spans = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
-    return found.select("doc_id", *n, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"), "blob")
+    return found.select("doc_id", *map(number, RULES), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"), "blob")
 
 
 def secrets_of(docs: DataFrame) -> DataFrame:
