@@ -2,7 +2,7 @@
 
 Two generative models over hashed n-grams: the target is the text of documents labelled good
 (quality 1, not toxic), the raw model the text of all documents. An n-gram is a word or sign,
-the first four or five letters of a word, or the bigram of any word with itself; a document counts each n-gram once, so repeated
+the first four or five letters of a word, or any word four times in a row; a document counts each n-gram once, so repeated
 lines don't weigh more. The log ratio of the two, with ``SMOOTH`` pseudo-counts, is the evidence
 of an n-gram; ratios within ``DEAD_ZONE`` of one, and counts within ``DEVIATIONS`` standard
 deviations of what the raw model expects, are sampling noise and count as none. The sum over a
@@ -40,7 +40,7 @@ DEAD_ZONE = 0.7
 DEVIATIONS = 3.0
 TEMPERATURE = 0.1
 LABEL_ROWS = 400_000
-AGAIN = 0  #: the bucket of all bigrams of a word and itself
+AGAIN = 0  #: the bucket of all four-grams of one word
 SLICE = 1 << 14  #: buckets that are summed in one row
 
 
@@ -66,7 +66,7 @@ def ngrams(text: str, buckets: NgramBuckets) -> set[int]:
     """Buckets of the different n-grams of a text."""
     words = _SPLIT(text)
     found = set().union(*map(buckets.__getitem__, set(words)))
-    if any(map(str.__eq__, words, words[1:])):
+    if any(a == b == c == d for a, b, c, d in zip(words, words[1:], words[2:], words[3:], strict=False)):
         found.add(AGAIN)
     return found
 
