@@ -22,7 +22,7 @@ from shopfloor.llm.quality_resampling import keep_drawn
 from shopfloor.llm.queries import tokenizer_path
 from shopfloor.llm.simhash_dedup import keep_one
 from shopfloor.llm.source_mixing import mix_order
-from shopfloor.llm.token_output import read_tokens, write_tokens
+from shopfloor.llm.token_output import token_index, write_tokens
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         pass
     out = new_folder(spark, "pipeline-tokens")
     write_tokens(docs, out, tokenizer_path(), end_id=2, order=order)
-    return read_tokens(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_index(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -24,7 +24,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Huffman-coded token ids of all documents, written and read back."""
     out = new_folder(spark, "token-file")
     token_output.write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=2)
-    return token_output.read_tokens(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "block")
+    return token_output.token_index(spark, out)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import drop_folder, new_folder, parts, text_or_empty
+from shopfloor.llm.common import arrow_bytes, drop_folder, new_folder, parts, text_or_empty, written
 
 STEP = 64  #: symbols between two bit-offset checkpoints
 BLOCK_SYMBOLS = 1 << 16  #: a block is closed once it holds this many symbols
 MAX_BITS = 18  #: longest code word: bounds the decoding table to 2**18 entries
 SHARD_TOKENS = 4_000_000  #: symbols of one shard, and so of one task
-CACHE_WORDS = 1_200_000  #: words whose ids a worker remembers
+CACHE_WORDS = 800_000  #: words whose ids a worker remembers
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The vocabulary's own splitting pattern, written out for texts of ASCII and Latin-1 letters only.
@@ -44,12 +44,12 @@ _ODD = rf"[^\t\n\r -~{_LETTER}]"
 
 
 class _Ids(dict):
-    """Little-endian uint32 ids of words, by the library's own model on first sight."""
+    """Ids of words as little-endian numbers, by the library's own model on first sight."""
 
-    def __init__(self, library: object) -> None:
+    def __init__(self, library: object, kind: str) -> None:
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.model = library.model
+        self.model, self.kind = library.model, kind
         plain = {b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173}
         assert {chr(b) for b in plain} < set(ByteLevel.alphabet())
         rest = iter(range(256, 512))  # bytes without a printable form stand for these, in ascending order
@@ -57,7 +57,7 @@ class _Ids(dict):
 
     def __missing__(self, word: str) -> bytes:
         shown = word.encode("utf-8").decode("latin-1").translate(self.shown)
-        self[word] = ids = np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes()
+        self[word] = ids = np.array([x.id for x in self.model.tokenize(shown)], self.kind).tobytes()
         return ids
 
 
@@ -69,7 +69,7 @@ class TextEncoder:
     are looked up after that. The store of words is emptied when it is full.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kind: str) -> None:
         import re
 
         import public_tokenizers
@@ -80,33 +80,40 @@ class TextEncoder:
         self.library.encode_special_tokens = True
         self.fast, self.odd = re.compile(_FAST).findall, re.compile(_ODD).search
         self.full = regex.compile(public_tokenizers.PATTERN).findall
-        self.ids = _Ids(self.library)
+        self.ids = _Ids(self.library, kind)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian uint32."""
+        """The ids of a text as little-endian numbers of this encoder's kind."""
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
         return b"".join(map(self.ids.__getitem__, (self.full if self.odd(text) else self.fast)(text)))
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
-def _encoder(path: str) -> TextEncoder:
+def _encoder(path: str, kind: str) -> TextEncoder:
     """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = TextEncoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def _id_kind(path: str, end_id: int) -> str:
+    """The narrowest number that holds every id of the vocabulary."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
     """``id, n`` over the whole table: counted per task first, so a row per task and id is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                more = np.bincount(np.frombuffer(value.as_buffer(), "<u4"))
+                more = np.bincount(np.frombuffer(value.as_buffer(), kind))
                 if len(more) > len(total):
                     total, more = more.astype(np.int64), total
                 total[:len(more)] += more
@@ -204,7 +211,7 @@ def unpack(payload: bytes, offsets: bytes, n_symbols: int, symbol: np.ndarray, s
 _BLOCKS = "shard long, block long, doc_ids array<long>, lengths array<long>, n_symbols long, offsets binary, payload binary"
 
 
-def _block_writer(bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _block_writer(bits: np.ndarray, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -212,6 +219,7 @@ def _block_writer(bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
         docs: list = []
         lengths: list[int] = []
         held: list[np.ndarray] = []
+        size = 0
 
         def close() -> pa.RecordBatch:
             symbols = np.concatenate(held).astype(np.int64)
@@ -222,13 +230,14 @@ def _block_writer(bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(value.as_buffer(), "<u4")
+                ids = np.frombuffer(value.as_buffer(), kind)
                 docs.append(doc)
                 lengths.append(len(ids))
                 held.append(ids)
-                if sum(lengths) >= BLOCK_SYMBOLS:
+                size += len(ids)
+                if size >= BLOCK_SYMBOLS:
                     yield close()
-                    docs, lengths, held, block = [], [], [], block + 1
+                    docs, lengths, held, size, block = [], [], [], 0, block + 1
         if docs:
             yield close()
 
@@ -241,12 +250,16 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, ord
     ``order`` names the columns that give the order of the documents (default ``doc_id``).
     Two passes: the ids are written once, then counted, then coded in order.
     """
+    with arrow_bytes(docs.sparkSession):
+        _write(docs, out, tokenizer, end_id, order or ["doc_id"], max_bits)
+
+
+def _write(docs: DataFrame, out: str, tokenizer: str, end_id: int, keys: list[str], max_bits: int) -> None:
     spark = docs.sparkSession
-    keys = order or ["doc_id"]
-    scratch = new_folder(spark, "token-ids")
-    _token_table(docs, keys, tokenizer, end_id).write.option("compression", "zstd").parquet(scratch)
+    scratch, kind = new_folder(spark, "token-ids"), _id_kind(tokenizer, end_id)
+    _token_table(docs, keys, tokenizer, end_id, kind).write.option("compression", "zstd").parquet(scratch)
     tokens = spark.read.parquet(scratch)
-    counted = id_counts(tokens).collect()  # one row per vocabulary entry at most
+    counted = id_counts(tokens, kind).collect()  # one row per vocabulary entry at most
     bits = np.zeros(max([r["id"] for r in counted], default=0) + 1, np.int64)
     ids = np.array([r["id"] for r in counted], np.int64)
     if len(ids):
@@ -257,13 +270,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, ord
     n = max(1, min(parts(spark, total, SHARD_TOKENS), -(-total // 100_000)))
     by = [F.col(f"k{i}") for i in range(len(keys))] + [F.col("ids")]
     laid = tokens.repartitionByRange(n, *by[:-1]).sortWithinPartitions(*by)
-    laid.select("doc_id", "ids").mapInArrow(_block_writer(bits), _BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
+    laid.select("doc_id", "ids").mapInArrow(_block_writer(bits, kind), _BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
     drop_folder(spark, scratch)
 
 
-def _token_table(docs: DataFrame, keys: list[str], tokenizer: str, end_id: int) -> DataFrame:
+def _token_table(docs: DataFrame, keys: list[str], tokenizer: str, end_id: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = _encoder(tokenizer, kind), np.array([end_id], kind).tobytes()
         for batch in batches:
             ids = pa.array([encoder.encode(x.as_py()) + end for x in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, *(batch.column(2 + i) for i in range(len(keys)))], ["doc_id", "ids", *(f"k{i}" for i in range(len(keys)))])
@@ -273,6 +286,12 @@ def _token_table(docs: DataFrame, keys: list[str], tokenizer: str, end_id: int)
     return chosen.mapInArrow(run, f"doc_id long, ids binary, {kinds}")
 
 
+def token_index(spark: SparkSession, out: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32, shard, block`` of every document, from a full reading of the files."""
+    with arrow_bytes(spark):
+        return written(read_tokens(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "block"), "token-index")
+
+
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """``shard, block, place, doc_id, start, n_tokens, ids`` of every document, decoded from the files.
 
