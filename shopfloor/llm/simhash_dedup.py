@@ -29,7 +29,7 @@ from shopfloor.llm.common import arrow_bytes, let_go, text_or_empty, written
 from shopfloor.llm.components import components
 
 PARTITIONS = 4
-BUCKET = 2048  #: different fingerprints that are compared within one bucket
+BUCKET = 8192  #: different fingerprints that are compared within one bucket (64 kB of them)
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
