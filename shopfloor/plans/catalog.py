@@ -17,7 +17,14 @@ from shopfloor.plans.variants import VARIANTS
 from shopfloor.sources.roles import Roles
 
 # Literals of each question on the warehouse role mapping.
+_FIRST_WEEK = {"start": "1996-01-01", "end": "1996-01-07"}
+
 WAREHOUSE_PARAMS: dict[str, dict] = {
+    # Over all dates hardly a customer, employee or part is without a line, so these ask about a week.
+    **{name: _FIRST_WEEK for name in (
+        "q02_unserviced_customers", "q18_purchased_unused_parts", "q19_parts_never_purchased",
+        "q55_left_without_service", "q59_vendors_with_unused_parts", "v11_employees_without_service",
+        "v18_unused_purchase_rows")},
     "q12_two_wheeler_customers": {"vehicle_type": "R"},
     "q14_colour_customers": {"service_type": "3-MEDIUM"},
     "q16_vendors_by_part_name": {"pattern": "%ring%"},

@@ -1,17 +1,12 @@
 """Independent SQL for every registered question.
 
-Each question is answered the direct way in SQL over six views named
-``r_customer r_service r_employee r_part r_purchase r_vendor`` — including
+Each question is answered the direct way in SQL, by another method than its plan, including
 the quadratic pair listings (q27, q40, q60) that the DataFrame plans
 factorise, so the SQL checks the factorisation against brute force.
 
-* :func:`oracle_queries` prefixes the statements with CTEs that restate the
-  warehouse role mapping of :mod:`shopfloor.sources.warehouse`, for DuckDB
-  over the raw warehouse tables (the driver's correctness oracle).
-* :func:`sql_forms` gives the same statements with the questions' default
-  (or given) literals, to run with ``spark.sql`` over roles registered as
-  views (``Roles.register_views(prefix="r_")``). Two statements use DuckDB-only
-  syntax and have no Spark form (:data:`DUCKDB_ONLY`).
+:func:`oracle_queries` gives DuckDB statements over the raw warehouse tables (the driver's
+correctness oracle): straight from the tables (``_raw``), or over common table expressions
+that name the roles first.
 
 Column names and types match the DataFrame results (counts and day
 differences BIGINT, money summed as DECIMAL(18,2) and returned as DOUBLE).
@@ -26,8 +21,6 @@ from shopfloor.functions.words import amount_in_words_sql
 from shopfloor.plans.catalog import ALL, WAREHOUSE_PARAMS
 from shopfloor.plans.common import SERVICE_ORDER
 
-DUCKDB_ONLY = frozenset({"q48_purchase_total_in_words", "q60_part_age_at_use"})
-
 ROLES_SQL = """
 r_customer AS (
   SELECT c_custkey AS cid, c_name AS cname, n_name AS cadd, c_mktsegment AS gender
@@ -52,15 +45,14 @@ r_service AS (
          l_extendedprice AS ser_amt,
          CASE WHEN l_discount = 0 THEN CAST(0 AS DOUBLE) ELSE l_discount END AS comm,
          l_extendedprice AS total
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_linestatus = 'F' AND o_orderstatus = 'F'),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'),
 r_purchase AS (
   SELECT l_orderkey AS pid, l_suppkey AS vid, l_partkey AS spid, l_quantity AS pqty,
          l_extendedprice / l_quantity AS sprate,
          CASE WHEN l_tax = 0 THEN CAST(0 AS DOUBLE) ELSE l_tax END AS spgst,
          CAST(l_shipdate AS DATE) AS pdate, l_extendedprice AS total
   FROM lineitem
-  WHERE l_linestatus = 'O' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'))
+  WHERE l_linestatus = 'O')
 """
 
 SVC_COLS = ", ".join(SERVICE_ORDER)
@@ -95,34 +87,15 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     global _resolve
     _resolve = resolve
     q: dict[str, str] = {}
-    q["q01_serviced_customers"] = "SELECT DISTINCT c.cname FROM r_customer c JOIN r_service s ON c.cid = s.cid"
-    q["q02_unserviced_customers"] = (
-        "SELECT c.cname FROM r_customer c WHERE NOT EXISTS (SELECT 1 FROM r_service s WHERE s.cid = c.cid)")
-    q["q03_employees_zero_comm"] = (
-        "SELECT DISTINCT e.ename FROM r_employee e JOIN r_service s ON e.eid = s.eid WHERE s.comm = 0")
-    q["q04_max_commission_employee"] = (
-        "SELECT e.ename FROM r_employee e JOIN r_service s ON e.eid = s.eid "
-        "WHERE s.comm = (SELECT MAX(comm) FROM r_service)")
-    q["q05_min_positive_commission"] = (
-        "SELECT e.ename, s.comm FROM r_employee e JOIN r_service s ON e.eid = s.eid "
-        "WHERE s.comm = (SELECT MIN(comm) FROM r_service WHERE comm > 0)")
-    q["q06_middle_record"] = (
-        f"SELECT {SVC_COLS} FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {SVC_ORDER}) AS rn, "
-        f"COUNT(*) OVER () AS n FROM r_service) WHERE rn = CAST(CEIL(n / 2.0) AS BIGINT)")
     q["q07_last_n_records"] = "SELECT * FROM r_employee ORDER BY eid DESC LIMIT 4"
     q["q08_row_count_no_count"] = "SELECT CAST(SUM(1) AS BIGINT) AS record_count FROM r_employee"
     q["q09_first_service_per_customer"] = (
         f"SELECT {SVC_COLS} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cid ORDER BY {SVC_ORDER}) AS rn "
         f"FROM r_service) WHERE rn = 1")
-    q["q10_max_single_payment_customer"] = (
-        "SELECT c.cname FROM r_customer c JOIN r_service s ON c.cid = s.cid "
-        "WHERE s.total = (SELECT MAX(total) FROM r_service)")
     q["q11_left_employees"] = "SELECT ename FROM r_employee WHERE edol IS NOT NULL"
     q["q12_two_wheeler_customers"] = (
         "SELECT COUNT(DISTINCT cid) AS two_wheeler_customers FROM r_service "
         f"WHERE lower(type_veh) = lower('{_p('q12_two_wheeler_customers', 'vehicle_type')}')")
-    q["q13_parts_used_in_service"] = (
-        "SELECT DISTINCT sp.spname, sp.spunit FROM r_part sp JOIN r_service s ON sp.spid = s.spid")
     q["q14_colour_customers"] = (
         "SELECT DISTINCT c.cname FROM r_customer c JOIN r_service s ON c.cid = s.cid "
         f"WHERE lower(s.typ_ser) = lower('{_p('q14_colour_customers', 'service_type')}')")
@@ -130,40 +103,14 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
         "SELECT e.ename, CAST(CAST(e.esal AS DECIMAL(18,2)) * 12 + COALESCE(s.total_comm, 0) AS DOUBLE) "
         "AS annual_income FROM r_employee e LEFT JOIN (SELECT eid, SUM(CAST(comm AS DECIMAL(18,2))) AS total_comm "
         "FROM r_service GROUP BY eid) s ON e.eid = s.eid")
-    q["q16_vendors_by_part_name"] = (
-        "SELECT DISTINCT v.vname FROM r_vendor v JOIN r_purchase p ON v.vid = p.vid "
-        f"JOIN r_part sp ON p.spid = sp.spid WHERE sp.spname LIKE '{_p('q16_vendors_by_part_name', 'pattern')}'")
     q["q17_purchase_cost_by_part_name"] = (
         f"SELECT sp.spname, {money('p.total')} AS total_purchase_cost FROM r_purchase p "
         "JOIN r_part sp ON p.spid = sp.spid "
         f"WHERE sp.spname LIKE '{_p('q17_purchase_cost_by_part_name', 'pattern')}' GROUP BY sp.spname")
-    q["q18_purchased_unused_parts"] = (
-        "SELECT sp.spname FROM r_part sp WHERE sp.spid IN (SELECT spid FROM r_purchase) "
-        "AND NOT EXISTS (SELECT 1 FROM r_service s WHERE s.spid = sp.spid)")
-    q["q19_parts_never_purchased"] = (
-        "SELECT sp.spname FROM r_part sp WHERE NOT EXISTS (SELECT 1 FROM r_purchase p WHERE p.spid = sp.spid)")
     q["q20_profit_loss"] = (
         "SELECT CAST((SELECT SUM(CAST(total AS DECIMAL(18,2))) FROM r_service) - "
         "((SELECT SUM(CAST(esal AS DECIMAL(18,2))) FROM r_employee) + "
         "(SELECT SUM(CAST(total AS DECIMAL(18,2))) FROM r_purchase)) AS DOUBLE) AS profit_or_loss")
-    q["q21_repeat_customers"] = (
-        "SELECT c.cname FROM r_customer c JOIN r_service s ON c.cid = s.cid "
-        "GROUP BY c.cid, c.cname HAVING COUNT(*) > 1")
-    q["q22_items_by_location"] = (
-        "SELECT v.vadd AS location, sp.spname AS item_name FROM r_vendor v JOIN r_purchase p ON v.vid = p.vid "
-        "JOIN r_part sp ON p.spid = sp.spid ORDER BY v.vadd, sp.spname")
-    q["q23_count_by_vehicle_type"] = (
-        "SELECT type_veh, COUNT(*) AS service_count FROM r_service GROUP BY type_veh")
-    q["q24_customers_of_max_gst_part"] = (
-        "SELECT DISTINCT c.cname, sp.spname FROM r_service s JOIN r_customer c ON s.cid = c.cid "
-        "JOIN r_part sp ON s.spid = sp.spid WHERE s.spid IN (SELECT spid FROM r_purchase "
-        "WHERE spgst = (SELECT MAX(spgst) FROM r_purchase))")
-    q["q25_vendor_of_max_gst"] = (
-        "SELECT v.vname, sp.spname FROM r_vendor v JOIN r_purchase p ON v.vid = p.vid "
-        "JOIN r_part sp ON p.spid = sp.spid WHERE p.spgst = (SELECT MAX(spgst) FROM r_purchase)")
-    q["q26_employee_item_pairs"] = (
-        "SELECT DISTINCT e.ename, sp.spname FROM r_employee e JOIN r_service s ON e.eid = s.eid "
-        "JOIN r_part sp ON s.spid = sp.spid")
     q["q27_service_supply_report"] = (
         "WITH listing AS (SELECT DISTINCT c.cname, s.veh_no, s.spid, sp.spname, p.pdate, v.vid, v.vname, v.vadd "
         "FROM r_service s JOIN r_customer c ON s.cid = c.cid JOIN r_part sp ON s.spid = sp.spid "
@@ -171,36 +118,10 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
         "SELECT cname, veh_no, spid, spname, CAST(COUNT(*) AS BIGINT) AS n_supply_records, "
         "MIN(pdate) AS first_pdate, MAX(pdate) AS last_pdate, CAST(COUNT(DISTINCT vid) AS BIGINT) AS n_vendors "
         "FROM listing GROUP BY cname, veh_no, spid, spname")
-    q["q28_vehicle_owner"] = (
-        "SELECT c.cname FROM r_customer c JOIN r_service s ON c.cid = s.cid "
-        f"WHERE s.veh_no = '{_p('q28_vehicle_owner', 'veh_no')}'")
-    q["q29_city_service_dates"] = (
-        "SELECT c.cname, s.ser_date FROM r_customer c JOIN r_service s ON c.cid = s.cid "
-        f"WHERE c.cadd = '{_p('q29_city_service_dates', 'city')}'")
-    q["q30_vendor_of_max_purchase"] = (
-        "SELECT v.vname FROM r_vendor v JOIN r_purchase p ON v.vid = p.vid "
-        "WHERE p.total = (SELECT MAX(total) FROM r_purchase)")
-    q["q31_non_mechanic_servers"] = (
-        "SELECT DISTINCT e.ename FROM r_employee e JOIN r_service s ON e.eid = s.eid "
-        f"WHERE e.ejob <> '{_p('q31_non_mechanic_servers', 'job')}'")
-    q["q32_jobs_with_min_employees"] = (
-        "SELECT ejob, COUNT(*) AS employee_count FROM r_employee GROUP BY ejob "
-        f"HAVING COUNT(*) > {_p('q32_jobs_with_min_employees', 'more_than')}")
-    q["q33_rank_employees_by_services"] = (
-        "SELECT e.ename, e.ejob, COUNT(*) AS service_count, "
-        "CAST(RANK() OVER (ORDER BY COUNT(*) DESC) AS BIGINT) AS service_rank "
-        "FROM r_employee e JOIN r_service s ON e.eid = s.eid GROUP BY e.eid, e.ename, e.ejob")
-    q["q34_service_count_by_job_filter"] = (
-        "SELECT e.ename, e.ejob, COUNT(*) AS service_count FROM r_employee e JOIN r_service s ON e.eid = s.eid "
-        f"WHERE e.ejob IN ({_lit_list(_p('q34_service_count_by_job_filter', 'jobs'))}) "
-        "GROUP BY e.eid, e.ename, e.ejob")
     q["q35_salary_grade_rank"] = (
         "SELECT ename, esal, CASE WHEN dr <= 2 THEN 'A' WHEN dr <= 4 THEN 'B' ELSE 'C' END AS salary_grade "
         "FROM (SELECT ename, esal, DENSE_RANK() OVER (ORDER BY esal DESC NULLS LAST) AS dr FROM r_employee)")
     q["q36_nth_record"] = "SELECT * FROM r_employee ORDER BY eid LIMIT 1 OFFSET 3"
-    q["q37_default_commission"] = (
-        "SELECT sid, eid, comm, CASE WHEN comm IS NULL OR comm = 0 THEN 100 ELSE comm END AS new_commission "
-        "FROM r_service")
     q["q38_services_per_day"] = (
         "SELECT ser_date, COUNT(*) AS number_of_services FROM r_service GROUP BY ser_date "
         "ORDER BY number_of_services DESC, ser_date")
@@ -216,7 +137,6 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
         "SELECT m.eid, m.cid, c.cname, CAST(COUNT(e.cid) AS BIGINT) AS n_partners FROM members m "
         "LEFT JOIN ends e ON m.eid = e.eid AND m.cid = e.cid JOIN r_customer c ON m.cid = c.cid "
         "GROUP BY m.eid, m.cid, c.cname")
-    q["q41_service_customer_list"] = "SELECT s.sid, c.cname FROM r_service s JOIN r_customer c ON s.cid = c.cid"
     q["q42_employee_rating"] = (
         "SELECT e.ename, e.ejob, COALESCE(sc.n, 0) AS service_count, CASE WHEN sc.n >= 3 THEN 'A' "
         "WHEN sc.n = 2 THEN 'B' WHEN sc.n = 1 THEN 'C' ELSE 'D' END AS rating FROM r_employee e "
@@ -227,9 +147,6 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     q["q44_service_count_per_customer"] = (
         "SELECT c.*, COALESCE(s.n, 0) AS total_services FROM r_customer c LEFT JOIN "
         "(SELECT cid, COUNT(*) AS n FROM r_service GROUP BY cid) s ON c.cid = s.cid")
-    q["q45_location_of_max_rate"] = (
-        "SELECT v.vadd FROM r_vendor v JOIN r_purchase p ON v.vid = p.vid "
-        "WHERE p.sprate = (SELECT MAX(sprate) FROM r_purchase)")
     q["q46_null_salary_services"] = (
         f"SELECT e.ename, e.ejob, {_svc('s')} FROM r_employee e JOIN r_service s ON e.eid = s.eid "
         "WHERE e.esal IS NULL")
@@ -248,29 +165,8 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
         f"SELECT c.cname, {money('s.total')} AS customer_total_spend FROM r_customer c "
         "JOIN r_service s ON c.cid = s.cid GROUP BY c.cid, c.cname "
         f"HAVING {money('s.total')} > (SELECT MAX(total) FROM r_service)")
-    q["q51_customer_part_vehicle"] = (
-        "SELECT c.cname, sp.spname, s.type_veh FROM r_service s JOIN r_customer c ON s.cid = c.cid "
-        "JOIN r_part sp ON s.spid = sp.spid")
-    q["q52_service_breakdown"] = (
-        "SELECT sp.spname, e.ename, c.cname, s.qty, s.sp_rate, s.ser_amt FROM r_service s "
-        "JOIN r_part sp ON s.spid = sp.spid JOIN r_employee e ON s.eid = e.eid JOIN r_customer c ON s.cid = c.cid")
-    q["q53_owners_by_service_type"] = (
-        "SELECT DISTINCT c.cname FROM r_customer c JOIN r_service s ON c.cid = s.cid "
-        f"WHERE s.typ_ser = '{_p('q53_owners_by_service_type', 'service_type')}'")
-    q["q54_full_service_details"] = (
-        "SELECT c.cname, c.cadd, s.veh_no, s.ser_date FROM r_customer c JOIN r_service s ON c.cid = s.cid "
-        f"WHERE s.typ_ser = '{_p('q54_full_service_details', 'service_type')}'")
-    q["q55_left_without_service"] = (
-        "SELECT e.ename FROM r_employee e WHERE e.edol IS NOT NULL "
-        "AND NOT EXISTS (SELECT 1 FROM r_service s WHERE s.eid = e.eid)")
-    q["q56_first_service_employee"] = (
-        "SELECT e.ename FROM r_employee e JOIN r_service s ON e.eid = s.eid "
-        "WHERE s.ser_date = (SELECT MIN(ser_date) FROM r_service)")
     q["q57_odd_day_services"] = f"SELECT {SVC_COLS} FROM r_service WHERE day(ser_date) % 2 <> 0"
     q["q58_even_day_services"] = f"SELECT {SVC_COLS} FROM r_service WHERE day(ser_date) % 2 = 0"
-    q["q59_vendors_with_unused_parts"] = (
-        "SELECT v.vname FROM r_vendor v WHERE v.vid IN (SELECT p.vid FROM r_purchase p "
-        "WHERE NOT EXISTS (SELECT 1 FROM r_service s WHERE s.spid = p.spid))")
     q["q60_part_age_at_use"] = (
         f"WITH s AS (SELECT ROW_NUMBER() OVER () AS rid, * FROM r_service) "
         f"SELECT {_svc('s')}, sp.spname, CAST(COUNT(*) AS BIGINT) AS n_purchases, "
@@ -312,8 +208,6 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     q["v10_top_part_amount"] = (
         "SELECT c.cname, s.sp_amt FROM r_service s JOIN r_customer c ON s.cid = c.cid "
         f"ORDER BY s.sp_amt DESC NULLS LAST, {top_order} LIMIT 1")
-    q["v11_employees_without_service"] = (
-        "SELECT e.ename FROM r_employee e WHERE NOT EXISTS (SELECT 1 FROM r_service s WHERE s.eid = e.eid)")
     q["v12_service_rows_by_vehicle_type"] = (
         "SELECT type_veh, COUNT(*) AS service_rows FROM r_service "
         f"WHERE type_veh = '{_p('v12_service_rows_by_vehicle_type', 'vehicle_type')}' GROUP BY type_veh")
@@ -326,8 +220,6 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     q["v17_colour_purchase_rows"] = (
         "SELECT sp.spname, p.total FROM r_purchase p JOIN r_part sp ON p.spid = sp.spid "
         f"WHERE p.spid IN ({_lit_list(_p('v17_colour_purchase_rows', 'part_ids'))})")
-    q["v18_unused_purchase_rows"] = (
-        "SELECT p.* FROM r_purchase p WHERE NOT EXISTS (SELECT 1 FROM r_service s WHERE s.spid = p.spid)")
     q["v20_margin_per_employee"] = (
         "SELECT e.ename, CAST(SUM(CAST(e.esal AS DECIMAL(18,2)) - CAST(s.total AS DECIMAL(18,2))) AS DOUBLE) "
         f"AS margin FROM {served} GROUP BY e.ename")
@@ -372,14 +264,67 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     return q
 
 
-def sql_forms(params: dict[str, dict] | None = None) -> dict[str, str]:
-    """Statements over the ``r_*`` views with default literals (overridden per question by ``params``)."""
-    params = params or {}
-
-    def resolve(name: str, key: str):
-        return params.get(name, {}).get(key, _default(name, key))
-
-    return {k: v for k, v in _queries(resolve).items() if k not in DUCKDB_ONLY}
+def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
+    """Statements straight over the warehouse tables, each from the question's definition."""
+    done, bought = "l_linestatus = 'F'", "l_linestatus = 'O'"
+
+    def week(name: str, column: str) -> str:
+        return f"CAST({column} AS DATE) BETWEEN DATE '{resolve(name, 'start')}' AND DATE '{resolve(name, 'end')}'"
+
+    def finished(name: str, key: str) -> str:  # keys with a finished line ordered in the period
+        return f"SELECT {key} FROM lineitem, orders WHERE l_orderkey = o_orderkey AND {done} AND {week(name, 'o_orderdate')}"
+
+    def shipped(name: str, key: str) -> str:  # keys with an open line shipped in the period
+        return f"SELECT {key} FROM lineitem WHERE {bought} AND {week(name, 'l_shipdate')}"
+
+    middle = """
+        SELECT l_orderkey AS sid, o_custkey AS cid, l_suppkey AS eid, l_partkey AS spid, l_returnflag AS type_veh,
+               concat('V', o_orderkey) AS veh_no, o_orderpriority AS typ_ser, CAST(o_orderdate AS DATE) AS ser_date,
+               l_quantity AS qty, l_extendedprice / l_quantity AS sp_rate, l_extendedprice AS sp_amt,
+               abs(l_tax) AS sp_g, l_extendedprice AS ser_amt, abs(l_discount) AS comm, l_extendedprice AS total
+        FROM lineitem, orders WHERE l_orderkey = o_orderkey AND l_linestatus = 'F'
+        QUALIFY row_number() OVER (ORDER BY sid, cid, eid, spid, type_veh, veh_no, typ_ser, ser_date, qty, sp_rate, sp_amt, sp_g, comm)
+                = (SELECT (count(*) + 1) // 2 FROM lineitem WHERE l_linestatus = 'F')"""
+    jobs = _lit_list(resolve("q34_service_count_by_job_filter", "jobs"))
+    per_supplier = f"SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE {done} GROUP BY l_suppkey"
+    return {
+        "q01_serviced_customers": f"SELECT c_name AS cname FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE {done})) GROUP BY c_name",
+        "q02_unserviced_customers": f"SELECT c_name AS cname FROM customer ANTI JOIN ({finished('q02_unserviced_customers', 'o_custkey')}) ON c_custkey = o_custkey",
+        "q03_employees_zero_comm": f"SELECT s_name AS ename FROM supplier SEMI JOIN (SELECT l_suppkey FROM lineitem WHERE {done} AND l_discount = 0) ON s_suppkey = l_suppkey GROUP BY s_name",
+        "q04_max_commission_employee": f"SELECT s_name AS ename FROM (SELECT l_suppkey FROM lineitem WHERE {done} QUALIFY dense_rank() OVER (ORDER BY l_discount DESC) = 1), supplier WHERE l_suppkey = s_suppkey",
+        "q05_min_positive_commission": f"SELECT s_name AS ename, l_discount AS comm FROM (SELECT l_suppkey, l_discount FROM lineitem WHERE {done} AND l_discount > 0 QUALIFY dense_rank() OVER (ORDER BY l_discount) = 1), supplier WHERE l_suppkey = s_suppkey",
+        "q06_middle_record": middle,
+        "q10_max_single_payment_customer": f"SELECT c_name AS cname FROM (SELECT l_orderkey FROM lineitem WHERE {done} QUALIFY rank() OVER (ORDER BY l_extendedprice DESC) = 1), orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey",
+        "q13_parts_used_in_service": f"SELECT p_name AS spname, p_brand AS spunit FROM part SEMI JOIN (SELECT l_partkey FROM lineitem WHERE {done}) ON p_partkey = l_partkey GROUP BY ALL",
+        "q16_vendors_by_part_name": f"SELECT s_name AS vname FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE {bought} AND l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '{resolve('q16_vendors_by_part_name', 'pattern')}')) GROUP BY s_name",
+        "q18_purchased_unused_parts": f"SELECT p_name AS spname FROM part, (({shipped('q18_purchased_unused_parts', 'l_partkey')}) EXCEPT ({finished('q18_purchased_unused_parts', 'l_partkey')})) AS k WHERE p_partkey = k.l_partkey",
+        "q19_parts_never_purchased": f"SELECT p_name AS spname FROM part ANTI JOIN ({shipped('q19_parts_never_purchased', 'l_partkey')}) ON p_partkey = l_partkey",
+        "q21_repeat_customers": f"SELECT c_name AS cname FROM customer WHERE (SELECT count(*) FROM lineitem, orders WHERE l_orderkey = o_orderkey AND {done} AND o_custkey = c_custkey) >= 2",
+        "q22_items_by_location": f"SELECT n_name AS location, p_name AS item_name FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE {bought}), supplier, nation, part WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND l_partkey = p_partkey",
+        "q23_count_by_vehicle_type": f"SELECT l_returnflag AS type_veh, count(*) FILTER ({done}) AS service_count FROM lineitem GROUP BY 1 HAVING service_count > 0",
+        "q24_customers_of_max_gst_part": f"SELECT c_name AS cname, p_name AS spname FROM lineitem, orders, customer, part WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_partkey = p_partkey AND {done} AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE {bought} QUALIFY rank() OVER (ORDER BY l_tax DESC) = 1) GROUP BY ALL",
+        "q25_vendor_of_max_gst": f"SELECT s_name AS vname, p_name AS spname FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE {bought} QUALIFY rank() OVER (ORDER BY l_tax DESC) = 1), supplier, part WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey",
+        "q26_employee_item_pairs": f"SELECT s_name AS ename, p_name AS spname FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE {done} GROUP BY ALL), supplier, part WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey GROUP BY ALL",
+        "q28_vehicle_owner": f"SELECT c_name AS cname FROM lineitem, orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND {done} AND o_orderkey = CAST(substr('{resolve('q28_vehicle_owner', 'veh_no')}', 2) AS BIGINT)",
+        "q29_city_service_dates": f"SELECT c_name AS cname, CAST(o_orderdate AS DATE) AS ser_date FROM lineitem, orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND {done} AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name = '{resolve('q29_city_service_dates', 'city')}')",
+        "q30_vendor_of_max_purchase": f"SELECT s_name AS vname FROM (SELECT l_suppkey FROM lineitem WHERE {bought} QUALIFY rank() OVER (ORDER BY l_extendedprice DESC) = 1), supplier WHERE l_suppkey = s_suppkey",
+        "q31_non_mechanic_servers": f"SELECT s_name AS ename FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name = '{resolve('q31_non_mechanic_servers', 'job')}') AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE {done}) GROUP BY s_name",
+        "q32_jobs_with_min_employees": f"SELECT * FROM (SELECT r_name AS ejob, (SELECT count(*) FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey) AS employee_count FROM region) WHERE employee_count >= {resolve('q32_jobs_with_min_employees', 'more_than')} + 1",
+        "q33_rank_employees_by_services": f"WITH per AS ({per_supplier}) SELECT s_name AS ename, r_name AS ejob, n AS service_count, 1 + (SELECT count(*) FROM per AS o WHERE o.n > per.n) AS service_rank FROM per, supplier, nation, region WHERE k = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey",
+        "q34_service_count_by_job_filter": f"SELECT s_name AS ename, r_name AS ejob, n AS service_count FROM ({per_supplier}), supplier, nation, region WHERE k = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name IN ({jobs})",
+        "q37_default_commission": f"SELECT l_orderkey AS sid, l_suppkey AS eid, abs(l_discount) AS comm, coalesce(nullif(l_discount, 0), 100) AS new_commission FROM lineitem SEMI JOIN orders ON l_orderkey = o_orderkey WHERE {done}",
+        "q41_service_customer_list": f"SELECT o_orderkey AS sid, c_name AS cname FROM orders, customer, lineitem WHERE o_custkey = c_custkey AND l_orderkey = o_orderkey AND {done}",
+        "q45_location_of_max_rate": f"SELECT n_name AS vadd FROM (SELECT l_suppkey FROM lineitem WHERE {bought} QUALIFY rank() OVER (ORDER BY l_extendedprice / l_quantity DESC NULLS LAST) = 1), supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey",
+        "q51_customer_part_vehicle": f"SELECT c_name AS cname, p_name AS spname, l_returnflag AS type_veh FROM customer, orders, lineitem, part WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_partkey = p_partkey AND {done}",
+        "q52_service_breakdown": f"SELECT p_name AS spname, s_name AS ename, c_name AS cname, l_quantity AS qty, l_extendedprice / l_quantity AS sp_rate, l_extendedprice AS ser_amt FROM customer, orders, lineitem, part, supplier WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_partkey = p_partkey AND l_suppkey = s_suppkey AND {done}",
+        "q53_owners_by_service_type": f"SELECT c_name AS cname FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders SEMI JOIN (SELECT l_orderkey FROM lineitem WHERE {done}) ON o_orderkey = l_orderkey WHERE o_orderpriority = '{resolve('q53_owners_by_service_type', 'service_type')}') GROUP BY c_name",
+        "q54_full_service_details": f"SELECT c_name AS cname, n_name AS cadd, concat('V', o_orderkey) AS veh_no, CAST(o_orderdate AS DATE) AS ser_date FROM lineitem, orders, customer, nation WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n_nationkey AND {done} AND o_orderpriority = '{resolve('q54_full_service_details', 'service_type')}'",
+        "q55_left_without_service": f"SELECT s_name AS ename FROM supplier ANTI JOIN ({finished('q55_left_without_service', 'l_suppkey')}) ON s_suppkey = l_suppkey WHERE s_acctbal < 2000",
+        "q56_first_service_employee": f"SELECT s_name AS ename FROM (SELECT l_suppkey FROM lineitem, orders WHERE l_orderkey = o_orderkey AND {done} QUALIFY rank() OVER (ORDER BY CAST(o_orderdate AS DATE)) = 1), supplier WHERE l_suppkey = s_suppkey",
+        "q59_vendors_with_unused_parts": f"SELECT s_name AS vname FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE {bought} AND {week('q59_vendors_with_unused_parts', 'l_shipdate')} AND l_partkey NOT IN ({finished('q59_vendors_with_unused_parts', 'l_partkey')}))",
+        "v11_employees_without_service": f"SELECT s_name AS ename FROM supplier ANTI JOIN ({finished('v11_employees_without_service', 'l_suppkey')}) ON s_suppkey = l_suppkey",
+        "v18_unused_purchase_rows": f"SELECT l_orderkey AS pid, l_suppkey AS vid, l_partkey AS spid, l_quantity AS pqty, l_extendedprice / l_quantity AS sprate, abs(l_tax) AS spgst, CAST(l_shipdate AS DATE) AS pdate, l_extendedprice AS total FROM lineitem WHERE {bought} AND {week('v18_unused_purchase_rows', 'l_shipdate')} AND l_partkey NOT IN ({finished('v18_unused_purchase_rows', 'l_partkey')})",
+    }
 
 
 def oracle_queries() -> dict[str, str]:
@@ -388,7 +333,7 @@ def oracle_queries() -> dict[str, str]:
     def resolve(name: str, key: str):
         return WAREHOUSE_PARAMS[name][key] if key in WAREHOUSE_PARAMS.get(name, {}) else _default(name, key)
 
-    out = {}
+    out = _raw(resolve)
     for name, body in _queries(resolve).items():
         if body.lstrip().upper().startswith("WITH "):
             out[name] = "WITH " + ROLES_SQL.strip() + ",\n" + body.lstrip()[5:]

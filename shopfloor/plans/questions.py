@@ -25,7 +25,7 @@ from shopfloor.operators.many_to_many import summarise_matches
 from shopfloor.operators.membership import absent, keys_of, present
 from shopfloor.operators.positions import select_nth
 from shopfloor.operators.ranking import grade_by_dense_rank, rank_by_value
-from shopfloor.plans.common import PURCHASE_ORDER, SERVICE_ORDER, asc
+from shopfloor.plans.common import PURCHASE_ORDER, SERVICE_ORDER, asc, during
 from shopfloor.sources.roles import Roles
 
 
@@ -42,9 +42,10 @@ def q01_serviced_customers(r: Roles) -> DataFrame:
     return present(r.customer, keys_of(r.service, "cid"), ["cid"]).select("cname").distinct()
 
 
-def q02_unserviced_customers(r: Roles) -> DataFrame:
-    """Names of customers with no service (anti join; NULL service.cid does not empty it)."""
-    return absent(r.customer, keys_of(r.service, "cid"), ["cid"]).select("cname")
+def q02_unserviced_customers(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Names of customers with no service in the period (anti join; NULL service.cid does not empty it)."""
+    served = during(r.service, "ser_date", start, end)
+    return absent(r.customer, keys_of(served, "cid"), ["cid"]).select("cname")
 
 
 def q03_employees_zero_comm(r: Roles) -> DataFrame:
@@ -142,15 +143,15 @@ def q17_purchase_cost_by_part_name(r: Roles, pattern: str = "%COLOUR%") -> DataF
             .groupBy("spname").agg(F.sum("_t").cast("double").alias("total_purchase_cost")))
 
 
-def q18_purchased_unused_parts(r: Roles) -> DataFrame:
-    """Parts bought at least once and never used in a service (one row per part)."""
-    bought = present(r.part, keys_of(r.purchase, "spid"), ["spid"])
-    return absent(bought, keys_of(r.service, "spid"), ["spid"]).select("spname")
+def q18_purchased_unused_parts(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Parts bought at least once in the period and never used in a service in it (one row per part)."""
+    bought = present(r.part, keys_of(during(r.purchase, "pdate", start, end), "spid"), ["spid"])
+    return absent(bought, keys_of(during(r.service, "ser_date", start, end), "spid"), ["spid"]).select("spname")
 
 
-def q19_parts_never_purchased(r: Roles) -> DataFrame:
-    """Parts never bought (anti join; unlike NOT IN, a NULL purchase.spid does not empty it)."""
-    return absent(r.part, keys_of(r.purchase, "spid"), ["spid"]).select("spname")
+def q19_parts_never_purchased(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Parts never bought in the period (anti join; unlike NOT IN, a NULL purchase.spid does not empty it)."""
+    return absent(r.part, keys_of(during(r.purchase, "pdate", start, end), "spid"), ["spid"]).select("spname")
 
 
 def q20_profit_loss(r: Roles) -> DataFrame:
@@ -428,10 +429,10 @@ def q54_full_service_details(r: Roles, service_type: str = "FULL SERVICING") ->
     return hit.join(r.customer.select("cid", "cname", "cadd"), "cid").select("cname", "cadd", "veh_no", "ser_date")
 
 
-def q55_left_without_service(r: Roles) -> DataFrame:
-    """Employees who left without ever doing a service."""
+def q55_left_without_service(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Employees who left without ever doing a service (in the period)."""
     gone = r.employee.where(F.col("edol").isNotNull())
-    return absent(gone, keys_of(r.service, "eid"), ["eid"]).select("ename")
+    return absent(gone, keys_of(during(r.service, "ser_date", start, end), "eid"), ["eid"]).select("ename")
 
 
 def q56_first_service_employee(r: Roles) -> DataFrame:
@@ -450,9 +451,14 @@ def q58_even_day_services(r: Roles) -> DataFrame:
     return r.service.where(day_is_even(F.col("ser_date")))
 
 
-def q59_vendors_with_unused_parts(r: Roles) -> DataFrame:
-    """Vendors who sold at least one part that was never used in a service."""
-    unused = absent(r.purchase.select("vid", "spid"), keys_of(r.service, "spid"), ["spid"])
+def q59_vendors_with_unused_parts(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Vendors who sold (in the period) at least one part that was never used in a service (in it).
+
+    The anti join runs over distinct (vendor, part) pairs, so a part with a third of all
+    purchases is one row per vendor by then.
+    """
+    sold = keys_of(during(r.purchase, "pdate", start, end), "vid", "spid")
+    unused = absent(sold, keys_of(during(r.service, "ser_date", start, end), "spid"), ["spid"])
     return present(r.vendor, keys_of(unused, "vid"), ["vid"]).select("vname")
 
 

@@ -16,7 +16,7 @@ from shopfloor.operators.extremes import rows_at, top_n
 from shopfloor.operators.keep_first import first_per_key
 from shopfloor.operators.membership import absent, keys_of, present
 from shopfloor.operators.ranking import label_by_position, rank_by_value
-from shopfloor.plans.common import SERVICE_ORDER, asc
+from shopfloor.plans.common import SERVICE_ORDER, asc, during
 from shopfloor.sources.roles import Roles
 
 
@@ -99,9 +99,9 @@ def v10_top_part_amount(r: Roles) -> DataFrame:
     return top_n(rows, [F.col("sp_amt").desc_nulls_last(), *asc(SERVICE_ORDER)], 1).select("cname", "sp_amt")
 
 
-def v11_employees_without_service(r: Roles) -> DataFrame:
-    """Employees who never did a service."""
-    return absent(r.employee, keys_of(r.service, "eid"), ["eid"]).select("ename")
+def v11_employees_without_service(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Employees who never did a service (in the period)."""
+    return absent(r.employee, keys_of(during(r.service, "ser_date", start, end), "eid"), ["eid"]).select("ename")
 
 
 def v12_service_rows_by_vehicle_type(r: Roles, vehicle_type: str = "TWO WHEELER") -> DataFrame:
@@ -129,9 +129,10 @@ def v17_colour_purchase_rows(r: Roles, part_ids: Sequence[int] = (4009, 4010)) -
         .join(r.part.select("spid", "spname"), "spid").select("spname", "total")
 
 
-def v18_unused_purchase_rows(r: Roles) -> DataFrame:
-    """Whole purchase rows of parts never used in a service."""
-    return absent(r.purchase, keys_of(r.service, "spid"), ["spid"])
+def v18_unused_purchase_rows(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Whole purchase rows (in the period) of parts never used in a service (in it)."""
+    used = keys_of(during(r.service, "ser_date", start, end), "spid")
+    return absent(during(r.purchase, "pdate", start, end), used, ["spid"])
 
 
 def v20_margin_per_employee(r: Roles) -> DataFrame:

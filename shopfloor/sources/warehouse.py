@@ -5,13 +5,12 @@ The warehouse holds ``region nation customer supplier part orders lineitem``
 tables; nothing is sampled. Lines are split between the two facts by the
 status flags the warehouse already carries:
 
-* service  = lines with ``l_linestatus = 'F'`` of orders with ``o_orderstatus = 'F'``
-  (work finished for a customer);
-* purchase = lines with ``l_linestatus = 'O'`` of orders with ``o_orderstatus = 'O'``
-  (stock still open with a supplier).
+* service  = lines with ``l_linestatus = 'F'`` (work finished for a customer);
+* purchase = lines with ``l_linestatus = 'O'`` (stock still open with a supplier).
 
-The remaining lines (mixed status) belong to neither fact. Suppliers play two
-roles: the employee who does a job and the vendor who sells a part.
+Every line of an order is in exactly one fact. Suppliers play two roles: the
+employee who does a job and the vendor who sells a part. A line of quantity 0
+has no unit rate (NULL).
 
 Column mapping (role ← warehouse):
 
@@ -72,7 +71,7 @@ def _unsigned_zero(c: Column) -> Column:
 
 
 def _unit_rate(c: Column, qty: Column) -> Column:
-    return c / qty
+    return F.try_divide(c, qty)  # a line without quantity has no unit rate
 
 
 def roles_from_tables(t: dict[str, DataFrame]) -> Roles:
@@ -106,7 +105,7 @@ def roles_from_tables(t: dict[str, DataFrame]) -> Roles:
     orders = t["orders"]
     service = (
         lines.where(F.col("l_linestatus") == SERVICE_STATUS)
-        .join(orders.where(F.col("o_orderstatus") == SERVICE_STATUS), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_orderkey").alias("sid"),
             F.col("o_custkey").alias("cid"),
@@ -125,10 +124,9 @@ def roles_from_tables(t: dict[str, DataFrame]) -> Roles:
             F.col("l_extendedprice").alias("total"),
         )
     )
-    open_orders = orders.where(F.col("o_orderstatus") == PURCHASE_STATUS).select("o_orderkey")
     purchase = (
         lines.where(F.col("l_linestatus") == PURCHASE_STATUS)
-        .join(open_orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+        .join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
         .select(
             F.col("l_orderkey").alias("pid"),
             F.col("l_suppkey").alias("vid"),

@@ -36,8 +36,8 @@ def test_warehouse_roles_cover_whole_tables(spark):
     line = spark.read.parquet(os.path.join(sf, "lineitem.parquet"))
     orders = spark.read.parquet(os.path.join(sf, "orders.parquet"))
     st = line.join(orders, line.l_orderkey == orders.o_orderkey)
-    assert r.service.count() == st.where("l_linestatus = 'F' AND o_orderstatus = 'F'").count()
-    assert r.purchase.count() == st.where("l_linestatus = 'O' AND o_orderstatus = 'O'").count()
+    assert r.service.count() + r.purchase.count() == st.count()  # every line is in exactly one fact
+    assert r.service.count() == st.where("l_linestatus = 'F'").count()
     # no signed zeros survive into the facts
     assert r.service.where(F.col("comm").cast("string") == "-0.0").count() == 0
     assert r.purchase.where(F.col("spgst").cast("string") == "-0.0").count() == 0
