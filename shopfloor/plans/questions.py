@@ -137,8 +137,8 @@ def q16_vendors_by_part_name(r: Roles, pattern: str = "%ENGINE OIL%") -> DataFra
 def q17_purchase_cost_by_part_name(r: Roles, pattern: str = "%COLOUR%") -> DataFrame:
     """Total purchase cost per part name for names matching ``pattern``."""
     parts = r.part.where(F.col("spname").like(pattern)).select("spid", "spname")
-    per_part = present(r.purchase.select("spid", "total"), parts.select("spid"), ["spid"]) \
-        .groupBy("spid").agg(money_sum_exact("total").alias("_t"))  # one row per part before the join
+    # All purchases are summed per part first, partly before the shuffle, so a hot part is one row in the join.
+    per_part = r.purchase.groupBy("spid").agg(money_sum_exact("total").alias("_t"))
     return (per_part.join(parts, "spid")
             .groupBy("spname").agg(F.sum("_t").cast("double").alias("total_purchase_cost")))
 
@@ -188,7 +188,8 @@ def q24_customers_of_max_gst_part(r: Roles) -> DataFrame:
     """Customer and part for services using a part that was bought at the highest GST."""
     cust, _, part, _ = _names(r)
     hot = keys_of(rows_at(r.purchase, "spgst", "max"), "spid")
-    used = present(r.service.select("cid", "spid"), hot, ["spid"]).distinct()
+    # Distinct first: a hot part is one row per customer by the time it meets the join.
+    used = present(r.service.select("cid", "spid").distinct(), hot, ["spid"])
     return used.join(cust, "cid").join(part, "spid").select("cname", "spname").distinct()
 
 

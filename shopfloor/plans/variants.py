@@ -51,9 +51,9 @@ def v04_max_comm_per_employee(r: Roles) -> DataFrame:
 
 
 def v04_top_total_commission(r: Roles) -> DataFrame:
-    """The employee id with the largest total commission (ties → smallest id)."""
+    """The id of the known employee with the largest total commission (ties → smallest id)."""
     per = r.service.groupBy("eid").agg(money_sum("comm").alias("sum_comm"))
-    return top_n(per, [F.col("sum_comm").desc_nulls_last(), F.col("eid").asc()], 1)
+    return top_n(present(per, r.employee, ["eid"]), [F.col("sum_comm").desc_nulls_last(), F.col("eid").asc()], 1)
 
 
 def v04_top1_row(r: Roles) -> DataFrame:
@@ -193,8 +193,9 @@ def v39_same_city_as_employee(r: Roles) -> DataFrame:
 
 
 def v40_customers_per_employee(r: Roles) -> DataFrame:
-    """Number of service rows with a customer, per employee."""
-    return r.service.groupBy("eid").agg(F.count("cid").alias("customer_count"))
+    """Number of service rows with a known customer, per employee."""
+    per = r.service.where(F.col("eid").isNotNull()).groupBy("eid", "cid").agg(F.count("*").alias("_n"))
+    return present(per, r.customer, ["cid"]).groupBy("eid").agg(F.sum("_n").alias("customer_count"))
 
 
 def v42_rating_served_only(r: Roles) -> DataFrame:
@@ -221,12 +222,12 @@ def v45_location_of_max_total(r: Roles) -> DataFrame:
 
 
 def v49_spend_position(r: Roles, labels: Sequence[str] = ("A", "B", "C", "D", "E"), otherwise: str = "F") -> DataFrame:
-    """Customers by ascending spend: positions 1..5 get A..E, the rest F.
+    """Known customers by ascending spend: positions 1..5 get A..E, the rest F.
 
     Only the first len(labels) positions matter, so they come from a bounded
     top-k; every other customer gets ``otherwise``.
     """
-    spend = r.service.groupBy("cid").agg(money_sum("total").alias("total_spent"))
+    spend = present(r.service.groupBy("cid").agg(money_sum("total").alias("total_spent")), r.customer, ["cid"])
     k = len(labels)
     first = top_n(spend, [F.col("total_spent").asc_nulls_last(), F.col("cid").asc()], k)
     # The window below runs over the at most k rows of the top-k.

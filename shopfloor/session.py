@@ -25,11 +25,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable-checkpoint folder, setting one only when the cluster named none.
+    """Return the reliable-checkpoint folder, setting one only where a local session named none.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    When it is unset (local tests), a folder next to the SQL warehouse is used:
-    that location is shared storage on a cluster, never a machine-local temp dir.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder and is used as is. A local
+    master is one process, so there a folder next to the SQL warehouse will do.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -37,6 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir", None) or os.path.abspath("spark-warehouse")
         configured = warehouse.rstrip("/") + "/_shopfloor_checkpoints"
     sc.setCheckpointDir(configured)

@@ -37,7 +37,6 @@ equality, grouping and printed values agree across engines.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
@@ -60,8 +59,11 @@ HIRED_FROM = "1990-01-01"
 
 def read_warehouse(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     def path(name: str) -> str:
-        single = os.path.join(folder, f"{name}.parquet")
-        return single if ("://" in folder or os.path.exists(single)) else os.path.join(folder, name)
+        """The table as a file or folder of its own name, asked of the file system that holds it."""
+        single = f"{folder.rstrip('/')}/{name}.parquet"
+        at = spark._jvm.org.apache.hadoop.fs.Path(single)
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return single if there else f"{folder.rstrip('/')}/{name}"
 
     return {t: spark.read.parquet(path(t)) for t in WAREHOUSE_TABLES}
 
@@ -166,6 +168,9 @@ def persist_roles(spark: SparkSession, roles: Roles, tag: str) -> Roles:
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
     target = f"{base}/shopfloor_roles/{tag}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    # Gone with the application: the copies serve its queries only.
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
     def write(role: str, date_col: str | None) -> str:
         path = f"{target}/{role}"
@@ -186,11 +191,24 @@ def persist_roles(spark: SparkSession, roles: Roles, tag: str) -> Roles:
     return replace(roles, **derived).validate()
 
 
+def _state(spark: SparkSession, folder: str) -> str:
+    """The input files with their lengths and times: other data under one path is another state."""
+    files = sorted(f for t in read_warehouse(spark, folder).values() for f in t.inputFiles())
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    found = []
+    for name in files:
+        path = hadoop.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return hashlib.sha1("|".join(found).encode()).hexdigest()
+
+
 def suite_roles(spark: SparkSession, folder: str) -> Roles:
     """Warehouse roles with persisted facts, built once per application and folder."""
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, _state(spark, folder))
     with _PERSIST_LOCK:  # concurrent callers wait for one write instead of racing on the same folder
         if key not in _PERSISTED:
-            tag = hashlib.sha1(folder.encode()).hexdigest()[:16]
+            tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
             _PERSISTED[key] = persist_roles(spark, warehouse_roles(spark, folder), tag)
         return _PERSISTED[key]

@@ -47,4 +47,3 @@ def test_column_pruning_reaches_the_scan(roles):
 def test_status_filters_are_pushed_down(roles):
     text = _plan_text(plan("q47_purchase_total_by_location", roles, warehouse=True))
     assert re.search(r"lineitem\.parquet.*?PushedFilters: \[[^\]]*EqualTo\(l_linestatus,O\)", text)
-    assert re.search(r"orders\.parquet.*?PushedFilters: \[[^\]]*EqualTo\(o_orderstatus,O\)", text)
