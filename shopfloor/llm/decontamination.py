@@ -92,17 +92,53 @@ def template(text: str) -> tuple[list[str], list[str | None]]:
     return words, values
 
 
-def _window_keys(words: list[str], keys: WordKeys) -> np.ndarray:
-    """A key for each window; a text shorter than a window has one for all of it."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(keys.__getitem__, words), np.uint64, n)
-    size = min(WINDOW, n)
-    out = np.zeros(n - size + 1, np.uint64)
-    for k in range(size):
-        out = out * _MULTIPLIER + own[k:n - size + 1 + k]
-    return out ^ (out >> np.uint64(29)) if n >= WINDOW else out + np.uint64(n)
+_PIECES = re.compile(r"[^\W_]+|[%$€£°]|[.!?:;\n]").findall
+_LITERAL, _NUMBER, _UNIT, _CAPITAL, _STOP = range(5)
+
+
+class Pieces(dict):
+    """Words and sentence ends under numbers, with what :func:`template` makes of them in arrays."""
+
+    def __init__(self, keys: WordKeys) -> None:
+        self.keys_of = keys
+        self.kind, self.key = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.kind):
+            self.kind, self.key = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.key))
+        lower = word.lower()
+        kind = (_STOP if word in _STOPS else _NUMBER if any(ch.isdigit() for ch in word) else _UNIT if lower in UNITS
+                else _CAPITAL if word[0].isupper() and not word.isupper() else _LITERAL)
+        # A unit word that starts with a capital may be a name: two bits tell both.
+        self.kind[at] = kind | 8 * (kind == _UNIT and word[0].isupper() and not word.isupper())
+        self.key[at] = self.keys_of["<number>" if kind == _NUMBER else lower]
+        self[word] = at
+        return at
+
+    def template_keys(self, text: str) -> np.ndarray:
+        """The keys of the template words of a text."""
+        found = _PIECES(text)
+        if len(self) > 1_000_000:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        kind, key = self.kind[at], self.key[at]
+        word = kind != _STOP
+        starts = np.concatenate([[True], ~word[:-1]])[word] if len(at) else np.zeros(0, bool)
+        kind, key = kind[word], key[word]
+        number = kind == _NUMBER
+        unit = ((kind & 7) == _UNIT) & np.concatenate([[False], number[:-1]])[:len(kind)]
+        name = ((kind == _CAPITAL) | (kind & 8 > 0)) & ~starts & ~unit
+        key[unit], key[name] = self.keys_of["<unit>"], self.keys_of["<name>"]
+        return key
+
+
+def _window_keys(own: np.ndarray, size: int) -> np.ndarray:
+    """A key for each window of ``size`` template words."""
+    out = np.zeros(max(0, len(own) - size + 1), np.uint64)
+    for k in range(size if len(out) else 0):
+        out = out * _MULTIPLIER + own[k:len(out) + k]
+    return out + np.uint64(size)
 
 
 class Block:
@@ -110,18 +146,17 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         keys = WordKeys()
-        self.items, self.sizes = [], set()
+        self.items, self.sizes = [], {WINDOW}
         found, owner, place = [], [], []
         for item_id, text in items:
             words, values = template(text)
-            own = _window_keys(words, keys)
             size = min(WINDOW, len(words))
+            own = _window_keys(np.fromiter(map(keys.__getitem__, words), np.uint64, len(words)), size)
             literal = np.cumsum([0, *(v is None for v in values)])
             use = np.flatnonzero(literal[size:] - literal[:len(literal) - size] >= min(LITERALS, size)) if len(words) else np.zeros(0, np.int64)
             if not len(use):
                 continue
-            if len(words) < WINDOW:
-                self.sizes.add(len(words))
+            self.sizes.add(size)  # items shorter than a window are one window
             found.append(own[use])
             owner += [len(self.items)] * len(use)
             place += use.tolist()
@@ -133,22 +168,22 @@ class Block:
     def __len__(self) -> int:
         return len(self.keys)
 
-    def hits(self, text: str, keys: WordKeys) -> list[tuple[int, int]]:
+    def hits(self, text: str, pieces: Pieces) -> list[tuple[int, int]]:
         """(item_id, windows that agree) of the items found in a text."""
         if not self.items:
             return []
-        plain = _WORDS.findall(text)
-        if not plain:
+        own, met = pieces.template_keys(text), []
+        for size in sorted(self.sizes):
+            found = _window_keys(own, size)
+            low = np.searchsorted(self.keys, found, "left")
+            hit = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == found)
+            if len(hit):
+                met.append((size, found, low, hit))
+        if not met:
             return []
         words, values = template(text)
-        own = [(_window_keys(words, keys), min(WINDOW, len(words)))] if len(words) >= WINDOW else []
-        for size in self.sizes:  # items shorter than a window
-            if len(words) >= size:
-                own.append((_short_keys(words, keys, size), size))
         aligned: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for found, size in own:
-            low = np.searchsorted(self.keys, found, "left")
-            hit = np.flatnonzero((low < len(self.keys)) & (self.keys[np.minimum(low, len(self.keys) - 1)] == found))
+        for size, found, low, hit in met:
             for at in hit.tolist():
                 for k in range(int(low[at]), int(np.searchsorted(self.keys, found[at], "right"))):
                     item, place = int(self.owner[k]), int(self.place[k])
@@ -166,14 +201,6 @@ class Block:
         return sorted(best.items())
 
 
-def _short_keys(words: list[str], keys: WordKeys, size: int) -> np.ndarray:
-    own = np.fromiter(map(keys.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(len(words) - size + 1, np.uint64)
-    for k in range(size):
-        out = out * _MULTIPLIER + own[k:len(words) - size + 1 + k]
-    return out + np.uint64(size)
-
-
 def consistent(slots: list[tuple[str, str, str]]) -> bool:
     """Whether (type, item value, document value) is one to one within each type."""
     there: dict[tuple[str, str], str] = {}
@@ -205,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys = WordKeys()
+            keys = Pieces(WordKeys())
             for batch in batches:
                 hits = [[{"item_id": i, "n_windows": n} for i, n in shared.value.hits(x.as_py(), keys)] for x in batch.column(len(keep))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(hits, kind)], [*keep, "hits"])
