@@ -3,8 +3,8 @@
 Fingerprints that differ in at most ``max_bits`` bits are linked. The 64 bits are put into
 partitions of correlated bits; partition i gets a threshold t_i (-1: not probed) such that
 the sum of (t_i + 1) is ``max_bits + 1``, so two linked fingerprints differ in at most t_i
-bits of some partition i. Dynamic programming picks the thresholds with the fewest estimated
-candidate pairs. A fingerprint is probed under the bits of each partition, with every choice of
+bits of some partition i. Dynamic programming picks the thresholds that cost least by the estimated
+candidate pairs and the number of probes. A fingerprint is probed under the bits of each partition, with every choice of
 t_i of them masked, and each bucket verifies the full distance.
 
 A bucket of more than ``BUCKET`` different fingerprints is not compared pair by pair: its
@@ -30,6 +30,7 @@ from shopfloor.llm.components import components
 
 PARTITIONS = 4
 BUCKET = 8192  #: different fingerprints that are compared within one bucket (64 kB of them)
+PROBE_PAIRS = 200  #: a probe, a row that is shuffled and gathered, costs about as much as so many vectorised comparisons
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -122,7 +123,7 @@ def allocate(histograms: list[tuple[list[int], np.ndarray, np.ndarray]], max_bit
             keep = np.uint64(_unsigned(~sum(1 << b for b in masked)))
             _, at = np.unique(values & keep, return_inverse=True)
             per = np.bincount(at, counts)
-            total += float((per * (per - 1) / 2).sum()) + float(counts.sum())  # pairs, and the probes themselves
+            total += float((per * (per - 1) / 2).sum()) + PROBE_PAIRS * float(counts.sum())  # pairs, and the probes themselves
         return total
 
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
