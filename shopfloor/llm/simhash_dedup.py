@@ -166,6 +166,11 @@ def _links(buckets: DataFrame, max_bits: int) -> DataFrame:
     return buckets.mapInArrow(run, "u long, v long")
 
 
+def _gathered(level: DataFrame) -> DataFrame:
+    """The fingerprints of each bucket that holds more than one; no bucket of ``level`` is large."""
+    return level.groupBy("mask", "value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+
+
 def _of_masks(fps: DataFrame, masks: list[int]) -> DataFrame:
     each = F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks)))
     return fps.select("fp", each.alias("mask"))
@@ -189,15 +194,17 @@ def links(fps: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame:
     level, found = _of_masks(fps, masks), []
     while True:
         level = level.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = written(level.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-        small = level.join(sizes.where(F.col("n") <= bucket), ["mask", "value"]).groupBy("mask", "value").agg(F.collect_list("fp").alias("fps"))
-        found.append(written(_links(small.select("fps"), max_bits), "links"))
-        big = sizes.where(F.col("n") > bucket)
+        sizes = level.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+        big = written(sizes.select("mask", "value", F.lit(True).alias("big")), "big-buckets")
         if big.isEmpty():
+            found.append(written(_links(_gathered(level), max_bits), "links"))
             break
+        # Written before it is grouped, so that the join may split a bucket with a large share of the rows.
+        level = written(level.join(big, ["mask", "value"], "left"), "told-buckets")
+        found.append(written(_links(_gathered(level.where("big IS NULL")), max_bits), "links"))
         finer = [(m, child) for m in (r["mask"] for r in big.select("mask").distinct().collect()) for child in _finer(m, max_bits)]
         children = spark.createDataFrame(finer, "mask long, child long")  # as many rows as there are masks, not data
-        again = level.join(big.select("mask", "value"), ["mask", "value"]).select("fp", "mask")
+        again = level.where("big").select("fp", "mask")
         level = written(again.join(F.broadcast(children), "mask").select("fp", F.col("child").alias("mask")).distinct(), "finer")
     out = found[0]
     for more in found[1:]:
