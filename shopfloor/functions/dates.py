@@ -10,12 +10,13 @@ DAY_MONTH_YEAR = "dd-MMM-yy"
 
 
 def parse_day_month_year(c: Column) -> Column:
-    """``02-JAN-11`` → DATE 2011-01-02. Empty or NULL text → NULL.
+    """``02-JAN-11`` → DATE 2011-01-02. Empty or NULL text → NULL; other text that is
+    no such date fails the query (ANSI mode), as a malformed number does.
 
     Spark matches month abbreviations case-insensitively, so ``JAN``, ``Jan``
     and ``jan`` all parse; two-digit years land in 20yy.
     """
-    return F.try_to_date(F.trim(c), DAY_MONTH_YEAR)
+    return F.to_date(F.nullif(F.trim(c), F.lit("")), DAY_MONTH_YEAR)
 
 
 def day_is_odd(c: Column) -> Column:

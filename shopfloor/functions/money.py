@@ -1,7 +1,7 @@
 """Exact money arithmetic.
 
-Amounts are summed as DECIMAL(18,2) and the exact total is returned as
-DOUBLE, so a sum does not depend on the order in which partial sums meet
+Amounts are summed as DECIMAL with six decimals, which keeps prices below a
+cent, and the exact total is returned as DOUBLE, so a sum does not depend on the order in which partial sums meet
 (floating-point addition is not associative).
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(24,6)"
 
 
 def as_money(c: Column | str) -> Column:

@@ -8,9 +8,9 @@ that a final group below one hundred is joined by `` and ``
 truncated toward zero; NULL stays NULL.
 
 The integer is written as a zero-padded digit string and cut into 3-digit
-groups; each group is spelled by one lookup in a 1000-entry array that is
-generated below from the word lists. Everything is a built-in expression, so
-it stays inside whole-stage codegen — no Python worker, no per-row pickling.
+groups; one ``transform`` over the groups spells each of them from the two short
+word lists. Everything is a built-in expression: no Python worker, no per-row
+pickling, and a few kilobytes of plan.
 """
 
 from __future__ import annotations
@@ -63,77 +63,31 @@ def spell_integer(n: int | None) -> str | None:
     return sign + ", ".join(high + ([BELOW_THOUSAND[g0]] if g0 else []))
 
 
+def _pick(words: list[str], at: Column) -> Column:
+    return F.element_at(F.split(F.lit("|".join(words)), "[|]"), at + 1)
+
+
+def _below_thousand(g: Column) -> Column:
+    """Words for 0..999 ('' for 0)."""
+    rest = g % 100
+    tens = F.concat_ws("-", _pick(TENS, F.floor(rest / 10).cast("int")), F.when(rest % 10 > 0, _pick(UNITS, rest % 10)))
+    small = F.when((rest > 0) & (rest < 20), _pick(UNITS, rest)).when(rest >= 20, tens)
+    return F.concat_ws(" and ", F.when(g >= 100, F.concat(_pick(UNITS, F.floor(g / 100).cast("int")), F.lit(" hundred"))), small)
+
+
 def amount_in_words(amount: Column | str) -> Column:
-    """English words for the integer part of ``amount``.
-
-    Given a column *name*, the expression is handed to Spark as one SQL
-    expression (a single call to the JVM, parsed there); given a ``Column``
-    (any expression), it is assembled from column functions.
-    """
-    if isinstance(amount, str):
-        return F.expr(words_sql(f"`{amount}`", "spark"))
-    return _amount_in_words_column(amount)
-
-
-def _amount_in_words_column(amount: Column) -> Column:
-    n = amount.cast("decimal(38,6)").cast("bigint")  # truncate toward zero
-    digits = F.lpad(F.abs(n).cast("string"), _DIGITS, "0")
-    # One string literal split into the 1000-entry array: a single value crosses to the JVM and
-    # the optimizer folds the split into one array literal.
-    lookup = F.split(F.lit("|".join(BELOW_THOUSAND)), r"\|")
-
-    def group(i: int) -> Column:  # i = 0 for units, 1 for thousands, ...
-        return F.substring(digits, _DIGITS - 3 * i - 2, 3).cast("int")
-
-    def words(i: int) -> Column:
-        return F.element_at(lookup, group(i) + 1)
-
-    high = [F.when(group(i) > 0, F.concat(words(i), F.lit(" " + SCALES[i]))) for i in range(len(SCALES) - 1, 0, -1)]
-    g0 = group(0)
-    has_high = F.abs(n) >= 1000
-    body = F.when(has_high & (g0 > 0) & (g0 < 100),
-                  F.concat(F.concat_ws(", ", *high), F.lit(" and "), words(0))) \
-        .otherwise(F.concat_ws(", ", *high, F.when(g0 > 0, words(0))))
-    body = F.when(n == 0, F.lit("zero")).otherwise(body)
-    return F.when(n < 0, F.concat(F.lit("minus "), body)).when(n >= 0, body)
-
-
-def words_sql(expr: str, dialect: str) -> str:
-    """The same spelling as a SQL expression over ``expr``, for ``dialect`` 'spark' or 'duckdb'."""
-    if dialect == "spark":
-        lookup = "split('" + "|".join(BELOW_THOUSAND) + "', '[|]')"
-        n = f"CAST(CAST({expr} AS DECIMAL(38,6)) AS BIGINT)"  # the cast truncates toward zero
-        text_type, int_type = "STRING", "INT"
-
-        def at(i: str) -> str:
-            return f"element_at({lookup}, {i} + 1)"
-    elif dialect == "duckdb":
-        lookup = "[" + ", ".join(f"'{w}'" for w in BELOW_THOUSAND) + "]"
-        n = f"CAST(TRUNC(CAST({expr} AS DECIMAL(38,6))) AS BIGINT)"
-        text_type, int_type = "VARCHAR", "INTEGER"
-
-        def at(i: str) -> str:
-            return f"{lookup}[{i} + 1]"
-    else:
-        raise ValueError(dialect)
-    digits = f"lpad(CAST(abs({n}) AS {text_type}), {_DIGITS}, '0')"
-
-    def group(i: int) -> str:
-        return f"CAST(substring({digits}, {_DIGITS - 3 * i - 2}, 3) AS {int_type})"
-
-    def words(i: int) -> str:
-        return at(group(i))
-
-    high = ", ".join(f"CASE WHEN {group(i)} > 0 THEN {words(i)} || ' {SCALES[i]}' END"
-                     for i in range(len(SCALES) - 1, 0, -1))
-    g0 = group(0)
-    body = (f"CASE WHEN abs({n}) >= 1000 AND {g0} > 0 AND {g0} < 100 "
-            f"THEN concat_ws(', ', {high}) || ' and ' || {words(0)} "
-            f"ELSE concat_ws(', ', {high}, CASE WHEN {g0} > 0 THEN {words(0)} END) END")
-    body = f"CASE WHEN {n} = 0 THEN 'zero' ELSE {body} END"
-    return f"CASE WHEN {n} < 0 THEN 'minus ' || {body} WHEN {n} >= 0 THEN {body} END"
-
-
-def amount_in_words_sql(expr: str) -> str:
-    """The spelling as a DuckDB SQL expression over ``expr`` (used by the oracle)."""
-    return words_sql(expr, "duckdb")
+    """English words for the integer part of ``amount`` (a column or its name)."""
+    n = (F.col(amount) if isinstance(amount, str) else amount).cast("bigint")  # truncates toward zero
+    last = len(SCALES) - 1
+    digits = F.lpad(F.regexp_replace(n.cast("string"), "^-", ""), _DIGITS, "0")
+    groups = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.substr(digits, i * 3 + 1, F.lit(3)).cast("int"))
+    spelled = F.transform(groups, _below_thousand)  # highest group first; bound once below
+
+    def joined(words: Column) -> Column:
+        high = F.concat_ws(", ", *(F.when(words[k] != "", F.concat(words[k], F.lit(" " + SCALES[last - k]))) for k in range(last)))
+        below_hundred = ~F.contains(words[last], F.lit("hundred"))
+        return F.when(words[last] == "", high).when(high == "", words[last]) \
+            .otherwise(F.concat(high, F.when(below_hundred, " and ").otherwise(", "), words[last]))
+
+    body = F.transform(F.array(spelled), joined)[0]
+    return F.when(n == 0, F.lit("zero")).when(n < 0, F.concat(F.lit("minus "), body)).when(n > 0, body)

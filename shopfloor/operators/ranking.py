@@ -73,13 +73,13 @@ def rank_by_value(
     out: str = "rank",
     method: str = "rank",
     descending: bool = True,
-    bounded_values: bool = True,
+    bounded_values: bool = False,
 ) -> DataFrame:
     """Add ``out`` = ``rank()`` or ``dense_rank()`` of ``col`` over all rows of ``df``.
 
-    ``bounded_values`` states that ``col`` is a per-group row count (see the
-    module docstring); for other columns pass False and the join is left to
-    the planner's size estimates and AQE.
+    ``bounded_values=True`` states that ``col`` is a per-group row count (see the
+    module docstring), so its ranked values may be broadcast; otherwise the join is
+    left to the planner's size estimates and AQE.
 
     ``df`` is typically already aggregated (one row per group). NULL values
     rank last, as in ``ORDER BY col DESC NULLS LAST``; ranks are BIGINT.

@@ -17,7 +17,6 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 
-from shopfloor.functions.words import amount_in_words_sql
 from shopfloor.plans.catalog import ALL, WAREHOUSE_PARAMS
 from shopfloor.plans.common import SERVICE_ORDER
 
@@ -153,9 +152,6 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     by_loc = (f"SELECT v.vadd, {money('p.total')} AS {{out}} FROM r_vendor v JOIN r_purchase p ON v.vid = p.vid "
               "GROUP BY v.vadd")
     q["q47_purchase_total_by_location"] = by_loc.format(out="total_purchase_amount")
-    q["q48_purchase_total_in_words"] = (
-        f"SELECT vadd, total_amount, {amount_in_words_sql('total_amount')} AS amount_in_words "
-        f"FROM ({by_loc.format(out='total_amount')})")
     q["q49_customer_spend_rating"] = (
         f"WITH spend AS (SELECT cid, {money('total')} AS total_spent FROM r_service GROUP BY cid), "
         "rated AS (SELECT cid, total_spent, DENSE_RANK() OVER (ORDER BY total_spent DESC) AS dr FROM spend) "
@@ -226,11 +222,6 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     q["v24_top_service_gst"] = (
         "SELECT c.cname, s.sp_g FROM r_service s JOIN r_customer c ON s.cid = c.cid "
         f"ORDER BY s.sp_g DESC NULLS LAST, {top_order} LIMIT 1")
-    q["v27_vehicle_supply_report"] = (
-        "SELECT c.cname, s.veh_no, sp.spname, p.pqty, p.pdate, v.vadd FROM r_service s "
-        "JOIN r_customer c ON s.cid = c.cid JOIN r_part sp ON s.spid = sp.spid "
-        "JOIN r_purchase p ON s.spid = p.spid JOIN r_vendor v ON p.vid = v.vid "
-        f"WHERE s.veh_no = '{_p('v27_vehicle_supply_report', 'veh_no')}'")
     q["v33_dense_rank_services"] = (
         "SELECT e.ename, COUNT(*) AS service_count, "
         "CAST(DENSE_RANK() OVER (ORDER BY COUNT(*) DESC) AS BIGINT) AS service_dense_rank "
@@ -285,7 +276,25 @@ def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
         FROM lineitem, orders WHERE l_orderkey = o_orderkey AND l_linestatus = 'F'
         QUALIFY row_number() OVER (ORDER BY sid, cid, eid, spid, type_veh, veh_no, typ_ser, ser_date, qty, sp_rate, sp_amt, sp_g, comm)
                 = (SELECT (count(*) + 1) // 2 FROM lineitem WHERE l_linestatus = 'F')"""
+    vehicle = resolve("v27_vehicle_supply_report", "veh_no")
     jobs = _lit_list(resolve("q34_service_count_by_job_filter", "jobs"))
+    # Spelled by arithmetic on the powers of a thousand, with words typed here once more.
+    spelled = """
+        WITH sums AS (SELECT n_name AS vadd, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS total
+                      FROM lineitem, supplier, nation
+                      WHERE l_linestatus = 'O' AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey GROUP BY 1),
+        parts AS (SELECT vadd, total, i, CAST(floor(total) AS BIGINT) // CAST(1000 ** i AS BIGINT) % 1000 AS g FROM sums, range(5) AS t(i)),
+        cut AS (SELECT vadd, total, i, g // 100 AS h, g % 100 AS r FROM parts WHERE g > 0),
+        lists AS (SELECT ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen',
+                          'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'] AS ones,
+                         ['twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety'] AS tens,
+                         [' thousand', ' million', ' billion', ' trillion'] AS powers),
+        said AS (SELECT vadd, total, i, h, concat(
+                     CASE WHEN h > 0 THEN concat(ones[h], ' hundred') END, CASE WHEN h > 0 AND r > 0 THEN ' and ' END,
+                     CASE WHEN r BETWEEN 1 AND 19 THEN ones[r] WHEN r > 0 THEN concat(tens[r // 10 - 1], CASE WHEN r % 10 > 0 THEN concat('-', ones[r % 10]) END) END,
+                     CASE WHEN i > 0 THEN powers[i] END) AS w FROM cut, lists),
+        glued AS (SELECT vadd, total, w, i, CASE WHEN i = max(i) OVER (PARTITION BY vadd) THEN '' WHEN i = 0 AND h = 0 THEN ' and ' ELSE ', ' END AS glue FROM said)
+        SELECT vadd, CAST(total AS DOUBLE) AS total_amount, string_agg(concat(glue, w), '' ORDER BY i DESC) AS amount_in_words FROM glued GROUP BY vadd, total"""
     per_supplier = f"SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE {done} GROUP BY l_suppkey"
     return {
         "q01_serviced_customers": f"SELECT c_name AS cname FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE {done})) GROUP BY c_name",
@@ -305,6 +314,8 @@ def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
         "q24_customers_of_max_gst_part": f"SELECT c_name AS cname, p_name AS spname FROM lineitem, orders, customer, part WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_partkey = p_partkey AND {done} AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE {bought} QUALIFY rank() OVER (ORDER BY l_tax DESC) = 1) GROUP BY ALL",
         "q25_vendor_of_max_gst": f"SELECT s_name AS vname, p_name AS spname FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE {bought} QUALIFY rank() OVER (ORDER BY l_tax DESC) = 1), supplier, part WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey",
         "q26_employee_item_pairs": f"SELECT s_name AS ename, p_name AS spname FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE {done} GROUP BY ALL), supplier, part WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey GROUP BY ALL",
+        "q27_supply_records": f"SELECT l_partkey AS spid, p_name AS spname, CAST(l_shipdate AS DATE) AS pdate, s_name AS vname, n_name AS vadd FROM lineitem, part, supplier, nation WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND {bought} GROUP BY ALL",
+        "q48_purchase_total_in_words": spelled,
         "q28_vehicle_owner": f"SELECT c_name AS cname FROM lineitem, orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND {done} AND o_orderkey = CAST(substr('{resolve('q28_vehicle_owner', 'veh_no')}', 2) AS BIGINT)",
         "q29_city_service_dates": f"SELECT c_name AS cname, CAST(o_orderdate AS DATE) AS ser_date FROM lineitem, orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND {done} AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name = '{resolve('q29_city_service_dates', 'city')}')",
         "q30_vendor_of_max_purchase": f"SELECT s_name AS vname FROM (SELECT l_suppkey FROM lineitem WHERE {bought} QUALIFY rank() OVER (ORDER BY l_extendedprice DESC) = 1), supplier WHERE l_suppkey = s_suppkey",
@@ -323,6 +334,7 @@ def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
         "q56_first_service_employee": f"SELECT s_name AS ename FROM (SELECT l_suppkey FROM lineitem, orders WHERE l_orderkey = o_orderkey AND {done} QUALIFY rank() OVER (ORDER BY CAST(o_orderdate AS DATE)) = 1), supplier WHERE l_suppkey = s_suppkey",
         "q59_vendors_with_unused_parts": f"SELECT s_name AS vname FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE {bought} AND {week('q59_vendors_with_unused_parts', 'l_shipdate')} AND l_partkey NOT IN ({finished('q59_vendors_with_unused_parts', 'l_partkey')}))",
         "v11_employees_without_service": f"SELECT s_name AS ename FROM supplier ANTI JOIN ({finished('v11_employees_without_service', 'l_suppkey')}) ON s_suppkey = l_suppkey",
+        "v27_vehicle_supply_report": f"SELECT c_name AS cname, concat('V', o_orderkey) AS veh_no, p_name AS spname, (SELECT count(*) FROM lineitem AS u WHERE u.l_orderkey = o_orderkey AND u.l_partkey = p_partkey AND u.l_linestatus = 'F') AS n_uses, b.l_quantity AS pqty, CAST(b.l_shipdate AS DATE) AS pdate, n_name AS vadd FROM orders, customer, part, lineitem AS b, supplier, nation WHERE o_custkey = c_custkey AND o_orderkey = CAST(substr('{vehicle}', 2) AS BIGINT) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE {done} AND l_orderkey = o_orderkey) AND b.l_partkey = p_partkey AND b.l_linestatus = 'O' AND b.l_suppkey = s_suppkey AND s_nationkey = n_nationkey",
         "v18_unused_purchase_rows": f"SELECT l_orderkey AS pid, l_suppkey AS vid, l_partkey AS spid, l_quantity AS pqty, l_extendedprice / l_quantity AS sprate, abs(l_tax) AS spgst, CAST(l_shipdate AS DATE) AS pdate, l_extendedprice AS total FROM lineitem WHERE {bought} AND {week('v18_unused_purchase_rows', 'l_shipdate')} AND l_partkey NOT IN ({finished('v18_unused_purchase_rows', 'l_partkey')})",
     }
 

@@ -232,6 +232,18 @@ def q27_service_supply_report(r: Roles) -> DataFrame:
     ], right_extra=part).join(cust, "cid").select(*cols).distinct()
 
 
+def q27_supply_records(r: Roles) -> DataFrame:
+    """The distinct supply records of every part: date, vendor and location of its purchases.
+
+    With the report of :func:`q27_service_supply_report` this is the whole listing, in a size
+    linear in the purchases.
+    """
+    _, _, part, _ = _names(r)
+    bought = r.purchase.select("spid", "pdate", "vid").distinct()
+    return (bought.join(r.vendor.select("vid", "vname", "vadd"), "vid").join(part, "spid")
+            .select("spid", "spname", "pdate", "vname", "vadd").distinct())
+
+
 def q28_vehicle_owner(r: Roles, veh_no: str = "MH14PA335") -> DataFrame:
     """Owner of a vehicle (one row per service of it)."""
     cust, _, _, _ = _names(r)
@@ -271,7 +283,7 @@ def _service_counts(r: Roles) -> DataFrame:
 def q33_rank_employees_by_services(r: Roles) -> DataFrame:
     """Employees with services, their service count and RANK by it (highest first)."""
     counts = _service_counts(r).join(r.employee.select("eid", "ename", "ejob"), "eid")
-    return rank_by_value(counts, "service_count", out="service_rank", method="rank") \
+    return rank_by_value(counts, "service_count", out="service_rank", method="rank", bounded_values=True) \
         .select("ename", "ejob", "service_count", "service_rank")
 
 

@@ -16,7 +16,7 @@ from shopfloor.operators.extremes import rows_at, top_n
 from shopfloor.operators.keep_first import first_per_key
 from shopfloor.operators.membership import absent, keys_of, present
 from shopfloor.operators.ranking import label_by_position, rank_by_value
-from shopfloor.plans.common import SERVICE_ORDER, asc, during
+from shopfloor.plans.common import SERVICE_ORDER, during
 from shopfloor.sources.roles import Roles
 
 
@@ -56,11 +56,21 @@ def v04_top_total_commission(r: Roles) -> DataFrame:
     return top_n(present(per, r.employee, ["eid"]), [F.col("sum_comm").desc_nulls_last(), F.col("eid").asc()], 1)
 
 
+def _top_row(rows: DataFrame, key: str, known: DataFrame, value: str, descending: bool = True) -> DataFrame:
+    """The service row with the highest (or lowest) ``value`` among rows whose ``key`` is known, with its ``known`` columns.
+
+    The best row of each key is found first, partly before the shuffle, so the join sees one row a key.
+    """
+    place = -F.col(value) if descending else F.col(value)
+    first = F.min(F.struct(F.col(value).isNull().alias("_missing"), place.alias("_place"), *SERVICE_ORDER))
+    best = rows.groupBy(key).agg(first.alias("_best")).join(known, key)
+    names = [c for c in known.columns if c != key]
+    return top_n(best, [F.col("_best").asc()], 1).select(*names, F.col(f"_best.{value}").alias(value))
+
+
 def v04_top1_row(r: Roles) -> DataFrame:
     """Name and commission of the single highest-commission service row."""
-    rows = _served_by(r)
-    best = top_n(rows, [F.col("comm").desc_nulls_last(), *asc(SERVICE_ORDER)], 1)
-    return best.select("ename", "comm")
+    return _top_row(r.service, "eid", r.employee.select("eid", "ename"), "comm")
 
 
 def v05_min_comm_per_employee(r: Roles) -> DataFrame:
@@ -70,8 +80,8 @@ def v05_min_comm_per_employee(r: Roles) -> DataFrame:
 
 def v05_bottom1_positive(r: Roles) -> DataFrame:
     """Name and commission of the single lowest positive-commission service row."""
-    rows = _served_by(r).where(F.col("comm") > 0)
-    return top_n(rows, [F.col("comm").asc(), *asc(SERVICE_ORDER)], 1).select("ename", "comm")
+    paid = r.service.where(F.col("comm") > 0)
+    return _top_row(paid, "eid", r.employee.select("eid", "ename"), "comm", descending=False)
 
 
 def v06_key_midpoint(r: Roles) -> DataFrame:
@@ -95,8 +105,7 @@ def v10_top_total_spender(r: Roles) -> DataFrame:
 
 def v10_top_part_amount(r: Roles) -> DataFrame:
     """Customer and part amount of the single service row with the largest part amount."""
-    rows = r.service.join(r.customer.select("cid", "cname"), "cid")
-    return top_n(rows, [F.col("sp_amt").desc_nulls_last(), *asc(SERVICE_ORDER)], 1).select("cname", "sp_amt")
+    return _top_row(r.service, "cid", r.customer.select("cid", "cname"), "sp_amt")
 
 
 def v11_employees_without_service(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -145,29 +154,28 @@ def v20_margin_per_employee(r: Roles) -> DataFrame:
 
 def v24_top_service_gst(r: Roles) -> DataFrame:
     """Customer and part GST of the single service row with the highest part GST."""
-    rows = r.service.join(r.customer.select("cid", "cname"), "cid")
-    return top_n(rows, [F.col("sp_g").desc_nulls_last(), *asc(SERVICE_ORDER)], 1).select("cname", "sp_g")
+    return _top_row(r.service, "cid", r.customer.select("cid", "cname"), "sp_g")
 
 
 def v27_vehicle_supply_report(r: Roles, veh_no: str = "MH14PA335") -> DataFrame:
     """For one vehicle: customer, part and every purchase (quantity, date, location) of that part.
 
-    The vehicle filter bounds one side to that vehicle's services, so the
-    listing is linear in the purchases of its parts.
+    Equal uses are one row with their number ``n_uses``, so the listing is linear in the
+    purchases of the vehicle's parts however often one of them was used.
     """
-    uses = r.service.where(F.col("veh_no") == veh_no).select("cid", "veh_no", "spid")
+    uses = r.service.where(F.col("veh_no") == veh_no).groupBy("cid", "veh_no", "spid").agg(F.count("*").alias("n_uses"))
     # Restrict purchases to that vehicle's parts before the vendor join (a tiny key set).
     buys = present(r.purchase.select("spid", "vid", "pqty", "pdate"), keys_of(uses, "spid"), ["spid"]) \
         .join(r.vendor.select("vid", "vadd"), "vid")
     return (uses.join(r.customer.select("cid", "cname"), "cid").join(r.part.select("spid", "spname"), "spid")
-            .join(buys, "spid").select("cname", "veh_no", "spname", "pqty", "pdate", "vadd"))
+            .join(buys, "spid").select("cname", "veh_no", "spname", "n_uses", "pqty", "pdate", "vadd"))
 
 
 def v33_dense_rank_services(r: Roles) -> DataFrame:
     """Employees with services, their count and DENSE_RANK by it (highest first)."""
     counts = r.service.groupBy("eid").agg(F.count("*").alias("service_count")) \
         .join(r.employee.select("eid", "ename"), "eid")
-    return rank_by_value(counts, "service_count", out="service_dense_rank", method="dense_rank") \
+    return rank_by_value(counts, "service_count", out="service_dense_rank", method="dense_rank", bounded_values=True) \
         .select("ename", "service_count", "service_dense_rank")
 
 

@@ -10,8 +10,6 @@ Dates are stored as ``dd-MMM-yy`` text and parsed to DATE on load.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -57,10 +55,12 @@ DATE_COLUMNS = {
 }
 
 
-def _resolve(folder: str, role: str) -> str:
+def _resolve(spark: SparkSession, folder: str, role: str) -> str:
+    """The role's file, asked of the file system that holds the folder."""
     for name in FILE_NAMES[role]:
-        path = os.path.join(folder, name)
-        if os.path.exists(path) or "://" in folder:
+        path = f"{folder.rstrip('/')}/{name}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             return path
     raise FileNotFoundError(f"no file for role {role!r} in {folder}")
 
@@ -90,5 +90,5 @@ def read_workshop_csv(spark: SparkSession, folder: str) -> Roles:
     rejected rows; it never skips reading, so nothing is lost.
     """
     spark.conf.set("spark.sql.csv.filterPushdown.enabled", "false")
-    frames = {role: read_role_csv(spark, _resolve(folder, role), role) for role in FILE_NAMES}
+    frames = {role: read_role_csv(spark, _resolve(spark, str(folder), role), role) for role in FILE_NAMES}
     return Roles(**frames).validate()

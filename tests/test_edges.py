@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import expect, project
+from shopfloor.functions.dates import parse_day_month_year
 from shopfloor.functions.words import amount_in_words, spell_integer
 from shopfloor.plans.catalog import plan
 
@@ -105,6 +106,24 @@ def test_amount_in_words_null_and_fraction(spark):
         assert got == [None, "twelve", "zero", "one thousand"]
 
 
+def test_amount_in_words_does_not_round(spark):
+    df = spark.createDataFrame([(0.9999999,), (-1999.9999999,)], "x double")
+    assert [r.w for r in df.select(amount_in_words("x").alias("w")).collect()] == \
+        ["zero", "minus one thousand, nine hundred and ninety-nine"]
+
+
+def test_amounts_below_a_cent_count(spark, roles_a):
+    r = replace(roles_a, service=roles_a.service.withColumn("total", F.lit(0.0025)))
+    assert set(project(plan("v43_total_per_customer", r), ["total_spent"])) == {(0.0025,), (0.005,)}
+
+
+def test_malformed_date_fails(spark):
+    df = spark.createDataFrame([("",), (None,), ("02-JAN-11",)], "t string")
+    assert [r.d.isoformat() if r.d else None for r in df.select(parse_day_month_year(F.col("t")).alias("d")).collect()] == [None, None, "2011-01-02"]
+    with pytest.raises(Exception, match="CANNOT_PARSE_TIMESTAMP|could not be parsed"):
+        spark.createDataFrame([("02/01/11",)], "t string").select(parse_day_month_year(F.col("t"))).collect()
+
+
 def test_namesake_employees_counted_separately(spark, roles_a):
     twin = roles_a.employee.where(F.col("eid") == 3001).withColumn("eid", F.lit(3011))
     r = replace(roles_a, employee=roles_a.employee.unionByName(twin))

@@ -46,6 +46,12 @@ GOLDEN_A = {
     "q24_customers_of_max_gst_part": (["cname", "spname"], []),
     "q25_vendor_of_max_gst": (["vname", "spname"], [("KIRAN PATIL", "FOUR WHEELER ENGINE OIL")]),
     "q26_employee_item_pairs": (["ename", "spname"], [(DA, OIL), (LP, CLUTCH), (SK, TUBE), (SK, WHITE)]),
+    "q27_supply_records": (["spid", "pdate", "vname"], [
+        (4001, d("01-JAN-11"), "KIRAN PATIL"), (4002, d("02-MAR-11"), "PRAKASH JAIN"),
+        (4003, d("07-SEP-11"), "KIRAN PATIL"), (4004, d("12-JUN-11"), "SWAPNIL THETE"),
+        (4005, d("22-AUG-11"), "AMOL SHENDE"), (4005, d("12-OCT-11"), "RAM KULKARNI"),
+        (4005, d("15-OCT-11"), "RAM KULKARNI"), (4006, d("07-SEP-11"), "KARAN SINTRE"),
+        (4007, d("11-OCT-11"), "RAM KULKARNI"), (4009, d("20-OCT-11"), "RAM KULKARNI")]),
     "q27_service_supply_report": (
         ["cname", "veh_no", "spname", "n_supply_records", "first_pdate", "last_pdate", "n_vendors"], [
             ("ANDRU SYMON", "MH17BB1345", TUBE, 1, d("01-JAN-11"), d("01-JAN-11"), 1),
