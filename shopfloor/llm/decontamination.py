@@ -1,30 +1,38 @@
 r"""Benchmark decontamination by template windows.
 
-Texts are read as words (letters, digits, or one currency or per cent sign), compared in
-lower case. Numbers, names and units are replaced by placeholders of their type; what was
-replaced is the word's slot value. A number is a word with a digit, a unit is a word of ``UNITS``
-right after a number, and a name is a word written with a capital inside a sentence. Windows of
-``WINDOW`` template words with at least ``LITERALS`` literal words are hashed; documents and benchmark
-items meet on equal windows.
-
-A hit is then checked in full: the windows of one item on one alignment with a document must
-cover at least ``COVER`` of the item's windows (items shorter than a window are one window),
-and their slots must be consistent: equal item values always stand against equal document
-values, and different ones against different ones. So an item with other numbers or names is
+Texts are read as words (letters and digits, a number with its separators, decimals and sign, or
+one currency or per cent sign), compared in lower case. Numbers, names and units are replaced by
+placeholders of their type; what was replaced is the slot value. A number is a word with a digit, a
+unit is a word of ``UNITS`` right after a number, and a name is a run of words written with a
+capital. A capital at the start of a sentence may be a name or not, so texts have two readings,
+one for each; a third, of the plain words, finds copies whatever their capitals.
+
+Windows of ``WINDOW`` words are hashed; documents and benchmark items meet on equal windows. Of a
+template only windows with at least ``LITERALS`` literal words are looked up (items shorter than a
+window are one window); of the plain words all are. An item without such a template window is looked
+up by its window with the most literal words and must agree as a whole, if it has ``SPECIFIC``
+literal words at least and they are half of it or it is as long as a window; a template that says
+less than that would be met everywhere, so there only the plain words count, slot values included.
+
+A hit is then checked in full, word by word from the window on in both directions. Where words
+differ, the walk goes on after up to ``GAP`` words on either side if the next ``AGREE`` words agree,
+so a slot of another form does not end it; plain words get no such gap. Walks on alignments that
+differ by ``WINDOW`` words at most are taken together. The windows walked over
+must be at least ``COVER`` of all windows of the item, and the slots must be consistent: equal item
+values always stand against equal document values. So an item with other numbers or names is
 caught, while a text that only shares the template with clashing values is not.
 
 The benchmark is broadcast in blocks of ``BLOCK_WINDOWS`` windows; the documents are read once per
 block (one block for any benchmark up to that size) and nothing is shuffled but the hits.
 
-Defined cases: a NULL or empty text has no window and is clean; a NULL item is skipped; items
-with equal texts are all reported; repeated rows are judged alike; an empty benchmark leaves
-every document clean; an empty table gives an empty result.
+Defined cases: a NULL or empty text has no window and is clean; a NULL item, or one without a word, is
+skipped; items with equal texts are all reported; repeated rows are judged alike; an empty benchmark
+leaves every document clean; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +45,10 @@ from shopfloor.llm.common import arrow_bytes, text_or_empty, written
 WINDOW = 8
 LITERALS = 4
 COVER = 0.5
+SPECIFIC = 3  #: literal words of an item that is looked up as a whole
+GAP, AGREE = 4, 3  #: words that a walk may skip on either side, and that must agree after them
 BLOCK_WINDOWS = 1_000_000
+GROUP_WORDS = 200_000  #: words of documents that are looked up at a time
 
 #: Words that count as a unit after a number.
 UNITS = frozenset("""
@@ -47,8 +58,12 @@ UNITS = frozenset("""
     khz mhz ghz j kj cal kcal n pa k c f usd eur gbp dollar dollars cent cents euro euros $ € £ °
 """.split())
 
-_WORDS = re.compile(r"[^\W_]+|[%$€£°]")
+_NUMBERED = r"(?:(?<=\d)[.,'’\u00a0\u202f\u2009]\d[^\W_]*)*"  #: the rest of a number after its first separator
+_PIECES = re.compile(rf"[^\W_]+{_NUMBERED}|[-+−](?<![^\W_)\]][-+−])\d[^\W_]*{_NUMBERED}|[%$€£°]|[.!?:;\n]|[,()\[\]\"“”/|]").findall
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_PLAIN = np.uint64(0x5851F42D4C957F2D)  #: tells windows of plain words from those of templates
+_THOUSANDS = re.compile(r"[-+−]?\d{1,3}(?:[,'’\u00a0\u202f\u2009]\d{3})+(?:\.\d+)?").fullmatch
+_SEPARATORS = re.compile(r"[,'’\u00a0\u202f\u2009]")
 
 
 class WordKeys(dict):
@@ -64,148 +79,263 @@ class WordKeys(dict):
 
 
 _STOPS = frozenset(".!?:;\n")
-
-
-def template(text: str) -> tuple[list[str], list[str | None]]:
-    """The words of a text with placeholders, and the slot values (None for literal words)."""
-    words, values = [], []
-    end, after_number = 0, False
-    for m in _WORDS.finditer(text):
-        word = m.group()
-        lower = word.lower()
-        if any(ch.isdigit() for ch in word):
+_BREAKS = frozenset(",()[]\"\u201c\u201d/|")
+_LITERAL, _NUMBER, _UNIT, _CAPITAL, _STOP, _BREAK, _BORDER = range(7)
+_BORDERS = "\0"  #: stands between two documents
+READINGS = ("plain", "literal", "name")  #: nothing replaced; the first words of sentences are literal; they are names if capital
+
+
+def _kind(word: str) -> tuple[int, bool]:
+    """The kind of a piece, and whether it may be a name."""
+    if word == _BORDERS:
+        return _BORDER, False
+    if word in _STOPS:
+        return _STOP, False
+    if word in _BREAKS:
+        return _BREAK, False
+    if any(ch.isdigit() for ch in word):
+        return _NUMBER, False
+    capital = word[0].isupper() and not word.isupper()
+    return (_UNIT if word.lower() in UNITS else _CAPITAL if capital else _LITERAL), capital
+
+
+def _plain(word: str, kind: int) -> str:
+    """A word as it is compared: in lower case, and a number without the separators of thousands."""
+    return _SEPARATORS.sub("", word) if kind == _NUMBER and _THOUSANDS(word) else word.lower()
+
+
+def template(text: str, reading: str = "literal") -> tuple[list[str], list[str | None]]:
+    """The words of a text in one of ``READINGS`` with placeholders, and the slot values (None for literal words)."""
+    words: list[str] = []
+    values: list[str | None] = []
+    start, joined, after_number = True, False, False
+    for word in _PIECES(text):
+        kind, capital = _kind(word)
+        if kind in (_STOP, _BREAK):
+            start, joined = start or kind == _STOP, False
+            continue
+        value = _plain(word, kind)
+        if reading == "plain":
+            words.append(value)
+            values.append(None)
+            continue
+        name = False
+        if kind == _NUMBER:
             words.append("<number>")
-            values.append(lower)
-            after_number = True
-        else:
-            if after_number and lower in UNITS:
-                words.append("<unit>")
-                values.append(lower)
-            elif word[0].isupper() and not word.isupper() and end and not _STOPS.intersection(text[end:m.start()]):
-                words.append("<name>")
-                values.append(lower)
+        elif kind == _UNIT and after_number:
+            words.append("<unit>")
+        elif capital and (reading == "name" or not start):
+            name = True
+            if joined:
+                values[-1] = f"{values[-1]} {value}"
             else:
-                words.append(lower)
-                values.append(None)
-            after_number = False
-        end = m.end()
+                words.append("<name>")
+        else:
+            words.append(value)
+        if len(words) > len(values):
+            values.append(value if words[-1][0] == "<" else None)
+        start, joined, after_number = False, name, kind == _NUMBER
     return words, values
 
 
-_PIECES = re.compile(r"[^\W_]+|[%$€£°]|[.!?:;\n]").findall
-_LITERAL, _NUMBER, _UNIT, _CAPITAL, _STOP = range(5)
-
-
 class Pieces(dict):
     """Words and sentence ends under numbers, with what :func:`template` makes of them in arrays."""
 
     def __init__(self, keys: WordKeys) -> None:
         self.keys_of = keys
-        self.kind, self.key = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, np.uint64)
+        self.kind, self.capital, self.key = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, bool), np.zeros(1 << 16, np.uint64)
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         if at == len(self.kind):
-            self.kind, self.key = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.key))
-        lower = word.lower()
-        kind = (_STOP if word in _STOPS else _NUMBER if any(ch.isdigit() for ch in word) else _UNIT if lower in UNITS
-                else _CAPITAL if word[0].isupper() and not word.isupper() else _LITERAL)
-        # A unit word that starts with a capital may be a name: two bits tell both.
-        self.kind[at] = kind | 8 * (kind == _UNIT and word[0].isupper() and not word.isupper())
-        self.key[at] = self.keys_of["<number>" if kind == _NUMBER else lower]
+            self.kind, self.capital, self.key = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.capital, self.key))
+        kind, self.capital[at] = _kind(word)
+        self.kind[at] = kind
+        self.key[at] = self.keys_of[_plain(word, kind)]
         self[word] = at
         return at
 
-    def template_keys(self, text: str) -> np.ndarray:
-        """The keys of the template words of a text."""
+    def found(self, text: str) -> np.ndarray:
+        """The numbers of the pieces of a text."""
         found = _PIECES(text)
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+
+    def template_keys(self, texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """By reading: the keys of the template words of all ``texts``, and the place of the border before each text."""
         if len(self) > 1_000_000:
             self.clear()
-        at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        kind, key = self.kind[at], self.key[at]
-        word = kind != _STOP
-        starts = np.concatenate([[True], ~word[:-1]])[word] if len(at) else np.zeros(0, bool)
-        kind, key = kind[word], key[word]
+        border = np.array([self[_BORDERS]])
+        at = np.concatenate([x for text in texts for x in (border, self.found(text))] + [border])
+        kind = self.kind[at]
+        stop, gap = np.cumsum((kind == _STOP) | (kind == _BORDER)), np.cumsum((kind == _STOP) | (kind == _BREAK))
+        word = (kind != _STOP) & (kind != _BREAK)
+        at, kind, stop, gap = at[word], kind[word], stop[word], gap[word]
+        key, capital, is_border = self.key[at], self.capital[at], kind == _BORDER
+        before = lambda x: np.concatenate([[False], x[:-1]])
+        starts = np.concatenate([[True], stop[1:] != stop[:-1]]) | before(is_border)
+        joined = np.concatenate([[False], gap[1:] == gap[:-1]])
+        out = {"plain": (key, np.flatnonzero(is_border))}
         number = kind == _NUMBER
-        unit = ((kind & 7) == _UNIT) & np.concatenate([[False], number[:-1]])[:len(kind)]
-        name = ((kind == _CAPITAL) | (kind & 8 > 0)) & ~starts & ~unit
-        key[unit], key[name] = self.keys_of["<unit>"], self.keys_of["<name>"]
-        return key
+        unit = (kind == _UNIT) & before(number)
+        typed = np.where(number, np.uint64(self.keys_of["<number>"]), np.where(unit, np.uint64(self.keys_of["<unit>"]), key))
+        for reading in READINGS[1:]:
+            name = capital & ~unit & (~starts if reading == "literal" else True)
+            stays = ~(name & before(name) & joined)
+            out[reading] = np.where(name, np.uint64(self.keys_of["<name>"]), typed)[stays], np.flatnonzero(is_border[stays])
+        return out
+
+
+def _window_keys(own: np.ndarray, sizes: set[int], plain: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of ``sizes``: a key for each window of so many words."""
+    out = np.zeros(len(own), np.uint64)
+    for k in range(min(max(sizes, default=0), len(own))):
+        out = out[:len(own) - k] * _MULTIPLIER + own[k:]
+        if k + 1 in sizes:
+            yield k + 1, (out ^ _PLAIN if plain else out) + np.uint64(k + 1)
+
+
+def _walk(item: list[str], doc: list[str], i: int, j: int) -> list[tuple[int, int]]:
+    """Places that agree from (``i``, ``j``) on, over gaps of at most ``GAP`` words."""
+    out = []
+    while i < len(item) and j < len(doc):
+        if item[i] == doc[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+            continue
+        for a, b in _GAPS:
+            ahead = item[i + a:i + a + AGREE]
+            if len(ahead) == AGREE and ahead == doc[j + b:j + b + AGREE] and sum(x[0] != "<" for x in ahead) > 1:
+                i, j = i + a, j + b
+                break
+        else:
+            break
+    return out
+
+
+_GAPS = sorted(((a, b) for a in range(GAP + 1) for b in range(GAP + 1) if a or b), key=lambda x: (sum(x), x[0] != x[1]))
 
 
-def _window_keys(own: np.ndarray, size: int) -> np.ndarray:
-    """A key for each window of ``size`` template words."""
-    out = np.zeros(max(0, len(own) - size + 1), np.uint64)
-    for k in range(size if len(out) else 0):
-        out = out * _MULTIPLIER + own[k:len(out) + k]
-    return out + np.uint64(size)
+def _run(item: list[str], doc: list[str], i: int, j: int) -> list[tuple[int, int]]:
+    """Places that agree from (``i``, ``j``) on, without a gap."""
+    n = 0
+    while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
+        n += 1
+    return [(i + k, j + k) for k in range(n)]
 
 
 class Block:
-    """Windows of some benchmark items, sorted by key."""
+    """Windows of some benchmark items in their readings, sorted by key."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         keys = WordKeys()
-        self.items, self.sizes = [], {WINDOW}
+        self.items, self.sizes = [], {True: set(), False: set()}
         found, owner, place = [], [], []
         for item_id, text in items:
-            words, values = template(text)
-            size = min(WINDOW, len(words))
-            own = _window_keys(np.fromiter(map(keys.__getitem__, words), np.uint64, len(words)), size)
-            literal = np.cumsum([0, *(v is None for v in values)])
-            use = np.flatnonzero(literal[size:] - literal[:len(literal) - size] >= min(LITERALS, size)) if len(words) else np.zeros(0, np.int64)
-            if not len(use):
-                continue
-            self.sizes.add(size)  # items shorter than a window are one window
-            found.append(own[use])
-            owner += [len(self.items)] * len(use)
-            place += use.tolist()
-            self.items.append((item_id, words, values, len(use)))
+            seen = []
+            for reading in READINGS:
+                words, values = template(text, reading)
+                if not words or (reading == "name" and (words, values) == seen[-1]):
+                    continue
+                seen.append((words, values))
+                size, least = min(WINDOW, len(words)), COVER
+                ((_, own),) = _window_keys(np.fromiter(map(keys.__getitem__, words), np.uint64, len(words)), {size}, reading == "plain")
+                use = np.arange(len(own))
+                if reading != "plain":
+                    literal = np.cumsum([0, *(v is None for v in values)])
+                    inside = literal[size:] - literal[:len(literal) - size]
+                    use = np.flatnonzero(inside >= min(LITERALS, size))
+                    if not len(use):  # the whole item or nothing
+                        if literal[-1] < SPECIFIC or (len(words) < WINDOW and 2 * literal[-1] < len(words)):
+                            continue
+                        use, least = np.array([inside.argmax()]), 1.0
+                self.sizes[reading == "plain"].add(size)
+                found.append(own[use])
+                owner.append(np.full(len(use), len(self.items), np.int32))
+                place.append(use.astype(np.int32))
+                self.items.append((item_id, reading == "plain", words, values, size, least))
         self.keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
         order = np.argsort(self.keys, kind="stable")
-        self.keys, self.owner, self.place = self.keys[order], np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
+        self.keys, self.owner, self.place = self.keys[order], *(np.concatenate(x)[order] if x else np.zeros(0, np.int32) for x in (owner, place))
+        # Most windows of a document are told from all of these by a few bits of their key.
+        self.bits = np.uint64(min(24, max(16, len(self.keys).bit_length() + 4)))
+        self.known = np.zeros(1 << int(self.bits), bool)
+        self.known[self.keys >> (np.uint64(64) - self.bits)] = True
 
     def __len__(self) -> int:
         return len(self.keys)
 
-    def hits(self, text: str, pieces: Pieces) -> list[tuple[int, int]]:
-        """(item_id, windows that agree) of the items found in a text."""
-        if not self.items:
-            return []
-        own, met = pieces.template_keys(text), []
-        for size in sorted(self.sizes):
-            found = _window_keys(own, size)
-            low = np.searchsorted(self.keys, found, "left")
-            hit = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == found)
-            if len(hit):
-                met.append((size, found, low, hit))
-        if not met:
-            return []
-        words, values = template(text)
-        aligned: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for size, found, low, hit in met:
-            for at in hit.tolist():
-                for k in range(int(low[at]), int(np.searchsorted(self.keys, found[at], "right"))):
-                    item, place = int(self.owner[k]), int(self.place[k])
-                    if min(WINDOW, len(self.items[item][1])) == size and words[at:at + size] == self.items[item][1][place:place + size]:
-                        aligned[item, at - place].append(place)
-        best: dict[int, int] = {}
-        for (item, shift), places in aligned.items():
-            item_id, item_words, item_values, windows = self.items[item]
-            if len(places) < max(1, COVER * windows):
+    def seeds(self, texts: list[str], pieces: Pieces) -> dict[int, list[tuple[str, int, int]]]:
+        """By text: (reading, first word, window of this block) of the windows that are met."""
+        met: dict[int, list[tuple[str, int, int]]] = {}
+        for reading, (own, borders) in pieces.template_keys(texts).items():
+            for _, found in _window_keys(own, self.sizes[reading == "plain"], reading == "plain"):
+                hit = np.flatnonzero(self.known[found >> (np.uint64(64) - self.bits)])
+                low, high = (np.searchsorted(self.keys, found[hit], side) for side in ("left", "right"))
+                some = high > low
+                hit, low, high = hit[some], low[some], high[some]
+                text = np.searchsorted(borders, hit, "right") - 1
+                for d, at, a, b in zip(text.tolist(), (hit - borders[text] - 1).tolist(), low.tolist(), high.tolist(), strict=True):
+                    met.setdefault(d, []).extend((reading, at, k) for k in range(a, b))
+        return met
+
+    def hits(self, texts: list[str], pieces: Pieces) -> list[list[tuple[int, int]]]:
+        """For each text: (item_id, windows that agree) of the items found in it."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        if self.items and texts:
+            for d, met in self.seeds(texts, pieces).items():
+                out[d] = self._checked(texts[d], met)
+        return out
+
+    def _checked(self, text: str, met: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+        read = {r: template(text, r) for r in {r for r, _, _ in met}}
+        back = {r: words[::-1] for r, (words, _) in read.items()}
+        walked: set[tuple[str, int, int, int]] = set()
+        walks: dict[tuple[str, int], list[list[tuple[int, int]]]] = {}
+        for reading, at, k in met:
+            owner, place = int(self.owner[k]), int(self.place[k])
+            if (reading, owner, place, at) in walked:
                 continue
-            size = min(WINDOW, len(item_words))
-            covered = sorted({p + k for p in places for k in range(size)})
-            if consistent([(item_words[p], item_values[p], values[p + shift]) for p in covered if item_values[p] is not None]):
-                best[item_id] = max(best.get(item_id, 0), len(places))
+            _, plain, words, _, size, _ = self.items[owner]
+            there = read[reading][0]
+            if plain != (reading == "plain") or there[at:at + size] != words[place:place + size]:
+                continue
+            walk = _run if plain else _walk
+            before = walk(words[::-1], back[reading], len(words) - place, len(there) - at)
+            pairs = [(len(words) - 1 - i, len(there) - 1 - j) for i, j in reversed(before)] + walk(words, there, place, at)
+            walked.update((reading, owner, i, j) for i, j in pairs)
+            walks.setdefault((reading, owner), []).append(pairs)
+        best: dict[int, int] = {}
+        for (reading, owner), found in walks.items():
+            item_id, _, words, values, size, least = self.items[owner]
+            for pairs, windows in _chains(found, size):
+                if windows < max(1, least * (len(words) - size + 1)) or (least == 1 and len(pairs) < len(words)):
+                    continue
+                if consistent([(words[i], values[i], read[reading][1][j]) for i, j in pairs if values[i] is not None]):
+                    best[item_id] = max(best.get(item_id, 0), windows)
         return sorted(best.items())
 
 
+def _chains(walks: list[list[tuple[int, int]]], size: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Walks on neighbouring alignments one after the other, and the windows that they go over."""
+    out: list[tuple[list[tuple[int, int]], int]] = []
+    last: dict[int, int] = {}  # by shift: the last chain that ends on it
+    for pairs in sorted(walks, key=lambda x: x[0][::-1]):
+        (i, j), windows = pairs[0], pairs[-1][0] - pairs[0][0] + 2 - size
+        near = [c for d in range(-WINDOW, WINDOW + 1) if (c := last.get(j - i + d)) is not None and out[c][0][-1][0] < i and out[c][0][-1][1] < j]
+        if near:
+            c = max(near, key=lambda c: out[c][1])
+            out[c] = out[c][0] + pairs, out[c][1] + windows
+        else:
+            c = len(out)
+            out.append((pairs, windows))
+        last[pairs[-1][1] - pairs[-1][0]] = c
+    return out
+
+
 def consistent(slots: list[tuple[str, str, str]]) -> bool:
-    """Whether (type, item value, document value) is one to one within each type."""
+    """Whether (type, item value, document value) has one document value for each item value of a type."""
     there: dict[tuple[str, str], str] = {}
-    back: dict[tuple[str, str], str] = {}
-    return all(there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a for kind, a, b in slots)
+    return all(there.setdefault((kind, a), b) == b for kind, a, b in slots)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Block]:
@@ -234,7 +364,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = Pieces(WordKeys())
             for batch in batches:
-                hits = [[{"item_id": i, "n_windows": n} for i, n in shared.value.hits(x.as_py(), keys)] for x in batch.column(len(keep))]
+                hits, texts, size = [], [], 0
+                for x in batch.column(len(keep)):
+                    texts.append(x.as_py())
+                    size += len(texts[-1])
+                    if size >= 6 * GROUP_WORDS:
+                        hits += shared.value.hits(texts, keys)
+                        texts, size = [], 0
+                hits = [[{"item_id": i, "n_windows": n} for i, n in x] for x in hits + shared.value.hits(texts, keys)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(hits, kind)], [*keep, "hits"])
 
         rows = docs.select(*keep, text_or_empty().alias("text"))

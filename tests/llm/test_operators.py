@@ -318,6 +318,26 @@ def test_every_planted_item_is_found(documents, session):
     assert got == {i: {k for k, x in wanted if x in t} for i, t in texts(documents)}
 
 
+def found_items(session, items, docs):
+    """By document: the numbers of the items found; both are numbered as given."""
+    frames = (session.createDataFrame(list(enumerate(x)), f"{k} long, text string") for k, x in (("item_id", items), ("doc_id", docs)))
+    items, docs = frames
+    return {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontamination.contaminated(docs, items).collect()}
+
+
+def test_items_of_few_literal_words_are_searched(session):
+    items = ["What is 17 plus 25?", "Solve 3x + 5 = 20 for x.", "Who wrote War and Peace?", "Paris 1889", "",
+             "Add 12, 7, 9, 31, 8 and 14, then take 5, 6, 2, 11 and 3 from 90 and 44"]
+    docs = ["noise. What is 17 plus 25? noise", "quiz: what is 3 plus 4?", "Now solve 3x + 5 = 20 for x. Done", "Solve 7x + 1 = 50 for x.", "who wrote war and peace", "Who wrote Dombey and Son?",
+            "It was in Paris 1889 when", "It was in Rome 1925 when", "Add 1, 70, 19, 3, 88 and 4, then take 15, 16, 22, 1 and 33 from 900 and 4", "add and take 5 from 90", "17 plus 25"]
+    assert found_items(session, items, docs) == {0: [0], 1: [0], 2: [1], 3: [1], 4: [2], 5: [2], 6: [3], 7: [], 8: [5], 9: [], 10: []}
+
+
+def test_windows_without_literals_count_for_the_cover(session):
+    item = "Tell me which of these numbers is prime 4 6 8 9 10 12 14 15 16 17 18 20 21 22 24 25"
+    assert found_items(session, [item], [item, "tell me which of these numbers is prime 4 if you can", item.lower()[12:]]) == {0: [0], 1: [], 2: [0]}
+
+
 def test_benchmark_in_blocks(documents, session, monkeypatch):
     items = session.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = decontamination.contaminated(documents.select("doc_id", "text"), items).collect()
