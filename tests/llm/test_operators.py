@@ -338,6 +338,32 @@ def test_windows_without_literals_count_for_the_cover(session):
     assert found_items(session, [item], [item, "tell me which of these numbers is prime 4 if you can", item.lower()[12:]]) == {0: [0], 1: [], 2: [0]}
 
 
+@pytest.mark.parametrize("text", [
+    "Tom has 12 apples and buys 5 more", "Anna Maria Smith has 950 apples and buys 1,250 more", "Anna has 4.50 apples and buys -7 more", "yesterday Anna has 4 apples and buys 4 more"])
+def test_new_values_of_another_form_are_found(session, text):
+    assert found_items(session, ["Tom has 12 apples and buys 5 more"], [text]) == {0: [0]}
+
+
+def test_equal_values_stay_equal_and_others_may_meet(session):
+    item = "A lorry goes 120 km in 2 hours and then it goes on for 120 km on the road"
+    docs = [item.replace("120", "4").replace("2 hours", "4 hours"), item.replace("120", "4", 1).replace("120", "9"), item.replace("120", "1,200.5").replace("2 hours", "7 hours")]
+    assert found_items(session, [item], docs) == {0: [0], 1: [], 2: [0]}
+
+
+def test_parts_of_a_shifted_copy_count_together(session):
+    item = "A farmer sells one half of all the eggs on Monday for 3 euros, keeps a third of what is left over and gives the rest away to poor neighbours"
+    copy = item.lower().replace("for 3 euros", "for 2 1/2 new euros")
+    assert found_items(session, [item], [item, copy, copy[:50]]) == {0: [0], 1: [0], 2: []}
+
+
+def test_templates_of_batches_and_of_one_text_agree(documents, hard):
+    rows = [t for _, t in texts(documents) + texts(hard)] + ["Tom, Anna (Bob) New York. In Paris -5 5-3 1,250.75 km Hours 3 Hours", "", "A. B", "\u22125 x"]
+    pieces, keys = decontamination.Pieces(decontamination.WordKeys()), decontamination.WordKeys()
+    for reading, (own, borders) in pieces.template_keys(rows).items():
+        for k, text in enumerate(rows):
+            assert own[borders[k] + 1:borders[k + 1]].tolist() == [keys[w] for w in decontamination.template(text, reading)[0]]
+
+
 def test_benchmark_in_blocks(documents, session, monkeypatch):
     items = session.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = decontamination.contaminated(documents.select("doc_id", "text"), items).collect()
