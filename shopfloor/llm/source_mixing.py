@@ -6,29 +6,37 @@ slot ceil((i + 1) / w); of the released blocks the one with the earliest deadlin
 On one sequence with weights that sum to one this meets every deadline, so after any number of
 slots each source has its share to within less than one block.
 
-Weights are whole shares of ``slots`` (largest remainders), which makes the schedule repeat
-after ``slots`` slots. That one round is a table of ``slots`` rows, whatever the corpus holds,
-and is the only thing that is broadcast. Block i of a source goes to round i // share, at the
-place of its block i % share in the round.
+Releases and deadlines are whole numbers got from the weights as exact fractions, for every block of the
+corpus, so nothing adds up over the length of the mix. The schedule is made on the driver in one
+pass of a heap over the blocks (rows / ``block_rows`` steps), written ``PLACES`` at a time to a table, and
+joined with the rows by source and block.
 
-Once a source has no rows left, its slots stay empty and the others go on in their order; no row
+A source without rows left leaves the slot of its next block empty; from there on the others go on within
+their own releases and deadlines, and slots for which nothing is released stay empty. No row
 is dropped or repeated. ``exact`` tells the rows before the first slot that stayed empty: up
 to there the weights hold to within a block.
 
 Defined cases: rows with a NULL source form a source of their own; a source without a weight
-is refused unless weights are derived; rows that repeat a ``doc_id`` are placed one by one; an empty table gives
+is refused unless weights are derived, and so is a weight that is not positive; rows that repeat a ``doc_id`` are placed one by one; an empty table gives
 an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from functools import reduce
+from itertools import batched
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopfloor.llm.common import written
+
 BLOCK_ROWS = 8
-SLOTS = 10_000  #: shares that the weights are rounded to, and rows of the broadcast round
+SLOTS = 10_000  #: slots of one round of whole shares
+PLACES = 500_000  #: places of blocks that the driver holds at a time
 TEMPERATURE = 0.5  #: derived weights go with the number of rows to this power
 BUCKET_ROWS = 2_000  #: rows of one source that are numbered within one task's group
 
@@ -52,26 +60,37 @@ def whole_shares(weights: Mapping[str | None, float], slots: int) -> dict[str |
     return shares
 
 
-def pfair_round(shares: Mapping[str | None, int], slots: int) -> list[tuple[str | None, int, int]]:
-    """One round: (source, number of its block in the round, slot), earliest deadline first among released blocks."""
+def schedule(weights: Mapping[str | None, float], blocks: Mapping[str | None, int]) -> Iterator[tuple[str | None, int, int, bool]]:
+    """(source, number of its block, slot, exact) of all blocks by slot, earliest deadline first among released blocks."""
     import heapq
 
-    names = sorted(shares, key=lambda k: (k is not None, str(k)))
+    names = sorted(weights, key=lambda k: (k is not None, str(k)))
+    fractions = [Fraction(weights[k]) for k in names]
+    unit = math.lcm(*(x.denominator for x in fractions))
+    part = [int(x * unit) for x in fractions]
+    whole, left = sum(part), sum(blocks.values())
+    has = [blocks.get(k, 0) for k in names]
     waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
-    heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(slots):
+    slot, exact = 0, True
+    while left:
+        if not ready and waiting[0][0] > slot:
+            slot, exact = waiting[0][0], False
         while waiting and waiting[0][0] <= slot:
             _, i, block = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(block + 1) * slots // shares[names[i]]), i, block))
-        if not ready:
-            continue
+            heapq.heappush(ready, (-(-(block + 1) * whole // part[i]), i, block))
         _, i, block = heapq.heappop(ready)
-        out.append((names[i], block, slot))
-        if block + 1 < shares[names[i]]:
-            heapq.heappush(waiting, ((block + 1) * slots // shares[names[i]], i, block + 1))
-    return out
+        if block >= has[i]:  # the source has run out: the first such slot stays empty
+            slot, exact = slot + exact, False
+            continue
+        yield names[i], block, slot, exact
+        heapq.heappush(waiting, ((block + 1) * whole // part[i], i, block + 1))
+        slot, left = slot + 1, left - 1
+
+
+def pfair_round(shares: Mapping[str | None, int], slots: int) -> list[tuple[str | None, int, int]]:
+    """One round of whole shares: (source, number of its block in the round, slot)."""
+    return [x[:3] for x in schedule(shares, shares) if x[2] < slots]
 
 
 def _numbered(docs: DataFrame, seed: int) -> DataFrame:
@@ -96,7 +115,7 @@ def _numbered(docs: DataFrame, seed: int) -> DataFrame:
     return numbered.join(before, same).withColumn("_n", F.col("_before") + F.col("_in")).drop("_source", "_b", "_before", "_in", "_bucket", "_key", "_rest")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, slots: int = SLOTS, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 17) -> DataFrame:
     """``docs`` with ``block`` (of the source), ``slot`` (of the sequence), ``position`` (the order of the mix) and ``exact``.
 
     Without ``weights`` they are derived from the row counts, see :func:`tempered_weights`.
@@ -109,25 +128,16 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
         raise ValueError(f"no weight for {missing}")
     if not counts:
         return docs.withColumns({"block": F.lit(0).cast("long"), "slot": F.lit(0).cast("long"), "position": F.lit(0).cast("long"), "exact": F.lit(True)})
-    shares = whole_shares(weights, slots)
-    one = pfair_round(shares, slots)
-    table = [(s, b, t, shares[s]) for s, b, t in one]
-    round_ = spark.createDataFrame(table, "_source string, _block long, _slot long, _share long")  # `slots` rows
-    places = {(s, b): t for s, b, t in one}
-
-    def slot_of(source: str | None, block: int) -> int:
-        return block // shares[source] * slots + places[source, block % shares[source]]
-
-    # The first slot that stays empty: that of the block after a source's last one.
-    empty = min(slot_of(k, -(-n // block_rows)) for k, n in counts.items())
+    wrong = [k for k, w in weights.items() if not (math.isfinite(w) and (w > 0 or (w == 0 and k not in counts)))]
+    if wrong:
+        raise ValueError(f"the weight is not positive for {wrong}")
+    placed = schedule({k: w for k, w in weights.items() if w}, {k: -(-n // block_rows) for k, n in counts.items()})
+    kind = "_source string, _block long, _slot long, _exact boolean"
+    places = reduce(DataFrame.unionByName, (written(spark.createDataFrame(part, kind), "places") for part in batched(placed, PLACES)))
     blocks = _numbered(docs, seed).withColumn("block", F.floor(F.col("_n") / block_rows).cast("long"))
-    share = F.create_map(*(F.lit(x) for k, n in shares.items() for x in ("s" + k if k is not None else "n", n)))
-    blocks = blocks.withColumn("_own", share[F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))].cast("long"))
-    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") % F.col("_own") == F.col("_block"))
-    placed = blocks.join(F.broadcast(round_), same)
-    slot = F.floor(F.col("block") / F.col("_own")).cast("long") * slots + F.col("_slot")
-    out = placed.withColumn("slot", slot).withColumn("position", F.col("slot") * block_rows + F.col("_n") % block_rows)
-    return out.withColumn("exact", F.col("slot") < empty).drop("_n", "_own", "_source", "_block", "_slot", "_share")
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
+    out = blocks.join(places, same).withColumn("slot", F.col("_slot")).withColumn("position", F.col("_slot") * block_rows + F.col("_n") % block_rows)
+    return out.withColumn("exact", F.col("_exact")).drop("_n", "_source", "_block", "_slot", "_exact")
 
 
 def mix_order(docs: DataFrame, **options: object) -> DataFrame:

@@ -174,6 +174,32 @@ def test_mix_keeps_rows_and_stays_within_a_block(docs):
         assert all(abs(done[s] - (k + 1) * w / source_mixing.SLOTS) < 1 for s, w in weights.items())
 
 
+@pytest.mark.parametrize("weights", [
+    {"big": 0.5} | {f"s{i}": 0.5 / 19 for i in range(19)}, {"big": 0.9} | {f"s{i}": 0.1 / 99 for i in range(99)}, {"a": 2**0.5, "b": 1 / 3, "c": 1e-5, None: 0.7}])
+def test_shares_follow_the_given_weights_over_many_rounds(weights):
+    total, slots = sum(weights.values()), 50_000
+    done, sources = Counter(), list(weights)
+    share = np.array([weights[k] / total for k in sources])
+    for t, (source, block, slot, exact) in enumerate(source_mixing.schedule(weights, dict.fromkeys(weights, slots))):
+        if t == slots:
+            break
+        assert exact and slot == t and block == done[source]
+        done[source] += 1
+        if t % 97 == 0 or t > slots - 100:
+            assert (np.abs(np.array([done[k] for k in sources]) - (t + 1) * share) < 1 + 1e-6).all()
+
+
+def test_mix_of_more_sources_than_a_round_and_of_sources_that_run_out(session):
+    rows = [(i, f"s{i % 10_500}") for i in range(21_000)] + [(i, "big") for i in range(21_000, 21_400)]
+    got = source_mixing.mixed(session.createDataFrame(rows, "doc_id long, source string"), block_rows=1).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(21_400)) and len({r["position"] for r in got}) == 21_400
+    weights = {"a": 0.75, "b": 0.25, "none": 0.0}
+    got = list(source_mixing.schedule({k: w for k, w in weights.items() if w}, {"a": 3, "b": 5}))
+    assert [x[:2] for x in got if x[0] == "b"] == [("b", i) for i in range(5)]
+    assert all(4 * b <= slot < 4 * b + 4 for s, b, slot, _ in got if s == "b")
+    assert [slot for _, _, slot, exact in got if exact] == [0, 1, 2, 3] and len({x[2] for x in got}) == 8
+
+
 def test_mix_refuses_a_source_without_weight(hard):
     with pytest.raises(ValueError):
         source_mixing.mixed(hard, weights={"a": 1.0})
