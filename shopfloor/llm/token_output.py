@@ -66,7 +66,8 @@ class TextEncoder:
 
     The pattern that such a vocabulary splits texts by yields words whose ids do not depend
     on their neighbours, so the library's model encodes every distinct word once and its ids
-    are looked up after that. The store of words is emptied when it is full.
+    are looked up after that. The store of words is emptied when it is full. A text that holds an
+    added token of the vocabulary, such as an end mark, is encoded by the library as a whole.
     """
 
     def __init__(self, path: str, kind: str) -> None:
@@ -77,7 +78,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        self.kind = kind
         self.fast, self.odd = re.compile(_FAST).findall, re.compile(_ODD).search
         self.full = regex.compile(public_tokenizers.PATTERN).findall
         self.ids = _Ids(self.library, kind)
@@ -86,6 +89,8 @@ class TextEncoder:
         """The ids of a text as little-endian numbers of this encoder's kind."""
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
+        if self.added(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.ids.__getitem__, (self.full if self.odd(text) else self.fast)(text)))
 
 

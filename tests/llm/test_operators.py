@@ -43,6 +43,16 @@ def test_token_output_round_trip(docs, session):
     assert all(r["ids_crc32"] == zlib.crc32(r["ids"]) for r in got)
 
 
+def test_added_tokens_are_encoded_as_the_library_does(session):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made = ["a <|endoftext|> b", "<|endoftext|>", "plain", "x<|endoftext|><|endoftext|>\u00e9\n", "<|endoftext", "<|ENDOFTEXT|>"]
+    out = new_folder(session, "test")
+    token_output.write_tokens(session.createDataFrame(list(enumerate(made)), "doc_id long, text string"), out, tokenizer_path())
+    got = {r["doc_id"]: list(np.frombuffer(r["ids"], "<u4")) for r in token_output.read_tokens(session, out).collect()}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(made)}
+    assert got[0] == [64, 220, 50256, 275, 2]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 5000])
 def test_code_is_complete_limited_and_reversible(n):
     rng = np.random.default_rng(n)
