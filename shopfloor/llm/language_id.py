@@ -6,10 +6,12 @@ counts cover every document that may be learned from. A model keeps its four-gra
 array of keys with one column of log probabilities per language; the lower orders, which need
 2**18 entries at most, are whole tables.
 
-A text gets the language with the lowest cross-entropy per character. A sample of learned
-documents calibrates two things: the score, a logistic curve over the margin to the second
-language, and the rejection: an entropy above the ``REJECT`` quantile of the language's own
-documents is marked as ``rejected`` (the best language is still named).
+A text gets the language with the lowest cross-entropy per character. Two things are calibrated on one
+learned fold, all its rows, by a model of the other learned folds, so on text that the model has not seen: the
+score, a logistic curve over the margin to the second language, and the rejection: an entropy above
+the ``REJECT`` quantile of the language's own documents is marked as ``rejected`` (the best language is
+still named). A language without own documents in that fold takes the quantile of all its learned ones.
+Quantiles are taken in Spark, to within a rank error of 1 / ``QUANTILE_ACCURACY``.
 
 Defined cases: a NULL text or one without a letter is ``und`` with score 0; if nothing can be
 learned every text is ``und``; a NULL ``doc_id`` is neither held out nor learned from; repeated
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from shopfloor.llm.common import arrow_bytes, written
 
 CLASSES = 6  #: bits of a character class
-CALIBRATION_ROWS = 4_000  #: learned documents that calibrate score and rejection, at most twice as many
+CALIBRATION_FOLD = 1  #: of the learned folds 1 to 4, the one that calibrates score and rejection
+MARGIN_STEP = 1e-3  #: margins are counted in steps of this size
 REJECT = 0.999
+QUANTILE_ACCURACY = 100_000
 UND = "und"
 
 _TABLE: list[np.ndarray] = []
@@ -186,17 +190,23 @@ def entropies(docs: DataFrame, model: KneserNey) -> DataFrame:
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, entropy double, margin double")
 
 
-def _logistic(margins: np.ndarray, right: np.ndarray) -> tuple[float, float]:
-    """Offset and slope of the logistic curve through (margin, right), by Newton steps with a small prior."""
+def _logistic(margins: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Offset and slope of the logistic curve through ``n`` times (margin, right), by Newton steps with a small prior."""
     x = np.stack([np.ones(len(margins)), margins], 1)
     w, prior = np.array([0.0, 10.0]), np.array([[1e-2, 0], [0, 1e-4]])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior, x.T @ (p - right) + prior @ (w - [0.0, 10.0]))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + prior, x.T @ (n * (p - right)) + prior @ (w - [0.0, 10.0]))
         w = w - step
     return float(w[0]), float(max(w[1], 0.0))
 
 
+def _limits(scored: DataFrame) -> dict[str, float]:
+    """By language: the ``REJECT`` quantile of the entropy of all its own documents."""
+    own = scored.where("lang = lang_pred AND entropy IS NOT NULL").groupBy("lang_pred")
+    return {r["lang_pred"]: r["most"] for r in own.agg(F.percentile_approx("entropy", REJECT, QUANTILE_ACCURACY).alias("most")).collect()}  # one row per language
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected, entropy`` of every row of ``docs`` (``doc_id, text, lang``).
 
@@ -207,15 +217,13 @@ def identify(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", fold.alias("fold"))
     learned = rows.where("fold <> 0 AND lang IS NOT NULL AND text IS NOT NULL")
     with arrow_bytes(spark):
-        model = train(learned)
-        some = learned.count()
-        share = min(1.0, CALIBRATION_ROWS / max(1, some))
-        sample = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * CALIBRATION_ROWS)
-        seen = entropies(sample.select("doc_id", "lang", "text"), model).where("entropy IS NOT NULL").toPandas()
-        scored = written(entropies(rows.select("doc_id", "fold", "text"), model), "languages")
-    right = (seen["lang"] == seen["lang_pred"]).to_numpy(float)
-    a, b = _logistic(seen["margin"].to_numpy(float), right) if len(seen) else (0.0, 1.0)
-    own = seen[seen["lang"] == seen["lang_pred"]].groupby("lang_pred")["entropy"].quantile(REJECT).to_dict() if len(seen) else {}
+        seen = learned.where(F.col("fold") == CALIBRATION_FOLD).select("lang", "text")
+        seen = written(entropies(seen, train(learned.where(F.col("fold") != CALIBRATION_FOLD))), "calibration").where("entropy IS NOT NULL")
+        scored = written(entropies(rows.select("doc_id", "fold", "lang", "text"), train(learned)), "languages")
+    # A row per step of the margin, however many documents there are.
+    steps = seen.groupBy(F.round(F.col("margin") / MARGIN_STEP).alias("step"), (F.col("lang") == F.col("lang_pred")).alias("right")).count().toPandas()
+    a, b = _logistic(steps["step"].to_numpy(float) * MARGIN_STEP, steps["right"].to_numpy(float), steps["count"].to_numpy(float)) if len(steps) else (0.0, 1.0)
+    own = _limits(scored.where("fold <> 0")) | _limits(seen)
     limit = F.lit(None).cast("double")
     for lang, value in own.items():
         limit = F.when(F.col("lang_pred") == lang, F.lit(float(value))).otherwise(limit)

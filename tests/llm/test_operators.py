@@ -323,6 +323,19 @@ def test_languages(documents, hard, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_rare_languages_are_calibrated_in_a_large_table(session):
+    rng = np.random.default_rng(4)
+    words = {k: ["".join(rng.choice(list(x), 5)) for _ in range(50)] for k, x in {"xx": "abcdefg", "yy": "nopqrst"}.items()}
+    learned = [i for i in range(100_000) if zlib.crc32(str(i).encode()) % 5]
+    rare = {learned[k] for k in (3000, 4000, 8000, 14_000, 17_000, 26_000)}  # a small hash sample of the rows has none of them
+    rows = [(i, " ".join(rng.choice(words["yy" if i in rare else "xx"], 6)), "yy" if i in rare else "xx") for i in learned[:32_000]]
+    far = next(i for i in range(200_000, 300_000) if zlib.crc32(str(i).encode()) % 5 == 0)
+    got = {r["doc_id"]: r for r in language_id.identify(session.createDataFrame([*rows, (far, "nnnnnn oooooo pppppp tttttt", None)], "doc_id long, text string, lang string")).collect()}
+    assert got[far]["lang_pred"] == "yy" and got[far]["rejected"]
+    assert sum(got[i]["lang_pred"] == "yy" for i in rare) == len(rare)
+    assert sum(got[i]["rejected"] for i in learned[:32_000]) <= 0.01 * 32_000
+
+
 def test_kneser_ney_sums_to_one():
     keys = language_id.keys_of("the cat sat on the mat, and the dog sat on the cat")
     k, n = np.unique(keys, return_counts=True)
