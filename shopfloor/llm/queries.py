@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.llm import decontamination, exact_dedup, language_id, quality_resampling, secret_scan, simhash_dedup, source_mixing, suffix_dedup, token_output, warc_fixity
+from shopfloor.llm import decontamination, exact_dedup, language_id, merkle_manifest, prefix_trie, quality_resampling, secret_scan, simhash_dedup, source_mixing, suffix_dedup, token_output, toxicity, warc_fixity
 from shopfloor.llm.common import new_folder, table
+from shopfloor.llm.oracle_sql import op11, op13
 
 
 def tokenizer_path() -> str:
@@ -79,9 +80,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.transform("hits", lambda x: x["item_id"]).alias("item_ids"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with a head borrowed from a conversation of its twenty."""
+    turns = prefix_trie.paths(table(spark, sf_dir, "conversations"), head=F.crc32(F.col("conv_id").cast("string")) % 4, lender=F.col("conv_id") - F.col("conv_id") % 20)
+    return prefix_trie.trie(turns).drop("turn_digest")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, audited against a copy in which some texts are in lower case."""
+    return merkle_manifest.audit(table(spark, sf_dir, "documents"), merkle_manifest.lower_case_some())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_output, op2_simhash_dedup, op3_suffix_dedup, op4_source_mixing, op5_warc_fixity,
-    op6_quality_resampling, op7_secret_scan, op8_exact_dedup, op9_language_id, op10_decontamination)}
+    op6_quality_resampling, op7_secret_scan, op8_exact_dedup, op9_language_id, op10_decontamination,
+    op11_prefix_trie, op12_toxicity, op13_merkle_manifest)}
 
 _OP5 = """
 WITH made AS (
@@ -107,4 +125,4 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": _OP5, "op8_exact_dedup": _OP8}
+ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": _OP5, "op8_exact_dedup": _OP8, "op11_prefix_trie": op11(), "op13_merkle_manifest": op13()}
