@@ -9,7 +9,8 @@ threat makes it emit a match of the kind (insult or threat, targeted, negated, r
 scores, for each kind, the sum of the weights of its matches; what a kind is worth is learned.
 
 1. Lexicon. Words, and beginnings of words of 4 to 6 letters, are counted by text over the labelled
-   rows of the learned folds but the last; equal texts count once. The weight of a term is the log
+   rows of the learned folds but the last; equal texts of different ids count once. The labels used are
+   a hash sample of ``LABEL_ROWS`` at most, which is what may be broadcast: no text is shuffled. The weight of a term is the log
    ratio of its share among toxic and other texts, with half a text added to each; terms
    in ``LEAST_TEXTS`` toxic texts or more with a weight of ``LEAST_WEIGHT`` or more are kept,
    the ``LEXICON`` with most evidence at most (that bounds what is broadcast).
@@ -42,6 +43,7 @@ BEGINNINGS = (4, 5, 6)
 LEAST_TEXTS = 5
 LEAST_WEIGHT = 2.3  #: ten times as frequent in toxic texts
 LEXICON = 20_000
+LABEL_ROWS = 400_000
 TERMS_HELD = 200_000  #: terms that a task counts before it passes them on
 NEGATED, TARGETED = 3, 4
 STEPS, RIDGE = 12, 1.0
@@ -171,11 +173,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned_terms(rows: DataFrame) -> DataFrame:
-    """``term, weight, toxic, other`` from ``text, toxic`` (0 or 1), at most ``LEXICON`` of them."""
-    # Equal texts count once, with the greatest label.
-    once = rows.groupBy(F.xxhash64("text"), F.sha2("text", 256)).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text", "toxic")
-    once = written(once, "labelled-texts")
-    n = once.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
+    """``term, weight, toxic, other`` from ``doc_id, text, toxic`` (0 or 1, ``LABEL_ROWS`` ids at most), at most ``LEXICON`` terms."""
+    # Equal texts count once, with the greatest label: the smallest id stands for them, so only digests are shuffled.
+    digest = F.sha2("text", 256)
+    chosen = rows.groupBy(digest.alias("digest")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    chosen = F.broadcast(written(chosen, "labelled-texts"))
+    once = rows.drop("toxic").withColumn("digest", digest).join(chosen, ["doc_id", "digest"]).select("text", "toxic")
+    n = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     counts = once.mapInArrow(_counts, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     weight = F.log((F.col("toxic") + 0.5) / (n["t"] + 1.0)) - F.log((F.col("other") + 0.5) / (n["n"] - n["t"] + 1.0))
     kept = counts.where(F.col("toxic") >= LEAST_TEXTS).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
@@ -227,23 +231,27 @@ def fitted(rows: DataFrame) -> np.ndarray:
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, toxic`` of the documents outside the held-out fold that have a label."""
+def labelled(labels: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
+    """``doc_id, toxic`` of the labelled ids outside the held-out fold, a hash sample of ``label_rows`` at most."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).cast("int").alias("toxic"))
-    return known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
+    known = written(known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0), "labels")
+    n = known.count()
+    if n > label_rows:
+        known = known.where(F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 30)) < int(0.9 * label_rows / n * (1 << 30))).limit(label_rows)
+    return known
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``, given ``labels`` (``doc_id, toxic``)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
-    known = labelled(docs, labels)
+    known = labelled(labels)
     last = FOLDS - 1
     with arrow_bytes(docs.sparkSession):
-        learned = rows.join(known.where(fold != last), "doc_id").select("text", "toxic")
+        learned = rows.join(F.broadcast(known.where(fold != last)), "doc_id")
         terms = {r["term"]: r["weight"] for r in learned_terms(learned).collect()}  # LEXICON at most
         found = written(matched(rows, terms), "matches")
-    both = found.join(known.where(fold == last), "doc_id").select("features", "toxic")
+    both = found.join(F.broadcast(known.where(fold == last)), "doc_id").select("features", "toxic")
     both = written(both, "calibration")
     n = both.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if 0 < n["t"] < n["n"]:

@@ -203,7 +203,7 @@ def test_labels_of_the_held_out_fold_change_nothing(session, documents):
 def test_terms_are_counted_by_text(session):
     rnd = random.Random(1)
     rows = [(f"{'zorg' if i % 3 == 0 else 'plain'} {rnd.choice(['aa', 'bb'])} {rnd.randrange(40)}x{chr(97 + i % 26)}", int(i % 3 == 0)) for i in range(400)]
-    got = {r["term"]: (r["toxic"], r["other"]) for r in toxicity.learned_terms(session.createDataFrame(rows * 2, "text string, toxic int")).collect()}
+    got = {r["term"]: (r["toxic"], r["other"]) for r in toxicity.learned_terms(session.createDataFrame([(i, *r) for i, r in enumerate(rows * 2)], "doc_id long, text string, toxic int")).collect()}
     best = {}
     for text, toxic in rows:
         best[text] = max(best.get(text, 0), toxic)
