@@ -19,6 +19,12 @@ def parse_day_month_year(c: Column) -> Column:
     return F.to_date(F.nullif(F.trim(c), F.lit("")), DAY_MONTH_YEAR)
 
 
+def is_no_date(c: Column) -> Column:
+    """Whether the text is there and yet no such date."""
+    text = F.nullif(F.trim(c), F.lit(""))
+    return text.isNotNull() & F.try_to_timestamp(text, F.lit(DAY_MONTH_YEAR)).isNull()
+
+
 def day_is_odd(c: Column) -> Column:
     return F.dayofmonth(c) % 2 == 1
 

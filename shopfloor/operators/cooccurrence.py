@@ -9,8 +9,9 @@ of partners the member has in that group (k - 1). Σ partners / 2 is the pair
 count; the explicit pair list is never materialised.
 
 Cost: one distinct (hash aggregate with partial aggregation) and one count
-per group (partial aggregation again), joined back on the group key with hot
-groups split off (:func:`~shopfloor.operators.hot_keys.split_join`).
+per group (partial aggregation again), joined back on the group key with every
+group spread (:func:`~shopfloor.operators.hot_keys.salted_join`). The distinct rows feed both
+branches of that join from one shuffle.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.operators.hot_keys import split_join
+from shopfloor.operators.hot_keys import salted_join
 
 
 def group_partners(df: DataFrame, group: str, member: str, out: str = "n_partners") -> DataFrame:
     """Distinct (group, member) rows with ``out`` = other distinct members of the group (BIGINT)."""
     members = df.select(group, member).where(F.col(group).isNotNull() & F.col(member).isNotNull()).distinct()
     sizes = members.groupBy(group).agg((F.count("*") - 1).cast("bigint").alias(out))
-    return split_join(members, sizes, group)
+    return salted_join(members, sizes, group, unique=False)  # one row a group

@@ -1,56 +1,45 @@
-"""Joins that split hot keys off instead of sending them to one task.
-
-A sort-merge join sends every row of a key to one task; when one key holds a
-third of the big side, that task does a third of the work. AQE can split such
-a partition only for a join directly over two shuffles, and not when the
-split would break the partitioning a following join on the same key relies
-on. ``split_join`` therefore handles hot keys explicitly:
-
-1. count rows per key on the big side (hash aggregate, partial per task);
-2. hot keys are those holding at least ``hot_fraction`` of all rows — by
-   default more than an average reducer partition would hold
-   (1 / ``spark.sql.shuffle.partitions``, at most 1e-3 and at least 1e-5).
-   There can be at most ``1 / hot_fraction`` of them (≤ 100 000), a proven
-   bound, so the hot-key set is broadcast;
-3. the big side's hot rows join the small side's rows for those keys — at
-   most one row per key, so again at most ``1 / hot_fraction`` rows — by a
-   broadcast hash join, in place: no shuffle, no skewed task;
-4. all other rows take an ordinary shuffle join, then the two parts are unioned.
+"""Joins that spread every key of the big side, so a hot key needs no look before.
+
+A sort-merge join sends every row of a key to one task; when one key holds a third of the big
+side, that task does a third of the work. AQE can split such a partition only for a join whose
+two sides come straight from a shuffle, which a side that was just grouped by the key does not.
+
+``salted_join`` joins on (key, salt): the salt of a big row is a hash of its other columns, each small row is
+there once for every salt. Both sides are read once and shuffled once, no key is counted first;
+a key is spread over ``salts`` partitions from the start, and since both sides now come straight
+from a shuffle, AQE splits what is still too large. The price is the small side times ``salts``, so
+it should be an aggregate or a dimension. Where that side is small enough to be broadcast, Spark
+drops the shuffles and the salt costs nothing but its copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT_FRACTION = 1e-3
-MIN_HOT_FRACTION = 1e-5
+SALTS = 8
 
 
-def default_hot_fraction(df: DataFrame) -> float:
-    """Share of rows above which a key outgrows an average reducer partition."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_HOT_FRACTION, max(MIN_HOT_FRACTION, 1.0 / partitions))
+def checked_unique(df: DataFrame, key: str) -> DataFrame:
+    """``df``, failing the query when a key occurs twice (keys that are NULL join nothing and may repeat)."""
+    n = F.count("*").over(Window.partitionBy(key))
+    message = F.concat(F.lit(f"more than one row for {key} "), F.col(key).cast("string"))
+    wrong = F.raise_error(message).cast(df.schema[key].dataType)
+    return df.withColumn("_n", n).withColumn(key, F.when(F.col(key).isNull() | (F.col("_n") == 1), F.col(key)).otherwise(wrong)).drop("_n")
 
 
-def hot_keys(df: DataFrame, key: str, hot_fraction: float | None = None) -> DataFrame:
-    """Keys of ``df`` holding at least ``hot_fraction`` of its rows (at most 1/hot_fraction keys)."""
-    hot_fraction = hot_fraction or default_hot_fraction(df)
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()  # same aggregate: its exchange is reused
-    return counts.where(F.col(key).isNotNull() & (F.col("_n") >= total * F.lit(hot_fraction))).select(key)
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = SALTS, unique: bool = True) -> DataFrame:
+    """``big.join(small, key, how)`` for ``how`` of inner, left, left_semi or left_anti; columns as of that join.
 
-
-def split_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
-               hot_fraction: float | None = None) -> DataFrame:
-    """``big.join(small, key, how)`` for a ``small`` with at most one row per ``key``.
-
-    ``how`` is ``inner`` or ``left``. Output columns are those of the plain join.
+    ``unique`` states that ``small`` has one row a key, which is checked; a semi or anti join needs no such promise.
     """
-    if how not in ("inner", "left"):
+    if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    hot = F.broadcast(hot_keys(big, key, hot_fraction))
-    small_hot = small.join(hot, key, "left_semi")
-    hot_part = big.join(hot, key, "left_semi").join(F.broadcast(small_hot), key, how)
-    cold_part = big.join(hot, key, "left_anti").join(small, key, how)
-    return hot_part.unionByName(cold_part)
+    if unique and how in ("inner", "left"):
+        small = checked_unique(small, key)
+    spread = [F.col(c) for c in big.columns if c != key and big.schema[c].dataType.typeName() not in ("map", "variant")]
+    number = F.xxhash64(*spread) if spread else F.monotonically_increasing_id()
+    # Never NULL, so the join puts no filter below and a plan that both sides share stays the same.
+    salted = big.withColumn("_salt", F.coalesce(F.pmod(number, F.lit(salts)).cast("int"), F.lit(0)))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")

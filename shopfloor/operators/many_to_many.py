@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from shopfloor.operators.hot_keys import split_join
+from shopfloor.operators.hot_keys import checked_unique, salted_join
 
 
 def summarise_matches(
@@ -31,10 +31,10 @@ def summarise_matches(
     With ``how='inner'`` left rows without a match are dropped, as in an inner
     many-to-many join; ``how='left'`` keeps them with NULL summaries.
     ``right_extra`` (one row per key, e.g. a dimension) is attached to the
-    per-key summaries first, so the large side is joined once. That join
-    splits hot keys (:func:`~shopfloor.operators.hot_keys.split_join`).
+    per-key summaries first, so the large side is joined once; a second row for a key fails the
+    query. That join spreads every key (:func:`~shopfloor.operators.hot_keys.salted_join`).
     """
     per_key = right.groupBy(key).agg(*aggs)
     if right_extra is not None:
-        per_key = per_key.join(right_extra, key, "inner" if how == "inner" else "left")
-    return split_join(left, per_key, key, how)
+        per_key = per_key.join(checked_unique(right_extra, key), key, "inner" if how == "inner" else "left")
+    return salted_join(left, per_key, key, how, unique=False)  # one row a key by now

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopfloor.operators.hot_keys import salted_join
+
 
 def _cond(left: DataFrame, right: DataFrame, keys: Sequence[str] | Sequence[tuple[str, str]]) -> Column:
     pairs = [(k, k) if isinstance(k, str) else k for k in keys]
@@ -34,6 +36,16 @@ def absent(df: DataFrame, other: DataFrame, keys) -> DataFrame:
     return df.join(other, _cond(df, other, keys), "left_anti")
 
 
+def fact_present(fact: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """:func:`present` for a fact with hot keys: distinct ``keys`` were just grouped, so only salting spreads the fact."""
+    return salted_join(fact, keys, key, "left_semi")
+
+
+def fact_absent(fact: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """:func:`absent` for a fact with hot keys; rows without a key are absent."""
+    return salted_join(fact, keys, key, "left_anti")
+
+
 def keys_of(df: DataFrame, *cols: str) -> DataFrame:
     """Distinct non-null key tuples of ``df``: the small side of a semi/anti join."""
     out = df.select(*cols)

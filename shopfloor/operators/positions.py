@@ -11,21 +11,24 @@ reliably checkpointed first: the bounds are sampled, so two evaluations
 could otherwise lay the rows out differently.
 
 ``select_nth`` avoids positioning the whole table when only one row is
-wanted: it positions the (narrow, partially aggregated) per-value counts of
-the leading order column, finds the one value whose rows hold position n,
-and positions only the rows of that value.
+wanted: it counts the values of the order in cells, a few passes of hash aggregates, and
+looks at the rows of the one cell that holds position n.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 from shopfloor.session import ensure_checkpoint_dir
 
 _LOW_BITS = 33
+CELLS = 1 << 16  #: cells of values that are counted at a time
+NARROWING = 4  #: leading columns that are cut into cells
 
 
 def _range_layout(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
@@ -93,20 +96,61 @@ def row_at(df: DataFrame, order: Sequence[str], position: Column | int) -> DataF
     return with_position(df, order, out="_pos").where(F.col("_pos") == pos).drop("_pos")
 
 
-def select_nth(df: DataFrame, order: Sequence[str], position: Column | int) -> DataFrame:
-    """The row at 1-based ``position`` in the total order ``order``, positioning only one key's rows.
+def _key_number(df: DataFrame, col: str) -> Column:
+    """A number that never falls as ``col`` rises: the value, or for text its first six bytes."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return F.unix_date(F.col(col).cast("date")).cast("double")
+    if isinstance(kind, StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.col(col).cast("double")
 
-    1. rows per value of the leading order column (hash aggregate, partial per task);
-    2. running totals over those values (narrow; see :func:`with_running_total`);
-    3. the single value whose running range covers ``position``, and the rows before it;
-    4. :func:`row_at` over that value's rows only, at the remaining position.
+
+def _scaled(value: Column, low: Column, high: Column, cells: int) -> Column:
+    """Where a value lies between ``low`` and ``high`` as one of ``cells``; -1 for NULL, which comes first."""
+    at = F.try_divide((value - low) * F.lit(float(cells - 1)), high - low)
+    return F.when(value.isNull(), -1).otherwise(F.coalesce(F.floor(at), F.lit(0))).cast("bigint")
+
+
+def _narrowed(rows: DataFrame, cell: Column, keep: Sequence[str], limits: Sequence[Column]) -> DataFrame:
+    """The rows of the one cell that holds position ``_pos``: ``keep``, the position among them, and ``limits`` of the cell."""
+    celled = rows.withColumn("_hit", cell)
+    counts = celled.groupBy("_hit", "_pos").agg(F.count("*").alias("_all"), *limits)
+    upto = F.sum("_all").over(Window.orderBy("_hit").rowsBetween(Window.unboundedPreceding, 0))  # CELLS + 1 rows
+    totals = counts.withColumn("_upto", upto).where((F.col("_upto") - F.col("_all") < F.col("_pos")) & (F.col("_pos") <= F.col("_upto")))
+    target = totals.withColumn("_left", F.col("_pos") - F.col("_upto") + F.col("_all")).drop("_upto", "_pos")  # one row
+    return celled.select(*keep, "_hit").join(F.broadcast(target), "_hit").drop("_hit").withColumnRenamed("_left", "_pos")
+
+
+def select_nth(df: DataFrame, order: Sequence[str], position: Column | int, rounds: int = 3) -> DataFrame:
+    """The row at 1-based ``position`` in the total order ``order``, by counting cells of values.
+
+    Nothing is sampled, checkpointed or run while the plan is built, and no row is moved before it is
+    one of few:
+
+    1. the values of the leading column are counted in ``CELLS`` equal cells between its bounds
+       (hash aggregate, partial per task); a running total over the cells, a table of bounded size,
+       tells the cell that holds the position, and the count has brought the bounds within each cell along;
+    2. among the rows of that cell, the first column of the order that still varies is cut into
+       cells alike, ``rounds`` times in all: a value that a third of all rows share is narrowed
+       by the numeric and date columns after it (up to the first text, whose cells would need all of it);
+    3. equal rows of what is left are counted as one, and the position is found among them.
     An empty input or an out-of-range position gives no row.
     """
-    lead, pos = order[0], position if isinstance(position, Column) else F.lit(position)
-    counts = df.groupBy(lead).agg(F.count("*").alias("_n"))
-    totals = with_running_total(counts, [lead], "_n", out="_upto")
-    target = totals.where((F.col("_upto") - F.col("_n") < pos) & (pos <= F.col("_upto"))) \
-        .select(lead, (F.col("_upto") - F.col("_n")).alias("_before"))  # at most one row
-    key = F.broadcast(target.select(F.col(lead).alias("_key")))
-    rows = df.join(key, df[lead].eqNullSafe(key["_key"]), "left_semi")
-    return row_at(rows, order, pos - target.agg(F.max("_before")).scalar())
+    columns = list(df.columns)
+    narrow = list(itertools.takewhile(lambda c: not isinstance(df.schema[c].dataType, StringType), order))[:NARROWING]
+    bounds = [f(_key_number(df, c)).alias(f"_{k}{i}") for i, c in enumerate(narrow) for k, f in (("low", F.min), ("high", F.max), ("n", F.count))]
+    lead = _key_number(df, order[0])
+    ends = df.agg(F.struct(F.min(lead).alias("low"), F.max(lead).alias("high"))).scalar()
+    rows = df.select(*columns, ends.alias("_b"), (position if isinstance(position, Column) else F.lit(position)).cast("bigint").alias("_pos"))
+    rows = _narrowed(rows, _scaled(lead, F.col("_b.low"), F.col("_b.high"), CELLS), columns, bounds)
+    for _ in range(rounds - 1 if narrow else 0):
+        cell = F.lit(0).cast("bigint")
+        for i, c in reversed(list(enumerate(narrow))):
+            varies = (F.col(f"_low{i}") < F.col(f"_high{i}")) | ((F.col(f"_n{i}") > 0) & (F.col(f"_n{i}") < F.col("_all")))
+            cell = F.when(varies, _scaled(_key_number(rows, c), F.col(f"_low{i}"), F.col(f"_high{i}"), CELLS)).otherwise(cell)
+        rows = _narrowed(rows, cell, columns, bounds)
+    few = rows.groupBy(*columns, "_pos").agg(F.count("*").alias("_all"))
+    upto = F.sum("_all").over(Window.orderBy(*(F.col(c).asc_nulls_first() for c in order)).rowsBetween(Window.unboundedPreceding, 0))
+    found = few.withColumn("_upto", upto).where((F.col("_upto") - F.col("_all") < F.col("_pos")) & (F.col("_pos") <= F.col("_upto")))
+    return found.select(*columns)

@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopfloor.operators.positions import with_running_total
+
 
 def _top_distinct(df: DataFrame, col: str, k: int, descending: bool) -> DataFrame:
     order = F.col(col).desc() if descending else F.col(col).asc()
@@ -78,30 +80,44 @@ def rank_by_value(
     """Add ``out`` = ``rank()`` or ``dense_rank()`` of ``col`` over all rows of ``df``.
 
     ``bounded_values=True`` states that ``col`` is a per-group row count (see the
-    module docstring), so its ranked values may be broadcast; otherwise the join is
-    left to the planner's size estimates and AQE.
+    module docstring), so its ranked values may be ranked in one task and broadcast. Otherwise the values
+    are ranked by range partitions (:func:`~shopfloor.operators.positions.with_running_total`, which
+    checkpoints the distinct values), and the join is left to the planner's size estimates and AQE.
 
     ``df`` is typically already aggregated (one row per group). NULL values
     rank last, as in ``ORDER BY col DESC NULLS LAST``; ranks are BIGINT.
     """
+    if method not in ("rank", "dense_rank"):
+        raise ValueError(method)
     values = df.groupBy(col).agg(F.count("*").alias("_mult"))
+    if not bounded_values:
+        ranked = _ranked_by_range(values, col, out, method, descending)
+        return df.join(ranked, df[col].eqNullSafe(ranked[col])).drop(ranked[col])
     order = [F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_last()]
     w = Window.orderBy(*order)
     if method == "rank":
         before = F.coalesce(F.sum("_mult").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranked = values.select(col, (before + 1).cast("bigint").alias(out))
-    elif method == "dense_rank":
-        ranked = values.select(col, F.row_number().over(w).cast("bigint").alias(out))
     else:
-        raise ValueError(method)
-    if bounded_values:
-        # Counts: Σ counts = N allows at most sqrt(2N) distinct values (1.4 M rows
-        # for N = 10^12), a proven bound, and the join key is heavily skewed
-        # (many groups share a count), so the ranked values are broadcast.
-        ranked = F.broadcast(ranked)
+        ranked = values.select(col, F.row_number().over(w).cast("bigint").alias(out))
+    # Counts: Σ counts = N allows at most sqrt(2N) distinct values (1.4 M rows
+    # for N = 10^12), a proven bound, and the join key is heavily skewed
+    # (many groups share a count), so the ranked values are broadcast.
+    ranked = F.broadcast(ranked)
     return df.join(ranked, df[col].eqNullSafe(ranked[col])).drop(ranked[col])
 
 
+def _ranked_by_range(values: DataFrame, col: str, out: str, method: str, descending: bool) -> DataFrame:
+    """Rank of every distinct value, NULL last: values are laid out by range, each range adds the total of the ranges before it."""
+    weight = F.col("_mult") if method == "rank" else F.lit(1).cast("bigint")
+    known = values.where(F.col(col).isNotNull()).withColumn("_w", weight)
+    total = F.coalesce(known.agg(F.sum("_w")).scalar(), F.lit(0))
+    upto = with_running_total(known, [col], "_w", out="_upto")
+    place = total - F.col("_upto") if descending else F.col("_upto") - F.col("_w")
+    last = values.where(F.col(col).isNull()).select(col, (total + 1).cast("bigint").alias(out))
+    return upto.select(col, (place + 1).cast("bigint").alias(out)).unionByName(last)
+
+
 def label_by_position(position: Column, labels: Sequence[str], otherwise: str) -> Column:
     """``labels[0]`` for position 1, ``labels[1]`` for 2, ... and ``otherwise`` beyond."""
     expr = None

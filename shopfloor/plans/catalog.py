@@ -7,6 +7,7 @@ other values, so each question is registered with literals that exist there.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from functools import partial
 
@@ -48,6 +49,12 @@ WAREHOUSE_PARAMS: dict[str, dict] = {
 ALL: dict[str, Callable[..., DataFrame]] = {**QUESTIONS, **VARIANTS}
 
 
+# Registered results show money as DOUBLE, as the SQL they are compared with does; the questions themselves return DECIMAL.
+for _name, _question in ALL.items():
+    if "as_double" in inspect.signature(_question).parameters:
+        WAREHOUSE_PARAMS[_name] = {**WAREHOUSE_PARAMS.get(_name, {}), "as_double": True}
+
+
 def plan(name: str, roles: Roles, warehouse: bool = False) -> DataFrame:
     params = WAREHOUSE_PARAMS.get(name, {}) if warehouse else {}
     return ALL[name](roles, **params)

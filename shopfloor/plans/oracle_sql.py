@@ -95,17 +95,6 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     q["q12_two_wheeler_customers"] = (
         "SELECT COUNT(DISTINCT cid) AS two_wheeler_customers FROM r_service "
         f"WHERE lower(type_veh) = lower('{_p('q12_two_wheeler_customers', 'vehicle_type')}')")
-    q["q14_colour_customers"] = (
-        "SELECT DISTINCT c.cname FROM r_customer c JOIN r_service s ON c.cid = s.cid "
-        f"WHERE lower(s.typ_ser) = lower('{_p('q14_colour_customers', 'service_type')}')")
-    q["q15_annual_income"] = (
-        "SELECT e.ename, CAST(CAST(e.esal AS DECIMAL(18,2)) * 12 + COALESCE(s.total_comm, 0) AS DOUBLE) "
-        "AS annual_income FROM r_employee e LEFT JOIN (SELECT eid, SUM(CAST(comm AS DECIMAL(18,2))) AS total_comm "
-        "FROM r_service GROUP BY eid) s ON e.eid = s.eid")
-    q["q17_purchase_cost_by_part_name"] = (
-        f"SELECT sp.spname, {money('p.total')} AS total_purchase_cost FROM r_purchase p "
-        "JOIN r_part sp ON p.spid = sp.spid "
-        f"WHERE sp.spname LIKE '{_p('q17_purchase_cost_by_part_name', 'pattern')}' GROUP BY sp.spname")
     q["q20_profit_loss"] = (
         "SELECT CAST((SELECT SUM(CAST(total AS DECIMAL(18,2))) FROM r_service) - "
         "((SELECT SUM(CAST(esal AS DECIMAL(18,2))) FROM r_employee) + "
@@ -124,10 +113,6 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
     q["q38_services_per_day"] = (
         "SELECT ser_date, COUNT(*) AS number_of_services FROM r_service GROUP BY ser_date "
         "ORDER BY number_of_services DESC, ser_date")
-    q["q39_services_shared_city"] = (
-        f"SELECT {_svc('s')} FROM r_service s JOIN r_customer c ON s.cid = c.cid WHERE c.cadd IN "
-        "(SELECT cadd FROM r_customer GROUP BY cadd "
-        f"HAVING COUNT(*) > {_p('q39_services_shared_city', 'more_than')})")
     q["q40_customer_pairs_same_employee"] = (
         "WITH pairs AS (SELECT DISTINCT s1.eid, s1.cid AS cid1, s2.cid AS cid2 FROM r_service s1 "
         "JOIN r_service s2 ON s1.eid = s2.eid AND s1.cid < s2.cid), "
@@ -136,31 +121,12 @@ def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
         "SELECT m.eid, m.cid, c.cname, CAST(COUNT(e.cid) AS BIGINT) AS n_partners FROM members m "
         "LEFT JOIN ends e ON m.eid = e.eid AND m.cid = e.cid JOIN r_customer c ON m.cid = c.cid "
         "GROUP BY m.eid, m.cid, c.cname")
-    q["q42_employee_rating"] = (
-        "SELECT e.ename, e.ejob, COALESCE(sc.n, 0) AS service_count, CASE WHEN sc.n >= 3 THEN 'A' "
-        "WHEN sc.n = 2 THEN 'B' WHEN sc.n = 1 THEN 'C' ELSE 'D' END AS rating FROM r_employee e "
-        "LEFT JOIN (SELECT eid, COUNT(*) AS n FROM r_service GROUP BY eid) sc ON e.eid = sc.eid")
     q["q43_max_service_per_customer"] = (
         "SELECT c.*, s.max_service_amount FROM r_customer c JOIN "
         "(SELECT cid, MAX(total) AS max_service_amount FROM r_service GROUP BY cid) s ON c.cid = s.cid")
     q["q44_service_count_per_customer"] = (
         "SELECT c.*, COALESCE(s.n, 0) AS total_services FROM r_customer c LEFT JOIN "
         "(SELECT cid, COUNT(*) AS n FROM r_service GROUP BY cid) s ON c.cid = s.cid")
-    q["q46_null_salary_services"] = (
-        f"SELECT e.ename, e.ejob, {_svc('s')} FROM r_employee e JOIN r_service s ON e.eid = s.eid "
-        "WHERE e.esal IS NULL")
-    by_loc = (f"SELECT v.vadd, {money('p.total')} AS {{out}} FROM r_vendor v JOIN r_purchase p ON v.vid = p.vid "
-              "GROUP BY v.vadd")
-    q["q47_purchase_total_by_location"] = by_loc.format(out="total_purchase_amount")
-    q["q49_customer_spend_rating"] = (
-        f"WITH spend AS (SELECT cid, {money('total')} AS total_spent FROM r_service GROUP BY cid), "
-        "rated AS (SELECT cid, total_spent, DENSE_RANK() OVER (ORDER BY total_spent DESC) AS dr FROM spend) "
-        "SELECT r.cid, c.cname, r.total_spent, CASE WHEN dr = 1 THEN 'A' WHEN dr <= 3 THEN 'B' ELSE 'C' END "
-        "AS rating FROM rated r JOIN r_customer c ON r.cid = c.cid ORDER BY r.total_spent DESC, r.cid")
-    q["q50_spend_above_max_single"] = (
-        f"SELECT c.cname, {money('s.total')} AS customer_total_spend FROM r_customer c "
-        "JOIN r_service s ON c.cid = s.cid GROUP BY c.cid, c.cname "
-        f"HAVING {money('s.total')} > (SELECT MAX(total) FROM r_service)")
     q["q57_odd_day_services"] = f"SELECT {SVC_COLS} FROM r_service WHERE day(ser_date) % 2 <> 0"
     q["q58_even_day_services"] = f"SELECT {SVC_COLS} FROM r_service WHERE day(ser_date) % 2 = 0"
     q["q60_part_age_at_use"] = (
@@ -268,11 +234,12 @@ def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
     def shipped(name: str, key: str) -> str:  # keys with an open line shipped in the period
         return f"SELECT {key} FROM lineitem WHERE {bought} AND {week(name, 'l_shipdate')}"
 
-    middle = """
-        SELECT l_orderkey AS sid, o_custkey AS cid, l_suppkey AS eid, l_partkey AS spid, l_returnflag AS type_veh,
+    row = """l_orderkey AS sid, o_custkey AS cid, l_suppkey AS eid, l_partkey AS spid, l_returnflag AS type_veh,
                concat('V', o_orderkey) AS veh_no, o_orderpriority AS typ_ser, CAST(o_orderdate AS DATE) AS ser_date,
                l_quantity AS qty, l_extendedprice / l_quantity AS sp_rate, l_extendedprice AS sp_amt,
-               abs(l_tax) AS sp_g, l_extendedprice AS ser_amt, abs(l_discount) AS comm, l_extendedprice AS total
+               abs(l_tax) AS sp_g, l_extendedprice AS ser_amt, abs(l_discount) AS comm, l_extendedprice AS total"""
+    middle = f"""
+        SELECT {row}
         FROM lineitem, orders WHERE l_orderkey = o_orderkey AND l_linestatus = 'F'
         QUALIFY row_number() OVER (ORDER BY sid, cid, eid, spid, type_veh, veh_no, typ_ser, ser_date, qty, sp_rate, sp_amt, sp_g, comm)
                 = (SELECT (count(*) + 1) // 2 FROM lineitem WHERE l_linestatus = 'F')"""
@@ -295,6 +262,9 @@ def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
                      CASE WHEN i > 0 THEN powers[i] END) AS w FROM cut, lists),
         glued AS (SELECT vadd, total, w, i, CASE WHEN i = max(i) OVER (PARTITION BY vadd) THEN '' WHEN i = 0 AND h = 0 THEN ' and ' ELSE ', ' END AS glue FROM said)
         SELECT vadd, CAST(total AS DOUBLE) AS total_amount, string_agg(concat(glue, w), '' ORDER BY i DESC) AS amount_in_words FROM glued GROUP BY vadd, total"""
+    cents = "CAST(l_extendedprice AS DECIMAL(18, 2))"
+    spend = f"WITH spend AS (SELECT o_custkey AS k, sum({cents}) AS t FROM orders, lineitem WHERE o_orderkey = l_orderkey AND {done} GROUP BY 1)"
+    crowded = resolve("q39_services_shared_city", "more_than")
     per_supplier = f"SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE {done} GROUP BY l_suppkey"
     return {
         "q01_serviced_customers": f"SELECT c_name AS cname FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE {done})) GROUP BY c_name",
@@ -305,6 +275,16 @@ def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
         "q06_middle_record": middle,
         "q10_max_single_payment_customer": f"SELECT c_name AS cname FROM (SELECT l_orderkey FROM lineitem WHERE {done} QUALIFY rank() OVER (ORDER BY l_extendedprice DESC) = 1), orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey",
         "q13_parts_used_in_service": f"SELECT p_name AS spname, p_brand AS spunit FROM part SEMI JOIN (SELECT l_partkey FROM lineitem WHERE {done}) ON p_partkey = l_partkey GROUP BY ALL",
+        "q14_colour_customers": f"SELECT c_name AS cname FROM customer SEMI JOIN (SELECT o_custkey FROM orders SEMI JOIN (SELECT l_orderkey FROM lineitem WHERE {done}) ON o_orderkey = l_orderkey WHERE o_orderpriority ILIKE '{resolve('q14_colour_customers', 'service_type')}') ON c_custkey = o_custkey GROUP BY 1",
+        # Salary and commissions as one ledger of amounts.
+        "q15_annual_income": f"SELECT any_value(name) AS ename, CASE WHEN bool_and(known) THEN CAST(sum(amount) AS DOUBLE) END AS annual_income FROM (SELECT s_suppkey AS k, s_name AS name, s_acctbal >= 0 AS known, 12 * CAST(s_acctbal AS DECIMAL(18, 2)) AS amount FROM supplier SEMI JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT l_suppkey, NULL, NULL, CAST(l_discount AS DECIMAL(18, 2)) FROM lineitem WHERE {done}) GROUP BY k HAVING any_value(name) IS NOT NULL",
+        "q17_purchase_cost_by_part_name": f"SELECT p_name AS spname, CAST(sum(t) AS DOUBLE) AS total_purchase_cost FROM (SELECT l_partkey AS k, sum({cents}) AS t FROM lineitem WHERE {bought} GROUP BY 1), (FROM part WHERE contains(p_name, trim('{resolve('q17_purchase_cost_by_part_name', 'pattern')}', '%'))) WHERE k = p_partkey GROUP BY 1",
+        "q39_services_shared_city": f"SELECT {row} FROM lineitem, orders WHERE l_orderkey = o_orderkey AND {done} AND o_custkey IN (SELECT c_custkey FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey) >= {crowded} + 1)",
+        "q42_employee_rating": f"SELECT s_name AS ename, r_name AS ejob, count(l_suppkey) AS service_count, substr('DCBA', 1 + least(count(l_suppkey), 3), 1) AS rating FROM (FROM lineitem WHERE {done}) RIGHT JOIN supplier ON l_suppkey = s_suppkey, nation, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY s_suppkey, s_name, r_name",
+        "q46_null_salary_services": f"SELECT s_name AS ename, r_name AS ejob, {row} FROM lineitem, orders, supplier, nation, region WHERE l_orderkey = o_orderkey AND {done} AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND s_acctbal < 0",
+        "q47_purchase_total_by_location": f"SELECT DISTINCT n_name AS vadd, CAST(sum({cents}) OVER (PARTITION BY n_nationkey) AS DOUBLE) AS total_purchase_amount FROM nation, supplier, lineitem WHERE n_nationkey = s_nationkey AND s_suppkey = l_suppkey AND {bought}",
+        "q49_customer_spend_rating": f"{spend}, best AS (SELECT t FROM spend GROUP BY t ORDER BY t DESC LIMIT 3) SELECT k AS cid, c_name AS cname, CAST(t AS DOUBLE) AS total_spent, chr(67 - CAST(t >= (SELECT min(t) FROM best) AS INTEGER) - CAST(t = (SELECT max(t) FROM best) AS INTEGER)) AS rating FROM spend, customer WHERE k = c_custkey",
+        "q50_spend_above_max_single": f"{spend} SELECT c_name AS cname, CAST(t AS DOUBLE) AS customer_total_spend FROM spend, customer WHERE k = c_custkey AND t > ALL (SELECT {cents} FROM lineitem WHERE {done})",
         "q16_vendors_by_part_name": f"SELECT s_name AS vname FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE {bought} AND l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '{resolve('q16_vendors_by_part_name', 'pattern')}')) GROUP BY s_name",
         "q18_purchased_unused_parts": f"SELECT p_name AS spname FROM part, (({shipped('q18_purchased_unused_parts', 'l_partkey')}) EXCEPT ({finished('q18_purchased_unused_parts', 'l_partkey')})) AS k WHERE p_partkey = k.l_partkey",
         "q19_parts_never_purchased": f"SELECT p_name AS spname FROM part ANTI JOIN ({shipped('q19_parts_never_purchased', 'l_partkey')}) ON p_partkey = l_partkey",

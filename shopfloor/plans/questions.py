@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.functions.dates import day_is_even, day_is_odd
-from shopfloor.functions.money import as_money, money_sum, money_sum_exact
+from shopfloor.functions.money import as_money, money_out, money_sum
 from shopfloor.functions.words import amount_in_words
 from shopfloor.operators.cooccurrence import group_partners
 from shopfloor.operators.extremes import extreme_value, nth_by, rows_at, top_n
 from shopfloor.operators.keep_first import first_per_key
 from shopfloor.operators.many_to_many import summarise_matches
-from shopfloor.operators.membership import absent, keys_of, present
+from shopfloor.operators.membership import absent, fact_present, keys_of, present
 from shopfloor.operators.positions import select_nth
 from shopfloor.operators.ranking import grade_by_dense_rank, rank_by_value
 from shopfloor.plans.common import PURCHASE_ORDER, SERVICE_ORDER, asc, during
@@ -117,12 +117,12 @@ def q14_colour_customers(r: Roles, service_type: str = "COLOR") -> DataFrame:
     return present(r.customer, hit, ["cid"]).select("cname").distinct()
 
 
-def q15_annual_income(r: Roles) -> DataFrame:
+def q15_annual_income(r: Roles, as_double: bool = False) -> DataFrame:
     """Every employee: 12 monthly salaries plus all commissions (0 if none); NULL salary → NULL."""
-    comm = r.service.groupBy("eid").agg(money_sum_exact("comm").alias("total_comm"))
-    income = as_money(F.col("esal")) * 12 + F.coalesce(F.col("total_comm"), F.lit(0).cast("decimal(18,2)"))
+    comm = r.service.groupBy("eid").agg(money_sum("comm").alias("total_comm"))
+    income = as_money(F.col("esal")) * 12 + F.coalesce(F.col("total_comm"), F.lit(0).cast("decimal(34,6)"))
     return (r.employee.join(comm, "eid", "left")
-            .select("ename", income.cast("double").alias("annual_income")))
+            .select("ename", money_out(income, as_double).alias("annual_income")))
 
 
 # --- parts, purchasing and vendors ---------------------------------------
@@ -134,13 +134,13 @@ def q16_vendors_by_part_name(r: Roles, pattern: str = "%ENGINE OIL%") -> DataFra
     return present(r.vendor, vids, ["vid"]).select("vname").distinct()
 
 
-def q17_purchase_cost_by_part_name(r: Roles, pattern: str = "%COLOUR%") -> DataFrame:
+def q17_purchase_cost_by_part_name(r: Roles, pattern: str = "%COLOUR%", as_double: bool = False) -> DataFrame:
     """Total purchase cost per part name for names matching ``pattern``."""
     parts = r.part.where(F.col("spname").like(pattern)).select("spid", "spname")
     # All purchases are summed per part first, partly before the shuffle, so a hot part is one row in the join.
-    per_part = r.purchase.groupBy("spid").agg(money_sum_exact("total").alias("_t"))
+    per_part = r.purchase.groupBy("spid").agg(money_sum("total").alias("_t"))
     return (per_part.join(parts, "spid")
-            .groupBy("spname").agg(F.sum("_t").cast("double").alias("total_purchase_cost")))
+            .groupBy("spname").agg(money_out(F.sum("_t"), as_double).alias("total_purchase_cost")))
 
 
 def q18_purchased_unused_parts(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -154,13 +154,13 @@ def q19_parts_never_purchased(r: Roles, start: str | None = None, end: str | Non
     return absent(r.part, keys_of(during(r.purchase, "pdate", start, end), "spid"), ["spid"]).select("spname")
 
 
-def q20_profit_loss(r: Roles) -> DataFrame:
+def q20_profit_loss(r: Roles, as_double: bool = False) -> DataFrame:
     """Service income minus (one month of all salaries + all purchase cost), exact."""
-    revenue = r.service.agg(money_sum_exact("total")).scalar()
-    salaries = r.employee.agg(money_sum_exact("esal")).scalar()
-    bought = r.purchase.agg(money_sum_exact("total")).scalar()
+    revenue = r.service.agg(money_sum("total")).scalar()
+    salaries = r.employee.agg(money_sum("esal")).scalar()
+    bought = r.purchase.agg(money_sum("total")).scalar()
     spark = r.service.sparkSession
-    return spark.range(1).select((revenue - (salaries + bought)).cast("double").alias("profit_or_loss"))
+    return spark.range(1).select(money_out(revenue - (salaries + bought), as_double).alias("profit_or_loss"))
 
 
 def q21_repeat_customers(r: Roles, more_than: int = 1) -> DataFrame:
@@ -189,7 +189,7 @@ def q24_customers_of_max_gst_part(r: Roles) -> DataFrame:
     cust, _, part, _ = _names(r)
     hot = keys_of(rows_at(r.purchase, "spgst", "max"), "spid")
     # Distinct first: a hot part is one row per customer by the time it meets the join.
-    used = present(r.service.select("cid", "spid").distinct(), hot, ["spid"])
+    used = fact_present(r.service.select("cid", "spid").distinct(), hot, "spid")
     return used.join(cust, "cid").join(part, "spid").select("cname", "spname").distinct()
 
 
@@ -377,21 +377,21 @@ def q46_null_salary_services(r: Roles) -> DataFrame:
     return staff.join(r.service, "eid").select("ename", "ejob", *r.service.columns)
 
 
-def _purchase_by_location(r: Roles, out: str) -> DataFrame:
+def _purchase_by_location(r: Roles, out: str, as_double: bool) -> DataFrame:
     # Sum per vendor first (exact decimals), so the join sees one row per vendor.
-    per_vendor = r.purchase.groupBy("vid").agg(money_sum_exact("total").alias("_t"))
+    per_vendor = r.purchase.groupBy("vid").agg(money_sum("total").alias("_t"))
     return (per_vendor.join(r.vendor.select("vid", "vadd"), "vid")
-            .groupBy("vadd").agg(F.sum("_t").cast("double").alias(out)))
+            .groupBy("vadd").agg(money_out(F.sum("_t"), as_double).alias(out)))
 
 
-def q47_purchase_total_by_location(r: Roles) -> DataFrame:
+def q47_purchase_total_by_location(r: Roles, as_double: bool = False) -> DataFrame:
     """Total purchase cost per vendor location."""
-    return _purchase_by_location(r, "total_purchase_amount")
+    return _purchase_by_location(r, "total_purchase_amount", as_double)
 
 
-def q48_purchase_total_in_words(r: Roles) -> DataFrame:
+def q48_purchase_total_in_words(r: Roles, as_double: bool = False) -> DataFrame:
     """Purchase total per location, with its whole part spelled in English words."""
-    return _purchase_by_location(r, "total_amount") \
+    return _purchase_by_location(r, "total_amount", as_double) \
         .withColumn("amount_in_words", amount_in_words("total_amount"))
 
 
@@ -400,19 +400,21 @@ def _spend(r: Roles) -> DataFrame:
 
 
 def q49_customer_spend_rating(r: Roles, bands: Sequence[tuple[int, str]] = ((1, "A"), (3, "B")),
-                              otherwise: str = "C") -> DataFrame:
+                              otherwise: str = "C", as_double: bool = False) -> DataFrame:
     """Spend per customer rated by dense rank of spend: 1 → A, <=3 → B, else C; biggest first."""
     rated = grade_by_dense_rank(_spend(r), "total_spent", list(bands), otherwise, out="rating")
-    return rated.join(r.customer.select("cid", "cname"), "cid") \
-        .select("cid", "cname", "total_spent", "rating").orderBy(F.col("total_spent").desc(), "cid")
+    # The null-safe join puts no filter below the sums, so rows and thresholds share one aggregate of the fact.
+    known = r.customer.where(F.col("cid").isNotNull()).select(F.col("cid").alias("_cid"), "cname")
+    return rated.join(known, F.col("cid").eqNullSafe(F.col("_cid"))) \
+        .select("cid", "cname", money_out("total_spent", as_double).alias("total_spent"), "rating").orderBy(F.col("total_spent").desc(), "cid")
 
 
-def q50_spend_above_max_single(r: Roles) -> DataFrame:
+def q50_spend_above_max_single(r: Roles, as_double: bool = False) -> DataFrame:
     """Customers whose total spend exceeds the largest single service bill."""
-    biggest = extreme_value(r.service, "total", "max")
+    biggest = as_money(extreme_value(r.service, "total", "max"))
     spend = r.service.groupBy("cid").agg(money_sum("total").alias("customer_total_spend"))
     return spend.where(F.col("customer_total_spend") > biggest) \
-        .join(r.customer.select("cid", "cname"), "cid").select("cname", "customer_total_spend")
+        .join(r.customer.select("cid", "cname"), "cid").select("cname", money_out("customer_total_spend", as_double).alias("customer_total_spend"))
 
 
 def q51_customer_part_vehicle(r: Roles) -> DataFrame:

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfloor.functions.money import as_money, money_sum, money_sum_exact
-from shopfloor.operators.extremes import rows_at, top_n
+from shopfloor.functions.money import as_money, money_out, money_sum
+from shopfloor.operators.extremes import extreme_value, rows_at, top_n
 from shopfloor.operators.keep_first import first_per_key
-from shopfloor.operators.membership import absent, keys_of, present
+from shopfloor.operators.hot_keys import salted_join
+from shopfloor.operators.membership import absent, fact_absent, keys_of, present
 from shopfloor.operators.ranking import label_by_position, rank_by_value
 from shopfloor.plans.common import SERVICE_ORDER, during
 from shopfloor.sources.roles import Roles
@@ -50,22 +51,26 @@ def v04_max_comm_per_employee(r: Roles) -> DataFrame:
     return top_n(per, [F.col("max_comm").desc_nulls_last(), F.col("ename").asc()], 1)
 
 
-def v04_top_total_commission(r: Roles) -> DataFrame:
+def v04_top_total_commission(r: Roles, as_double: bool = False) -> DataFrame:
     """The id of the known employee with the largest total commission (ties → smallest id)."""
     per = r.service.groupBy("eid").agg(money_sum("comm").alias("sum_comm"))
-    return top_n(present(per, r.employee, ["eid"]), [F.col("sum_comm").desc_nulls_last(), F.col("eid").asc()], 1)
+    best = top_n(present(per, r.employee, ["eid"]), [F.col("sum_comm").desc_nulls_last(), F.col("eid").asc()], 1)
+    return best.select("eid", money_out("sum_comm", as_double).alias("sum_comm"))
 
 
 def _top_row(rows: DataFrame, key: str, known: DataFrame, value: str, descending: bool = True) -> DataFrame:
     """The service row with the highest (or lowest) ``value`` among rows whose ``key`` is known, with its ``known`` columns.
 
-    The best row of each key is found first, partly before the shuffle, so the join sees one row a key.
+    The extreme of each key comes from a hash aggregate, partly before the shuffle, and the extreme over the
+    known keys is a scalar; only rows that have it are joined, and the rest of the row settles their ties.
+    A row without a value is taken only if no known key has one.
     """
-    place = -F.col(value) if descending else F.col(value)
-    first = F.min(F.struct(F.col(value).isNull().alias("_missing"), place.alias("_place"), *SERVICE_ORDER))
-    best = rows.groupBy(key).agg(first.alias("_best")).join(known, key)
+    how = F.max if descending else F.min
+    per_key = present(rows.groupBy(key).agg(how(value).alias(value)), known, [key])
+    best = extreme_value(per_key, value, "max" if descending else "min")
+    hits = rows.where(F.col(value).eqNullSafe(best)).join(known, key)
     names = [c for c in known.columns if c != key]
-    return top_n(best, [F.col("_best").asc()], 1).select(*names, F.col(f"_best.{value}").alias(value))
+    return top_n(hits, [F.col(c).asc_nulls_first() for c in SERVICE_ORDER], 1).select(*names, value)
 
 
 def v04_top1_row(r: Roles) -> DataFrame:
@@ -95,12 +100,13 @@ def v07_last_n_ascending(r: Roles, n: int = 4) -> DataFrame:
     return top_n(r.part, [F.col("spid").desc()], n).orderBy("spid")
 
 
-def v10_top_total_spender(r: Roles) -> DataFrame:
+def v10_top_total_spender(r: Roles, as_double: bool = False) -> DataFrame:
     """The customer name with the largest total spend (ties → smallest name)."""
-    per_cid = r.service.groupBy("cid").agg(money_sum_exact("total").alias("_t"))
+    per_cid = r.service.groupBy("cid").agg(money_sum("total").alias("_t"))
     per = per_cid.join(r.customer.select("cid", "cname"), "cid") \
-        .groupBy("cname").agg(F.sum("_t").cast("double").alias("sum_total"))
-    return top_n(per, [F.col("sum_total").desc_nulls_last(), F.col("cname").asc()], 1)
+        .groupBy("cname").agg(F.sum("_t").alias("sum_total"))
+    best = top_n(per, [F.col("sum_total").desc_nulls_last(), F.col("cname").asc()], 1)
+    return best.select("cname", money_out("sum_total", as_double).alias("sum_total"))
 
 
 def v10_top_part_amount(r: Roles) -> DataFrame:
@@ -126,9 +132,9 @@ def v13_part_usage_counts(r: Roles) -> DataFrame:
         .groupBy("spname").agg(F.sum("_n").cast("bigint").alias("usage_count"))
 
 
-def v15_income_per_service(r: Roles) -> DataFrame:
+def v15_income_per_service(r: Roles, as_double: bool = False) -> DataFrame:
     """Per service row: the employee's yearly salary plus twelve times that commission."""
-    income = (as_money(F.col("esal")) * 12 + as_money(F.col("comm")) * 12).cast("double")
+    income = money_out(as_money(F.col("esal")) * 12 + as_money(F.col("comm")) * 12, as_double)
     return _served_by(r).select("sid", "ename", income.alias("annual_income"))
 
 
@@ -141,15 +147,15 @@ def v17_colour_purchase_rows(r: Roles, part_ids: Sequence[int] = (4009, 4010)) -
 def v18_unused_purchase_rows(r: Roles, start: str | None = None, end: str | None = None) -> DataFrame:
     """Whole purchase rows (in the period) of parts never used in a service (in it)."""
     used = keys_of(during(r.service, "ser_date", start, end), "spid")
-    return absent(during(r.purchase, "pdate", start, end), used, ["spid"])
+    return fact_absent(during(r.purchase, "pdate", start, end), used, "spid")
 
 
-def v20_margin_per_employee(r: Roles) -> DataFrame:
+def v20_margin_per_employee(r: Roles, as_double: bool = False) -> DataFrame:
     """Per employee name: Σ (monthly salary − service bill) over their services."""
     # Σ(esal − total) over an employee's n services = n·esal − Σ total (NULL when esal is NULL).
-    per = _per_employee(r, F.count("*").alias("_n"), money_sum_exact("total").alias("_t"))
+    per = _per_employee(r, F.count("*").alias("_n"), money_sum("total").alias("_t"))
     term = as_money(F.col("esal")) * F.col("_n") - F.col("_t")
-    return per.groupBy("ename").agg(F.sum(term).cast("double").alias("margin"))
+    return per.groupBy("ename").agg(money_out(F.sum(term), as_double).alias("margin"))
 
 
 def v24_top_service_gst(r: Roles) -> DataFrame:
@@ -164,11 +170,11 @@ def v27_vehicle_supply_report(r: Roles, veh_no: str = "MH14PA335") -> DataFrame:
     purchases of the vehicle's parts however often one of them was used.
     """
     uses = r.service.where(F.col("veh_no") == veh_no).groupBy("cid", "veh_no", "spid").agg(F.count("*").alias("n_uses"))
-    # Restrict purchases to that vehicle's parts before the vendor join (a tiny key set).
-    buys = present(r.purchase.select("spid", "vid", "pqty", "pdate"), keys_of(uses, "spid"), ["spid"]) \
-        .join(r.vendor.select("vid", "vadd"), "vid")
-    return (uses.join(r.customer.select("cid", "cname"), "cid").join(r.part.select("spid", "spname"), "spid")
-            .join(buys, "spid").select("cname", "veh_no", "spname", "n_uses", "pqty", "pdate", "vadd"))
+    # The vehicle's side is put together first; the purchases then meet it in one join that spreads a hot part.
+    named = uses.join(r.customer.select("cid", "cname"), "cid").join(r.part.select("spid", "spname"), "spid")
+    buys = salted_join(r.purchase.select("spid", "vid", "pqty", "pdate"), named, "spid", unique=False)
+    return (buys.join(r.vendor.select("vid", "vadd"), "vid")
+            .select("cname", "veh_no", "spname", "n_uses", "pqty", "pdate", "vadd"))
 
 
 def v33_dense_rank_services(r: Roles) -> DataFrame:
@@ -215,10 +221,10 @@ def v42_rating_served_only(r: Roles) -> DataFrame:
                          F.when(c > 3, "A").when(c >= 2, "B").otherwise("C").alias("rating"))
 
 
-def v43_total_per_customer(r: Roles) -> DataFrame:
+def v43_total_per_customer(r: Roles, as_double: bool = False) -> DataFrame:
     """Total spend per served customer."""
     return r.service.groupBy("cid").agg(money_sum("total").alias("total_spent")) \
-        .join(r.customer.select("cid", "cname", "cadd"), "cid").select("cid", "cname", "cadd", "total_spent")
+        .join(r.customer.select("cid", "cname", "cadd"), "cid").select("cid", "cname", "cadd", money_out("total_spent", as_double).alias("total_spent"))
 
 
 def v45_location_of_max_total(r: Roles) -> DataFrame:
@@ -229,7 +235,8 @@ def v45_location_of_max_total(r: Roles) -> DataFrame:
             .join(r.part.select("spid", "sprate"), "spid").select("vname", "vadd", "sprate"))
 
 
-def v49_spend_position(r: Roles, labels: Sequence[str] = ("A", "B", "C", "D", "E"), otherwise: str = "F") -> DataFrame:
+def v49_spend_position(r: Roles, labels: Sequence[str] = ("A", "B", "C", "D", "E"), otherwise: str = "F",
+                       as_double: bool = False) -> DataFrame:
     """Known customers by ascending spend: positions 1..5 get A..E, the rest F.
 
     Only the first len(labels) positions matter, so they come from a bounded
@@ -242,7 +249,7 @@ def v49_spend_position(r: Roles, labels: Sequence[str] = ("A", "B", "C", "D", "E
     first = first.select("cid", F.row_number().over(
         Window.orderBy(F.col("total_spent").asc_nulls_last(), F.col("cid").asc())).alias("_pos"))
     return spend.join(F.broadcast(first), "cid", "left").select(
-        "cid", "total_spent", label_by_position(F.col("_pos"), list(labels), otherwise).alias("spend_grade"))
+        "cid", money_out("total_spent", as_double).alias("total_spent"), label_by_position(F.col("_pos"), list(labels), otherwise).alias("spend_grade"))
 
 
 def v56_first_hired(r: Roles) -> DataFrame:

@@ -144,3 +144,33 @@ def test_null_commission_in_income(spark, roles_a):
     r = _with_service_row(spark, roles_a, sid=6106, eid=3002, comm=None)
     got = dict(project(plan("q15_annual_income", r), ["ename", "annual_income"]))
     assert got["DAVID AUSTIN"] == 13300.0 and got["JAMES PHILIP"] is None
+
+
+def test_totals_above_a_quadrillion_keep_their_cents(spark, roles_a):
+    from dataclasses import replace
+    from decimal import Decimal
+
+    rows = [(i, 1, 1, Decimal("900000000000000.07")) for i in range(3)] + [(9, 1, 1, Decimal("0.01"))]
+    big = spark.createDataFrame(rows, "sid int, cid int, eid int, total decimal(20,2)")
+    service = big.withColumns({c: F.lit(None).cast("double") for c in ("qty", "sp_rate", "sp_amt", "sp_g", "ser_amt", "comm")})
+    service = service.withColumns({c: F.lit(None).cast("string") for c in ("type_veh", "veh_no", "typ_ser")}).withColumns({"ser_date": F.lit(None).cast("date"), "spid": F.lit(1)})
+    customer = roles_a.customer.limit(1).withColumn("cid", F.lit(1))
+    r = replace(roles_a, service=service, customer=customer)
+    assert plan("v43_total_per_customer", r).first()["total_spent"] == Decimal("2700000000000000.22")
+    assert plan("q49_customer_spend_rating", r).first()["total_spent"] == Decimal("2700000000000000.22")
+    assert plan("q50_spend_above_max_single", r).first()["customer_total_spend"] == Decimal("2700000000000000.22")
+    assert plan("q20_profit_loss", replace(r, employee=roles_a.employee.limit(0), purchase=roles_a.purchase.limit(0))).first()[0] is None
+    assert plan("v10_top_total_spender", r).schema["sum_total"].dataType.simpleString().startswith("decimal")
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_an_amount_that_does_not_fit_fails(spark, ansi):
+    from shopfloor.functions.money import money_sum
+
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="no amount of money"):
+            spark.createDataFrame([(1.0,), (1e30,)], "x double").agg(money_sum("x")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
