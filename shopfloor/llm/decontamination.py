@@ -32,15 +32,17 @@ leaves every document clean; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import arrow_bytes, text_or_empty, written
+from shopfloor.llm.common import arrow_bytes, free_names, text_or_empty, written
 
 WINDOW = 8
 LITERALS = 4
@@ -352,10 +354,22 @@ def _blocks(benchmark: DataFrame) -> Iterator[Block]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without its text, with ``hits``: array of (item_id, n_windows) of the benchmark items found."""
+    """``docs`` without its text, with ``hits``: array of (item_id, n_windows) of the benchmark items found.
+
+    Rows are told apart by a number of their own, whatever they repeat; a column ``hits`` of ``docs`` is replaced.
+    """
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    others = [c for c in docs.columns if c not in ("text", "hits")]
+    blocks = _blocks(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs.select(*others).withColumn("hits", F.array().cast("array<struct<item_id:long,n_windows:long>>"))
+    row = free_names(docs, "_row")[0]
+    numbered = docs.select(*others, "text", F.monotonically_increasing_id().alias(row))
+    if second is not None:  # read once for each block, so the numbers are written
+        numbered = written(numbered, "numbered")
+    keep = [*others, row] if second is None else [row]
+    kinds = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in keep)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_windows", pa.int64())]))
 
     def scan(block: Block) -> DataFrame:
@@ -374,24 +388,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 hits = [[{"item_id": i, "n_windows": n} for i, n in x] for x in hits + shared.value.hits(texts, keys)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(hits, kind)], [*keep, "hits"])
 
-        rows = docs.select(*keep, text_or_empty().alias("text"))
+        rows = numbered.select(*keep, text_or_empty().alias("text"))
         return rows.mapInArrow(run, f"{kinds}, hits array<struct<item_id:long,n_windows:long>>")
 
     with arrow_bytes(spark):
-        found = [written(scan(block), "hits") for block in _blocks(benchmark)]
-    if not found:
-        return docs.select(*keep).withColumn("hits", F.array().cast("array<struct<item_id:long,n_windows:long>>"))
-    if len(found) == 1:
-        return found[0]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.groupBy(*keep).agg(F.flatten(F.collect_list("hits")).alias("hits"))  # a row per block and document
+        if second is None:
+            return written(scan(first), "hits").drop(row)
+        found = [written(scan(block).where("size(hits) > 0"), "hits") for block in itertools.chain((first, second), blocks)]
+    per_row = reduce(DataFrame.unionByName, found).groupBy(row).agg(F.flatten(F.collect_list("hits")).alias("hits"))  # a row per block and document
+    none = F.array().cast("array<struct<item_id:long,n_windows:long>>")
+    return numbered.drop("text").join(per_row, row, "left").select(*others, F.coalesce("hits", none).alias("hits"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found."""
     key = F.xxhash64(text_or_empty())
-    found = contaminated(docs.select("doc_id", key.alias("_key"), "text"), benchmark)
-    out = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), "_key").distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    i, k = free_names(docs, "_id", "_key")
+    found = contaminated(docs.select("doc_id", key.alias(k), "text"), benchmark)
+    out = found.where(F.size("hits") > 0).select(F.col("doc_id").alias(i), k).distinct()
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col(i)) & (key == F.col(k)), "left_anti")

@@ -19,7 +19,7 @@ which is what may be broadcast.
 
 Defined cases: a NULL or empty text has weight 0; without good labels every document is kept;
 several labels of one document count as the worst of them; a NULL label is no label; rows that repeat a
-``doc_id`` and text are kept or rejected together; an empty table gives an empty result.
+``doc_id`` and text are kept or rejected together; extra columns pass unchanged, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import arrow_bytes, text_or_empty, written
+from shopfloor.llm.common import arrow_bytes, free_names, text_or_empty, written
 
 BUCKETS = 1 << 20  #: hash buckets of a model
 SMOOTH = 3.0
@@ -215,6 +215,7 @@ def resampled(docs: DataFrame, labels: DataFrame, seed: int = 29, label_rows: in
 
 def keep_drawn(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
     """The rows of ``docs`` that are drawn."""
-    out = resampled(docs, labels, **options).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_key"))
+    i, k = free_names(docs, "_id", "_key")
+    out = resampled(docs, labels, **options).where("NOT kept").select(F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text_or_empty()) == F.col(k))
     return docs.join(out, same, "left_anti")

@@ -36,13 +36,15 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that go as parts of repeated 400-byte strings."""
-    return suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"), width=400).drop("spans")
+    found = suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"), width=400)
+    return found.drop("spans").withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every document in a mix of sources."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return source_mixing.mixed(docs).select("doc_id", "source", "block", "slot", "position", "exact")
+    """The place of every document in a mix of sources whose target weights go with the root of their text."""
+    docs = table(spark, sf_dir, "documents")
+    weights = source_mixing.weights_by_text(docs)
+    return source_mixing.mixed(docs.select("doc_id", "source"), weights).select("doc_id", "source", "block", "slot", "position", "exact")
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +62,10 @@ def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in all documents by a fresh ledger."""
-    return secret_scan.secrets_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Secrets in all documents, by a ledger that has the first version of the rules and is brought up to the second."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), new_folder(spark, "ledger")
+    secret_scan.scan_into(docs, folder, "base-1")
+    return secret_scan.secrets_of(docs, folder, "base-2")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import arrow_bytes, let_go, text_or_empty, written
+from shopfloor.llm.common import arrow_bytes, free_names, let_go, text_or_empty, written
 from shopfloor.llm.components import components
 
 PARTITIONS = 4
@@ -250,20 +250,24 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     groups = simhash_groups(docs, shingle, max_bits)
     stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     unique = stays.groupBy("doc_id").count().where("count > 1").isEmpty()
-    keys = stays.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("label").alias("_label")).distinct()
+    i, p, g, own, rest, row = free_names(docs, "_id", "_fp", "_label", "_own", "_rest", "_row")
+    keys = stays.select(F.col("doc_id").alias(i), F.col("fp").alias(p), F.col("label").alias(g)).distinct()
     if unique and stays.where("doc_id IS NULL").isEmpty():
-        return docs.join(keys.select("_id"), docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    # Some rows share a doc_id: tell their texts apart by fingerprint, then keep one row of a group.
-    shared = fingerprint_column(docs, shingle)
-    same = shared["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (shared["_own"] == F.col("_fp"))
-    picked = shared.join(keys, same)
-    return picked.dropDuplicates(["_label"]).select(*docs.columns)
-
-
-def fingerprint_column(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with its fingerprint as ``_own``."""
+        return docs.join(keys.select(i), F.col("doc_id").cast("long") == F.col(i), "left_semi")
+    # Some rows share a doc_id: tell their texts apart by fingerprint, then keep one row of a group, the
+    # first by a hash of all its columns and by its number. The rows are written with both, so that every task reads the same ones.
+    all_columns = [c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    shared = fingerprint_column(docs, shingle, own).withColumns({rest: F.xxhash64(*all_columns), row: F.monotonically_increasing_id()})
+    picked = written(shared.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(p))), "candidates")
+    order = F.struct(rest, row)
+    first = picked.groupBy(g).agg(F.min(order).alias("first")).select(F.col(f"first.{row}").alias(f"{row}_first"))
+    return picked.join(first, F.col(row) == F.col(f"{row}_first"), "left_semi").select(*docs.columns)
+
+
+def fingerprint_column(docs: DataFrame, shingle: int, name: str) -> DataFrame:
+    """``docs`` with its fingerprint as ``name``."""
     @F.pandas_udf("long")
     def own(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: fingerprint(bytes(x), shingle))
 
-    return docs.withColumn("_own", own(text_or_empty().cast("binary")))
+    return docs.withColumn(name, own(text_or_empty().cast("binary")))

@@ -17,8 +17,8 @@ is dropped or repeated. ``exact`` tells the rows before the first slot that stay
 to there the weights hold to within a block.
 
 Defined cases: rows with a NULL source form a source of their own; a source without a weight
-is refused unless weights are derived, and so is a weight that is not positive; rows that repeat a ``doc_id`` are placed one by one; an empty table gives
-an empty result.
+is refused unless weights are derived, and so is a weight that is not positive; rows that repeat a ``doc_id`` are placed one by one; texts and
+names of sources may have any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from shopfloor.llm.common import written
 
 BLOCK_ROWS = 8
-SLOTS = 10_000  #: slots of one round of whole shares
 PLACES = 500_000  #: places of blocks that the driver holds at a time
 TEMPERATURE = 0.5  #: derived weights go with the number of rows to this power
 BUCKET_ROWS = 2_000  #: rows of one source that are numbered within one task's group
@@ -47,17 +46,10 @@ def tempered_weights(rows: Mapping[str | None, int], temperature: float = TEMPER
     return {k: x / sum(raw.values()) for k, x in raw.items()}
 
 
-def whole_shares(weights: Mapping[str | None, float], slots: int) -> dict[str | None, int]:
-    """Shares of ``slots`` by largest remainder, at least one for every source."""
-    total = float(sum(weights.values()))
-    if len(weights) > slots:
-        raise ValueError(f"{len(weights)} sources need as many slots; there are {slots}")
-    exact = {k: w / total * (slots - len(weights)) for k, w in weights.items()}
-    shares = {k: 1 + int(x) for k, x in exact.items()}
-    by_rest = sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k is not None, str(k)))
-    for k in by_rest[:slots - sum(shares.values())]:
-        shares[k] += 1
-    return shares
+def weights_by_text(docs: DataFrame, temperature: float = TEMPERATURE) -> dict[str | None, float]:
+    """Target weights by the characters of each source, evened out as by :func:`tempered_weights`; a source has one at least."""
+    sums = docs.groupBy("source").agg(F.sum(F.length("text").cast("long")).alias("n")).collect()  # one row per source
+    return tempered_weights({r["source"]: max(1, r["n"] or 0) for r in sums}, temperature)
 
 
 def schedule(weights: Mapping[str | None, float], blocks: Mapping[str | None, int]) -> Iterator[tuple[str | None, int, int, bool]]:
@@ -88,11 +80,6 @@ def schedule(weights: Mapping[str | None, float], blocks: Mapping[str | None, in
         slot, left = slot + 1, left - 1
 
 
-def pfair_round(shares: Mapping[str | None, int], slots: int) -> list[tuple[str | None, int, int]]:
-    """One round of whole shares: (source, number of its block in the round, slot)."""
-    return [x[:3] for x in schedule(shares, shares) if x[2] < slots]
-
-
 def _numbered(docs: DataFrame, seed: int) -> DataFrame:
     """``docs`` with ``_n``: the place of a row in its source, by a seeded hash.
 
@@ -104,7 +91,7 @@ def _numbered(docs: DataFrame, seed: int) -> DataFrame:
     buckets = max(1, -(-most // BUCKET_ROWS))
     # The rest of the row settles ties of the hash, so a rerun gives every row the same place.
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rest = F.xxhash64(*(c for c in docs.columns if not docs.schema[c].dataType.typeName() == "map"))
+    rest = F.xxhash64(*(c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")))
     keyed = docs.withColumns({"_key": key, "_rest": rest, "_bucket": F.floor((F.shiftrightunsigned(key, 33) * buckets) / F.lit(1 << 31)).cast("long")})
     counts = keyed.groupBy("source", "_bucket").count()
     running = Window.partitionBy("source").orderBy("_bucket")
@@ -118,8 +105,16 @@ def _numbered(docs: DataFrame, seed: int) -> DataFrame:
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 17) -> DataFrame:
     """``docs`` with ``block`` (of the source), ``slot`` (of the sequence), ``position`` (the order of the mix) and ``exact``.
 
-    Without ``weights`` they are derived from the row counts, see :func:`tempered_weights`.
+    Without ``weights`` they are derived from the row counts, see :func:`tempered_weights`. Columns of
+    ``docs`` with one of these four names are replaced; all others pass unchanged, whatever their names.
     """
+    inner = [c for c in docs.columns if c not in ("block", "slot", "position", "exact")]
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(inner)), F.col("doc_id"), F.col("source"))
+    out = _mixed(named, weights, block_rows, seed)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(inner)), "block", "slot", "position", "exact")
+
+
+def _mixed(docs: DataFrame, weights: Mapping[str | None, float] | None, block_rows: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
     counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}  # one row per source
     weights = weights or tempered_weights(counts)
@@ -142,4 +137,6 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
 
 def mix_order(docs: DataFrame, **options: object) -> DataFrame:
     """The columns of ``docs`` in the order of the mix: range-partitioned and sorted by position."""
-    return mixed(docs, **options).repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)  # type: ignore[arg-type]
+    held = docs.select(*(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)), "doc_id", "source")
+    laid = mixed(held, **options).repartitionByRange("position").sortWithinPartitions("position")  # type: ignore[arg-type]
+    return laid.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)))

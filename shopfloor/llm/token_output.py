@@ -274,7 +274,7 @@ def _write(docs: DataFrame, out: str, tokenizer: str, end_id: int, keys: list[st
     total = int(sum(r["n"] for r in counted))
     n = max(1, min(parts(spark, total, SHARD_TOKENS), -(-total // 100_000)))
     by = [F.col(f"k{i}") for i in range(len(keys))] + [F.col("ids")]
-    laid = tokens.repartitionByRange(n, *by[:-1]).sortWithinPartitions(*by)
+    laid = tokens.repartitionByRange(n, *by[:-1], F.xxhash64("ids")).sortWithinPartitions(*by[:-1], F.xxhash64("ids"), "ids")  # rows that share a key are split by their ids
     laid.select("doc_id", "ids").mapInArrow(_block_writer(bits, kind), _BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
     drop_folder(spark, scratch)
 
