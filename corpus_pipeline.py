@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.llm.common import drop_folder, new_folder, table
+from shopfloor.llm.common import drop_folder, free_names, new_folder, table
 from shopfloor.llm.decontamination import keep_clean
 from shopfloor.llm.quality_resampling import keep_drawn
 from shopfloor.llm.queries import tokenizer_path
@@ -47,10 +47,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the mix; per document what they hold."""
-    order = ["doc_id"]
+    order, names = ["doc_id"], free_names(docs, "_file", "_row")
     try:
-        docs = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        order = ["_file", "_row"]
+        docs = docs.select("*", F.col("_metadata.file_name").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+        order = names
     except AnalysisException:  # not read from files
         pass
     out = new_folder(spark, "pipeline-tokens")
