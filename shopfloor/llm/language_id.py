@@ -1,10 +1,10 @@
 """Language identification by interpolated Kneser-Ney models of characters, one per language.
 
-Characters are folded into 64 classes (blank for all that is no letter, a to z, and 37 classes
-for other letters), so there are 2**24 four-grams at most and a model has a proven size. The
-counts cover every document that may be learned from. A model keeps its four-grams as a sorted
-array of keys with one column of log probabilities per language; the lower orders, which need
-2**18 entries at most, are whole tables.
+A character is a letter in lower case, or a blank for all that lies between letters; four of them make a
+64-bit key, so letters of all scripts are told apart (those beyond 16 bits share 6,400 codes). The
+counts cover every document that may be learned from and are made in Spark, so the model grows with the
+different four-grams of the text. Each order of a model is a sorted array of keys with one column per language;
+the model is fitted from these counts on the driver and broadcast.
 
 A text gets the language with the lowest cross-entropy per character. Two things are calibrated on one
 learned fold, all its rows, by a model of the other learned folds, so on text that the model has not seen: the
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from shopfloor.llm.common import arrow_bytes, written
 
-CLASSES = 6  #: bits of a character class
+CHAR = 16  #: bits of a character
+ORDER = 4
 CALIBRATION_FOLD = 1  #: of the learned folds 1 to 4, the one that calibrates score and rejection
 MARGIN_STEP = 1e-3  #: margins are counted in steps of this size
 REJECT = 0.999
@@ -39,25 +40,24 @@ UND = "und"
 _TABLE: list[np.ndarray] = []
 
 
-def _classes() -> np.ndarray:
-    """The class of every code point."""
+def _codes() -> np.ndarray:
+    """The 16-bit code of every code point: a letter's own, 0 for what is no letter; letters beyond 16 bits share the private ones."""
     if not _TABLE:
+        point = np.arange(0x110000, dtype=np.uint64)
         letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        other = 27 + (np.arange(0x110000, dtype=np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(37)
-        table = np.where(letter, other, 0).astype(np.uint8)
-        table[97:123] = np.arange(1, 27)
-        _TABLE.append(table)
+        far = np.uint64(0xE000) + (point * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(6400)
+        _TABLE.append(np.where(letter, np.where(point < 0x10000, point, far), 0).astype(np.uint64))
     return _TABLE[0]
 
 
 def keys_of(text: str | None) -> np.ndarray:
-    """The four-grams of a text as 24-bit keys; empty if it has no letter."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
-    c = _classes()[codes].astype(np.int32)
+    """The four-grams of a text as 64-bit keys; empty if it has no letter."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
+    c = _codes()[points]
     if not c.any():
-        return np.zeros(0, np.int32)
-    c = np.concatenate([np.zeros(3, np.int32), c[(c > 0) | (np.concatenate([[1], c[:-1]]) > 0)], np.zeros(1, np.int32)])
-    return c[:-3] << 18 | c[1:-2] << 12 | c[2:-1] << 6 | c[3:]
+        return np.zeros(0, np.uint64)
+    c = np.concatenate([np.zeros(3, np.uint64), c[(c > 0) | (np.concatenate([[1], c[:-1]]) > 0)], np.zeros(1, np.uint64)])
+    return c[:-3] << np.uint64(48) | c[1:-2] << np.uint64(32) | c[2:-1] << np.uint64(16) | c[3:]
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         size: dict[str, int] = {}
 
         def merge(lang: str) -> None:
-            keys, counts = done.get(lang, (np.zeros(0, np.int32), np.zeros(0, np.int64)))
+            keys, counts = done.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             new, n = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
             done[lang] = _merged(np.concatenate([keys, new]), np.concatenate([counts, n]))
             size[lang] = 0
@@ -91,75 +91,98 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         for lang in list(waiting):
             merge(lang)
         for lang, (keys, counts) in done.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int32()), pa.array(counts, pa.int64())], ["lang", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64), pa.int64()), pa.array(counts, pa.int64())], ["lang", "key", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would be in a sorted array, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _suffix(keys: np.ndarray, order: int) -> np.ndarray:
+    return keys & np.uint64((1 << CHAR * order) - 1)
 
 
 class KneserNey:
-    """Log probabilities of all languages: sorted four-grams, and whole tables for the rest."""
+    """Interpolated Kneser-Ney models of all languages, each order in sorted arrays.
+
+    ``grams[k]`` are the k-grams of any language and ``seen[k]`` what their own counts give by language;
+    ``contexts[k]`` are the strings before their last characters and ``rest[k]`` the weight that is left for the next order.
+    """
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(counts)
-        self.keys = np.unique(np.concatenate([k for k, _ in counts.values()])) if counts else np.zeros(0, np.int32)
         size = len(self.langs)
-        self.logs = np.zeros((len(self.keys), size), np.float32)
-        self.rest = np.zeros((1 << 18, size), np.float32)  # log of the weight that a context leaves to the next order
-        self.lower = np.zeros((1 << 18, size), np.float32)  # log probability of the next order
-        for i, lang in enumerate(self.langs):
-            self._learn(i, *counts[lang])
-
-    def _learn(self, i: int, keys: np.ndarray, counts: np.ndarray) -> None:
-        # Lower orders count in how many different contexts a string was seen.
-        third = np.bincount(keys & 0x3FFFF, minlength=1 << 18)
-        second = np.bincount(np.flatnonzero(third) & 0xFFF, minlength=1 << 12)
-        first = np.bincount(np.flatnonzero(second) & 0x3F, minlength=64)
-        p = (first + 0.5) / (first + 0.5).sum()
-        for table, width in ((second, 6), (third, 12)):
-            p, _ = self._interpolate(table, np.tile(p, len(table) // len(p)), np.arange(len(table)), 1 << width)
-        self.lower[:, i] = np.log(p)
-        d = self._discount(counts)
-        context = keys >> 6
-        total = np.bincount(context, counts, 1 << 18)
-        kinds = np.bincount(context, minlength=1 << 18)
-        rest = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        self.rest[:, i] = np.log(rest)
-        everywhere = np.exp(self.rest[self.keys >> 6, i] + self.lower[self.keys & 0x3FFFF, i])
-        at = np.searchsorted(self.keys, keys)
-        everywhere[at] += np.maximum(counts - d, 0) / total[context]
-        self.logs[:, i] = np.log(everywhere)
+        each = [self._orders(*counts[lang]) for lang in self.langs]
+        self.grams = {k: np.unique(np.concatenate([x[k][0] for x in each])) if each else np.zeros(0, np.uint64) for k in range(1, ORDER + 1)}
+        self.contexts = {k: np.unique(self.grams[k] >> np.uint64(CHAR)) for k in range(2, ORDER + 1)}
+        self.seen = {k: np.zeros((len(g), size), np.float32) for k, g in self.grams.items()}
+        self.rest = {k: np.ones((len(c), size), np.float32) for k, c in self.contexts.items()}
+        self.new = np.ones(size)  # of a character that no language has
+        for i, orders in enumerate(each):
+            self._learn(i, orders)
+        self.logs = np.concatenate([np.log(self.probabilities(self.grams[ORDER][a:a + 100_000])).astype(np.float32) for a in range(0, len(self.grams[ORDER]), 100_000)] or [np.zeros((0, size), np.float32)])
+
+    @staticmethod
+    def _orders(keys: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts by order; a lower order counts before how many characters a string was seen."""
+        out = {ORDER: (keys, counts)}
+        for k in range(ORDER - 1, 0, -1):
+            out[k] = np.unique(_suffix(out[k + 1][0], k), return_counts=True)
+        return out
+
+    def _learn(self, i: int, orders: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        letters, n = orders[1]
+        whole = n.sum() + 0.5 * (len(self.grams[1]) + 1)
+        self.seen[1][:, i] = 0.5 / whole
+        self.seen[1][np.searchsorted(self.grams[1], letters), i] = (n + 0.5) / whole
+        self.new[i] = 0.5 / whole
+        for k in range(2, ORDER + 1):
+            keys, n = orders[k]
+            d = self._discount(n)
+            context, at, kinds = np.unique(keys >> np.uint64(CHAR), return_inverse=True, return_counts=True)
+            total = np.bincount(at, n)
+            self.seen[k][np.searchsorted(self.grams[k], keys), i] = np.maximum(n - d, 0) / total[at]
+            self.rest[k][np.searchsorted(self.contexts[k], context), i] = d * kinds / total
 
     @staticmethod
     def _discount(counts: np.ndarray) -> float:
         one, two = int((counts == 1).sum()), int((counts == 2).sum())
         return one / (one + 2 * two) if one and two else 0.5
 
-    def _interpolate(self, table: np.ndarray, lower: np.ndarray, keys: np.ndarray, contexts: int) -> tuple[np.ndarray, float]:
-        d = self._discount(table[table > 0])
-        context = keys >> 6
-        total = np.bincount(context, table, contexts)
-        kinds = np.bincount(context, table > 0, contexts)
-        rest = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        return np.maximum(table - d, 0) / np.maximum(total, 1)[context] + rest[context] * lower, d
+    def probabilities(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Of the last character of each key after the others, by language."""
+        at, there = _found(self.grams[order], keys)
+        if order == 1:
+            return np.where(there[:, None], self.seen[1][at], self.new) if len(self.grams[1]) else np.tile(self.new, (len(keys), 1))
+        out = self.probabilities(_suffix(keys, order - 1), order - 1)
+        left, known = _found(self.contexts[order], keys >> np.uint64(CHAR))
+        out[known] *= self.rest[order][left[known]]
+        out[there] += self.seen[order][at[there]]
+        return out
 
     def entropies(self, keys: np.ndarray) -> np.ndarray:
         """Cross-entropy per character under each language."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[at] == keys
+        at, known = _found(self.grams[ORDER], keys)
         total = self.logs[at[known]].sum(0, dtype=np.float64)
         if not known.all():
-            new = keys[~known]
-            total += (self.rest[new >> 6] + self.lower[new & 0x3FFFF]).sum(0, dtype=np.float64)
+            total += np.log(self.probabilities(keys[~known])).sum(0)
         return -total / len(keys)
 
 
 def train(docs: DataFrame) -> KneserNey:
     """The models of all languages of ``docs`` (``text, lang``)."""
-    rows = ngram_counts(docs).toPandas()  # at most 2**24 keys a language
+    rows = ngram_counts(docs).toPandas()  # the different four-grams of each language
     counts = {}
     for lang, part in rows.groupby("lang"):
-        order = np.argsort(part["key"].to_numpy(np.int32))
-        counts[str(lang)] = (part["key"].to_numpy(np.int32)[order], part["n"].to_numpy(np.int64)[order])
+        keys = part["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        counts[str(lang)] = (keys[order], part["n"].to_numpy(np.int64)[order])
     return KneserNey(counts)
 
 

@@ -82,3 +82,27 @@ tops AS (SELECT g AS name, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS
     last = levels + 1 + over
     return ",".join(parts) + f"""
 SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM d{last}, n{last}"""
+
+
+def op7(rules: dict[str, tuple[str, int, int]], base: int) -> str:
+    """Matches of each rule (pattern, group that counts, least length) by splitting the texts; the first ``base`` rules make the digest."""
+
+    def kind(i: int, name: str) -> str:
+        pattern, group, least = rules[name]
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        return (f"SELECT r, {i} AS place, '{name}' AS kind, {least} AS least, regexp_extract_all(t, {quoted}, 0) AS alls, regexp_extract_all(t, {quoted}, {group}) AS owns, "
+                f"string_split_regex(t, {quoted}) AS gaps FROM d")
+
+    names = list(rules)
+    found = " UNION ALL ".join(kind(i, n) for i, n in enumerate(names))
+    text = "string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, place)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in names[:base])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents
+), m AS ({found}
+), e AS (SELECT r, place, kind, least, unnest(range(len(alls))) AS i, length(unnest(alls)) AS n, length(unnest(owns)) AS own, length(unnest(gaps[:len(alls)])) AS gap FROM m
+), p AS (SELECT *, CAST(sum(gap + n) OVER (PARTITION BY r, place ORDER BY i) AS BIGINT) AS stop FROM e
+), f AS (SELECT r, {counts}, {text} FILTER (place < {base}) AS base, {text} AS spans FROM p WHERE own >= least GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in names[:base])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
+FROM d LEFT JOIN f USING (r)
+"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.llm import decontamination, exact_dedup, language_id, merkle_manifest, prefix_trie, quality_resampling, secret_scan, simhash_dedup, source_mixing, suffix_dedup, token_output, toxicity, warc_fixity
 from shopfloor.llm.common import new_folder, table
-from shopfloor.llm.oracle_sql import op11, op13
+from shopfloor.llm.oracle_sql import op7, op11, op13
 
 
 def tokenizer_path() -> str:
@@ -129,4 +129,4 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": _OP5, "op8_exact_dedup": _OP8, "op11_prefix_trie": op11(), "op13_merkle_manifest": op13()}
+ORACLE_SQL: dict[str, str] = {"op5_warc_fixity": _OP5, "op7_secret_scan": op7(secret_scan.VERSIONS["base-2"], len(secret_scan.RULES)), "op8_exact_dedup": _OP8, "op11_prefix_trie": op11(), "op13_merkle_manifest": op13()}

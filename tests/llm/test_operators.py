@@ -353,14 +353,59 @@ def test_rare_languages_are_calibrated_in_a_large_table(session):
     assert sum(got[i]["rejected"] for i in learned[:32_000]) <= 0.01 * 32_000
 
 
-def test_kneser_ney_sums_to_one():
-    keys = language_id.keys_of("the cat sat on the mat, and the dog sat on the cat")
-    k, n = np.unique(keys, return_counts=True)
-    model = language_id.KneserNey({"x": (k, n)})
-    for context in (0, int(keys[10]) >> 6, 12345):
-        every = np.arange(64, dtype=np.int32) + (context << 6)
-        total = sum(np.exp(-model.entropies(np.array([key], np.int32))[0]) for key in every)
-        assert abs(total - 1) < 1e-3
+def plain_kneser_ney(texts):
+    """Probability of a character after a string, straight from the definition, over characters of the text and one unseen."""
+    counts = Counter(g for t in texts for g in grams_of(t))
+    levels = {4: counts}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    alphabet = {g for g in levels[1]}
+
+    def p(gram):
+        k = len(gram)
+        if k == 1:
+            return (levels[1][gram] + 0.5) / (sum(levels[1].values()) + 0.5 * (len(alphabet) + 1))
+        same = [n for g, n in levels[k].items() if g[:-1] == gram[:-1]]
+        ones, twos = (sum(n == x for n in levels[k].values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        if not same:
+            return p(gram[1:])
+        return max(levels[k][gram] - d, 0) / sum(same) + d * len(same) / sum(same) * p(gram[1:])
+
+    return p, alphabet
+
+
+def grams_of(text):
+    clean = re.sub(r"[\W\d_]+", " ", text.lower())
+    padded = "   " + clean + " "
+    return [padded[i:i + 4] for i in range(len(padded) - 3)]
+
+
+def key_of(gram):
+    return np.array([sum((0 if c == " " else ord(c)) << 16 * (3 - i) for i, c in enumerate(gram))], np.uint64)
+
+
+def test_kneser_ney_is_the_plain_one_and_sums_to_one():
+    made = ["the cat sat on the mat and the dog sat on the cat", "кіт їсть рибу", "öl à la maß"]
+    keys, n = np.unique(np.concatenate([language_id.keys_of(t) for t in made]), return_counts=True)
+    model = language_id.KneserNey({"x": (keys, n)})
+    p, alphabet = plain_kneser_ney(made)
+    for gram in ["the ", " cat", "xyzt", "the!", "   t", " маб", "їсть", "a ma", "zzzz", "aß  "]:
+        gram = gram.replace("!", " ")
+        assert abs(np.exp(-model.entropies(key_of(gram))[0]) - p(gram)) < 1e-5, gram
+    for context in ("the", "zzz", " ка", "   "):
+        assert abs(sum(p(context + c) for c in alphabet) + p(context + "\u4e00") - 1) < 1e-9
+
+
+def test_languages_of_other_scripts_are_told_apart(session):
+    """Pairs that share a script, apart in a few letters only."""
+    rng = np.random.default_rng(8)
+    letters = {"uk": "абвгдеєжзиіїйклмнопрстуфхцчшщьюяґ", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "zh": "的一是不了在人有我他这个们中来上大为和国", "ja": "のにはをたがでてとしれさある一是不了在人",
+               "el": "αβγδεζηθικλμνξοπρστυφχψω", "de": "abcdefghijklmnopqrstuvwxyzäöüß", "fr": "abcdefghijklmnopqrstuvwxyzàâçéèêô"}
+    rows = [(i, "".join(rng.choice(list(letters[lang] + "  "), 200)), lang) for i, lang in enumerate(list(letters) * 60)]
+    got = {r["doc_id"]: r for r in language_id.identify(session.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(got[i]["lang_pred"], lang) for i, _, lang in rows if got[i]["held_out"]]
+    assert {x for _, x in held} == set(letters) and all(a == b for a, b in held)
 
 
 def test_templates_catch_new_numbers_and_check_slots(session, hard, empty):
