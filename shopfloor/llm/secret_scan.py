@@ -85,12 +85,11 @@ def scan_new(paths: DataFrame, ledger: DataFrame | None = None, version: str = R
     """Ledger rows ``blob, rule_version, findings`` of the (blob, version) pairs of ``paths`` that ``ledger`` lacks."""
     # Only texts that may match are moved; the others are known by their digest.
     texts = paths.select(F.sha2(text_or_empty(), 256).alias("blob"), F.when(may_match(text_or_empty(), version), text_or_empty()).alias("text"))
-    fresh = texts
+    # One copy of each blob: equal texts are merged within a task before anything is shuffled, so many copies are few rows.
+    fresh = texts.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == version).select("blob")
-        fresh = texts.join(seen, "blob", "left_anti")
-    # One copy of each blob: equal texts are merged within a task before anything is shuffled.
-    once = scan(fresh.groupBy("blob").agg(F.first("text").alias("text")), version)
+        fresh = fresh.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+    once = scan(fresh, version)
     return once.select("blob", F.lit(version).alias("rule_version"), "findings")
 
 
