@@ -2,6 +2,9 @@
 
 Every step is a grouping by vertex (a minimum, combined before the shuffle) and a join back;
 no neighbourhood is ever collected. The number of steps is logarithmic in the longest path.
+
+Defined cases: repeated edges and loops change nothing (a node that has only a loop is not returned); edges with a NULL
+end are dropped; no edges give no rows.
 """
 
 from __future__ import annotations

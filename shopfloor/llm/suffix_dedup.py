@@ -15,12 +15,15 @@ places are the suffixes of all texts; two of them tie if their first ``width`` b
    many as take the bytes of the text itself, so memory is bounded and shuffle files never
    exceed the input however much of it repeats. Each bucket answers which of its suffixes tie.
 
+The key is a hash (two polynomial sums modulo 2**64, cut to 96 bits): strings with equal keys count as
+equal, no byte is compared after it.
+
 Suffixes travel as packed arrays, one row per piece of text and bucket, after equal keys of a
 piece are merged: a string that fills a third of the corpus counts once per piece.
 
 Defined cases: a NULL text is empty; a text shorter than ``width`` stays; matches do not cross
 texts; strings are judged on the input. Rows with the same ``doc_id`` are separate rows. An
-empty table gives an empty result.
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
