@@ -35,7 +35,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of all documents that go as parts of repeated 400-byte strings."""
+    """Bytes of all documents that go as parts of repeated 400-byte strings, and which share 50 words in a row with another."""
     found = suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"), width=400)
     return found.drop("spans").withColumn("has_repeats", F.col("n_removed") > 0)
 

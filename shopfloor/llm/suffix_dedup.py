@@ -18,11 +18,15 @@ places are the suffixes of all texts; two of them tie if their first ``width`` b
 The key is a hash (two polynomial sums modulo 2**64, cut to 96 bits): strings with equal keys count as
 equal, no byte is compared after it.
 
+The same steps over words in place of bytes tell the texts with a passage of ``words`` consecutive words that also
+stands in another text: word offsets take a difference cover of period ``PASSAGE_PERIOD``, and the word suffixes near a shared
+sample are sorted by the key of their first words. Here only other texts count, not other places of the same text.
+
 Suffixes travel as packed arrays, one row per piece of text and bucket, after equal keys of a
 piece are merged: a string that fills a third of the corpus counts once per piece.
 
-Defined cases: a NULL text is empty; a text shorter than ``width`` stays; matches do not cross
-texts; strings are judged on the input. Rows with the same ``doc_id`` are separate rows. An
+Defined cases: a NULL text is empty; a text shorter than ``width`` stays; a text of fewer than ``words`` words has no passage;
+equal texts of two rows are two texts; matches do not cross texts; strings are judged on the input. Rows with the same ``doc_id`` are separate rows. An
 empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 from shopfloor.llm.common import arrow_bytes, drop_folder, let_go, new_folder, text_or_empty, written
 
 PERIOD = 181
+PASSAGE_PERIOD = 13  #: period of the cover of word offsets
+PASSAGE_WORDS = 50  #: a passage of over 50 words has two such strings, so a word that touches its neighbour outside may differ
 PIECE_BYTES = 1 << 20  #: texts are handled in pieces of about this size, at least one text
 BUCKET_KEYS = 1 << 20  #: suffixes that one bucket holds on average
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  #: odd multipliers of the two rolling keys
@@ -68,15 +74,13 @@ class RollingKeys:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def of(self, data: np.ndarray, width: int) -> np.ndarray:
-        if len(data) > len(self.power) - 1:
-            self.power = self._powers(int(self.power[1]), len(data))
-            self.inverse = self._powers(int(self.inverse[1]), len(data))
-        n = len(data) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[data] * self.power[:len(data)])])
-        key = (sums[width:] - sums[:n]) * self.inverse[:n]
+    def of(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keys of the strings of values from each start to each end."""
+        if len(values) > len(self.power) - 1:
+            self.power = self._powers(int(self.power[1]), len(values))
+            self.inverse = self._powers(int(self.inverse[1]), len(values))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.power[:len(values)])])
+        key = (sums[ends] - sums[starts]) * self.inverse[starts]
         key ^= key >> np.uint64(31)
         key *= np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
@@ -86,10 +90,33 @@ class RollingKeys:
 _KEYS: dict[int, RollingKeys] = {}
 
 
-def _keys(seed: int, data: np.ndarray, width: int) -> np.ndarray:
+def _rolling(seed: int) -> RollingKeys:
     if seed not in _KEYS:
         _KEYS[seed] = RollingKeys(seed, 2 * PIECE_BYTES)
-    return _KEYS[seed].of(data, width)
+    return _KEYS[seed]
+
+
+def _keys(seed: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of strings of bytes."""
+    rolling = _rolling(seed)
+    return rolling.of(rolling.values[data], starts, ends)
+
+
+_SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _words(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of every word ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end, and the number of words of each text."""
+    space, opens = _SPACES[data], np.zeros(len(data) + 1, bool)
+    text_starts = np.cumsum(lengths) - lengths
+    opens[text_starts] = True
+    opens[-1] = True
+    begins, finishes = opens[:-1].copy(), opens[1:].copy()
+    begins[1:] |= space[:-1]
+    finishes[:-1] |= space[1:]
+    starts, ends = np.flatnonzero(begins & ~space), np.flatnonzero(finishes & ~space) + 1
+    counts = np.diff(np.append(np.searchsorted(starts, text_starts), len(starts)))
+    return _keys(0, data, starts, ends), counts
 
 
 def _starts(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +172,7 @@ def _sender(select: Callable, buckets: int, low: int, high: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item in _rows(batch):
-                _, a, b = select(item)
+                _, a, b, _ = select(item)
                 here = (a >> np.uint64(40)).astype(np.int64) * buckets >> 24
                 here = (here >= low) & (here < high)
                 a, b, _, _ = _unique_keys(a[here], b[here])
@@ -192,8 +219,13 @@ def _sorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shared(select: Callable, item: dict, answers: list | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The selected places of a piece, and for each whether its string starts elsewhere too."""
-    places, first, second = select(item)
+    places, first, second, texts = select(item)
     a, _, at, many = _unique_keys(first, second)
+    if texts is not None:  # of the same text don't count: the first and last text of each key differ
+        low, high = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+        low[at[::-1]] = texts[::-1]
+        high[at] = texts
+        many = low != high
     bucket = (a >> np.uint64(40)).astype(np.int64) * buckets >> 24
     for x in answers or []:
         low, high = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
@@ -218,27 +250,68 @@ def _ranked(pieces: DataFrame, select: Callable, total: int, passes: int, name:
     return found.groupBy("piece").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), buckets  # a bit per suffix of a piece
 
 
+def _laid(item: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(item["data"].as_buffer(), np.uint8), np.array(item["lengths"].as_py(), np.int64)
+
+
+def _bits(item: dict, name: str, n: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(item[name].as_buffer(), np.uint8), count=n))
+
+
+def _cover_places(lengths: np.ndarray, block: int, period: int) -> np.ndarray:
+    """The places of texts laid end to end at which a sample block starts."""
+    fits, offset = _starts(lengths, block)
+    residue = np.zeros(period, bool)
+    residue[difference_cover(period)] = True
+    return np.flatnonzero(fits & residue[offset % period])
+
+
+# A selection gives places of a piece, two parts of the key of the string there and, where only other texts count, the text.
+
+
 def _sampled(width: int) -> Callable:
-    def select(item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data, lengths = np.frombuffer(item["data"].as_buffer(), np.uint8), np.array(item["lengths"].as_py(), np.int64)
+    def select(item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, None]:
+        data, lengths = _laid(item)
         block = width - PERIOD + 1
-        fits, offset = _starts(lengths, block)
-        residue = np.zeros(PERIOD, bool)
-        residue[difference_cover(PERIOD)] = True
-        places = np.flatnonzero(fits & residue[offset % PERIOD])
-        key = _keys(0, data, block)[places]
-        return places, key, np.zeros(len(places), np.uint32)  # a false tie here only adds a suffix to sort
+        places = _cover_places(lengths, block, PERIOD)
+        return places, _keys(0, data, places, places + block), np.zeros(len(places), np.uint32), None  # a false tie here only adds a suffix to sort
 
     return select
 
 
 def _candidates(width: int) -> Callable:
-    def select(item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data = np.frombuffer(item["data"].as_buffer(), np.uint8)
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(item["marked"].as_buffer(), np.uint8), count=len(data)))
+    def select(item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, None]:
+        data, _ = _laid(item)
+        places = _bits(item, "marked", len(data))
         if not len(places):
-            return places, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        return places, _keys(0, data, width)[places], (_keys(1, data, width)[places] >> np.uint64(32)).astype(np.uint32)
+            return places, np.zeros(0, np.uint64), np.zeros(0, np.uint32), None
+        return places, _keys(0, data, places, places + width), (_keys(1, data, places, places + width) >> np.uint64(32)).astype(np.uint32), None
+
+    return select
+
+
+def _texts_of(places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.cumsum(lengths), places, "right")
+
+
+def _sampled_words(words: int) -> Callable:
+    def select(item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        values, counts = _words(*_laid(item))
+        block = words - PASSAGE_PERIOD + 1
+        places = _cover_places(counts, block, PASSAGE_PERIOD)
+        return places, _rolling(0).of(values, places, places + block), np.zeros(len(places), np.uint32), _texts_of(places, counts)
+
+    return select
+
+
+def _candidate_words(words: int) -> Callable:
+    def select(item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if not item["n_words"].as_py():
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        values, counts = _words(*_laid(item))
+        places = _bits(item, "marked_words", len(values))
+        first, second = (_rolling(i).of(values, places, places + words) for i in (0, 1))
+        return places, first, (second >> np.uint64(32)).astype(np.uint32), _texts_of(places, counts)
 
     return select
 
@@ -248,35 +321,45 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {k: batch.column(i)[row] for i, k in enumerate(batch.schema.names)}
 
 
-def _mark(width: int, buckets: int) -> Callable:
-    """Pieces with the suffixes left to be sorted: those with a shared sample within a period."""
-    select = _sampled(width)
+_MARKED = f"{_PIECES}, marked binary, n long, marked_words binary, n_words long"
+
+
+def _near_shared(places: np.ndarray, shared: np.ndarray, lengths: np.ndarray, width: int, period: int) -> np.ndarray:
+    """The suffixes of ``width`` or more with a shared sample within a period."""
+    fits, _ = _starts(lengths, width)
+    change = np.zeros(len(fits) + 1, np.int32)  # a shared sample marks the suffixes up to a period before it
+    hit = places[shared]
+    np.add.at(change, np.maximum(hit - period + 1, 0), 1)
+    np.add.at(change, hit + 1, -1)
+    return (np.cumsum(change[:-1]) > 0) & fits
+
+
+def _mark(width: int, buckets: int, words: int, word_buckets: int) -> Callable:
+    """Pieces with the suffixes left to be sorted, of bytes and of words."""
+    select, select_words = _sampled(width), _sampled_words(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item in _rows(batch):
-                lengths = np.array(item["lengths"].as_py(), np.int64)
-                places, shared = _shared(select, item, item["answers"].as_py(), buckets)
-                n = int(lengths.sum())
-                change = np.zeros(n + 1, np.int32)  # a shared sample marks the suffixes up to a period before it
-                hit = places[shared]
-                np.add.at(change, np.maximum(hit - PERIOD + 1, 0), 1)
-                np.add.at(change, hit + 1, -1)
-                fits, _ = _starts(lengths, width)
-                marked = (np.cumsum(change[:n]) > 0) & fits
-                yield pa.RecordBatch.from_arrays([pa.array([item[k].as_py()], t) for k, t in zip(("piece", "digests", "copies", "lengths", "data"), (pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)] + [pa.array([np.packbits(marked).tobytes()], pa.binary()), pa.array([int(marked.sum())], pa.int64())], ["piece", "digests", "copies", "lengths", "data", "marked", "n"])
+                data, lengths = _laid(item)
+                marked = _near_shared(*_shared(select, item, item["answers"].as_py(), buckets), lengths, width, PERIOD)
+                _, counts = _words(data, lengths)
+                marked_words = _near_shared(*_shared(select_words, item, item["word_answers"].as_py(), word_buckets), counts, words, PASSAGE_PERIOD)
+                kept = [pa.array([item[k].as_py()], t) for k, t in zip(("piece", "digests", "copies", "lengths", "data"), (pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)]
+                found = [x for bits in (marked, marked_words) for x in (pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([int(bits.sum())], pa.int64()))]
+                yield pa.RecordBatch.from_arrays(kept + found, ["piece", "digests", "copies", "lengths", "data", "marked", "n", "marked_words", "n_words"])
 
     return run
 
 
-def _cut(width: int, buckets: int) -> Callable:
-    """Per text of a piece: what goes and the digest of what stays."""
-    select = _candidates(width)
+def _cut(width: int, buckets: int, words: int, word_buckets: int) -> Callable:
+    """Per text of a piece: what goes, the digest of what stays, and whether another text has a passage of it."""
+    select, select_words = _candidates(width), _candidate_words(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item in _rows(batch):
-                data, lengths = np.frombuffer(item["data"].as_buffer(), np.uint8), np.array(item["lengths"].as_py(), np.int64)
+                data, lengths = _laid(item)
                 copies = np.array(item["copies"].as_py(), np.int64)
                 ends = np.cumsum(lengths)
                 places, shared = _shared(select, item, item["answers"].as_py(), buckets)
@@ -285,44 +368,61 @@ def _cut(width: int, buckets: int) -> Callable:
                 change[places[shared] + width] -= 1
                 gone = np.cumsum(change[:-1]) > 0
                 starts = ends - lengths
-                for start, end in zip(starts[copies > 1], ends[copies > 1], strict=True):
+                whole = (copies > 1) & (lengths >= width)
+                for start, end in zip(starts[whole], ends[whole], strict=True):
                     gone[start:end] = True
+                _, counts = _words(data, lengths)
+                word_places, elsewhere = _shared(select_words, item, item["word_answers"].as_py(), word_buckets)
+                passage = (copies > 1) & (counts >= words)
+                passage[_texts_of(word_places[elsewhere], counts)] = True
                 out: tuple[list, list, list, list] = ([], [], [], [])
                 for start, end in zip(starts, ends, strict=True):
                     own = gone[start:end]
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
                     for to, value in zip(out, (int(own.sum()), len(edges) // 2, hashlib.sha256(data[start:end][~own].tobytes()).hexdigest(), [[int(a), int(b)] for a, b in edges.reshape(-1, 2)]), strict=True):
                         to.append(value)
-                yield pa.RecordBatch.from_arrays([item["digests"].values, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3], pa.list_(pa.list_(pa.int64())))], ["digest", "n_removed", "n_spans", "kept_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([item["digests"].values, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3], pa.list_(pa.list_(pa.int64()))), pa.array(passage)], ["digest", "n_removed", "n_spans", "kept_sha256", "spans", "repeats_passage"])
 
     return run
 
 
-def repeated_strings(docs: DataFrame, width: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row; spans are byte ranges [start, end)."""
-    if width < 2 * PERIOD:
-        raise ValueError(f"the width is {2 * PERIOD} bytes or more")
+def repeated_strings(docs: DataFrame, width: int = 400, words: int = PASSAGE_WORDS) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, repeats_passage`` of every row.
+
+    Spans are byte ranges [start, end) of strings of ``width`` bytes; ``repeats_passage`` tells whether ``words`` consecutive
+    words of the text also stand in another text.
+    """
+    if width < 2 * PERIOD or words < 2 * PASSAGE_PERIOD:
+        raise ValueError(f"the width is {2 * PERIOD} bytes or more, a passage has {2 * PASSAGE_PERIOD} words or more")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
     keyed = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     with arrow_bytes(spark):
         rows = written(keyed.select("doc_id", "digest", "n_bytes"), "digests")
-        distinct = keyed.where(F.col("n_bytes") >= width).groupBy("digest").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+        long_enough = keyed.where(F.col("n_bytes") >= min(width, 2 * words - 1))
+        distinct = long_enough.groupBy("digest").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
         pieces = written(distinct.select("digest", "copies", "text").mapInArrow(_to_pieces, _PIECES), "pieces")
         let_go(spark)
         n_bytes = pieces.select(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
         samples, n = _ranked(pieces, _sampled(width), n_bytes * len(difference_cover(PERIOD)) // PERIOD, 1, "sample-ranks")
-        marked = pieces.join(samples, "piece", "left").select(*pieces.columns, "answers").mapInArrow(_mark(width, n), f"{_PIECES}, marked binary, n long")
+        word_samples, n_word = _ranked(pieces, _sampled_words(words), n_bytes * len(difference_cover(PASSAGE_PERIOD)) // (5 * PASSAGE_PERIOD), 1, "word-sample-ranks")
+        joined = pieces.join(samples, "piece", "left").join(word_samples.withColumnRenamed("answers", "word_answers"), "piece", "left")
         path = new_folder(spark, "marked")
-        marked.write.option("compression", "zstd").parquet(path)
-        marked = spark.read.schema(f"{_PIECES}, marked binary, n long").parquet(path)
+        joined.mapInArrow(_mark(width, n, words, n_word), _MARKED).write.option("compression", "zstd").parquet(path)
+        marked = spark.read.schema(_MARKED).parquet(path)
+        let_go(spark)
+        total, total_words = (x or 0 for x in marked.agg(F.sum("n"), F.sum("n_words")).first())
+        answers, n = _ranked(marked, _candidates(width), total, max(1, -(-12 * total // max(1, n_bytes))), "suffix-ties")
         let_go(spark)
-        total = marked.agg(F.sum("n")).first()[0] or 0
-        answers, buckets = _ranked(marked, _candidates(width), total, max(1, -(-12 * total // max(1, n_bytes))), "suffix-ties")
+        word_answers, n_word = _ranked(marked, _candidate_words(words), total_words, max(1, -(-12 * total_words // max(1, n_bytes))), "passage-ties")
         let_go(spark)
-        cut = written(marked.join(answers, "piece", "left").select(*marked.columns, "answers").mapInArrow(_cut(width, buckets), "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"), "cut")
+        joined = marked.join(answers, "piece", "left").join(word_answers.withColumnRenamed("answers", "word_answers"), "piece", "left")
+        cut = written(joined.mapInArrow(_cut(width, n, words, n_word), "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, repeats_passage boolean"), "cut")
         drop_folder(spark, path)
         let_go(spark)
     per_text = rows.join(cut, "digest", "left")
     # A text without a repeated string keeps the digest of all of it.
-    return per_text.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"))
+    return per_text.select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"),
+        F.coalesce("repeats_passage", F.lit(False)).alias("repeats_passage"))

@@ -165,9 +165,39 @@ def test_repeats_inside_one_text_and_across_alignments(session):
     assert got == {0: (810, 2), 1: (400, 1), 2: (400, 1), 3: (0, 0), 4: (2000, 1)}
 
 
-def test_difference_cover():
-    cover = suffix_dedup.difference_cover(suffix_dedup.PERIOD)
-    assert {(a - b) % suffix_dedup.PERIOD for a in cover.tolist() for b in cover.tolist()} == set(range(suffix_dedup.PERIOD))
+@pytest.mark.parametrize("period", [suffix_dedup.PERIOD, suffix_dedup.PASSAGE_PERIOD])
+def test_difference_cover(period):
+    cover = suffix_dedup.difference_cover(period)
+    assert {(a - b) % period for a in cover.tolist() for b in cover.tolist()} == set(range(period))
+
+
+def test_passages_in_other_texts(docs):
+    rows = texts(docs)
+    owners = {}
+    for row, (_, x) in enumerate(rows):
+        words = re.findall(r"[^\x20\x09-\x0d]+", x)
+        for k in range(len(words) - 49):
+            owners.setdefault(" ".join(words[k:k + 50]), set()).add(row)
+    shared = {row for found in owners.values() if len(found) > 1 for row in found}
+    got = sorted(((r["doc_id"], r["repeats_passage"]) for r in suffix_dedup.repeated_strings(docs).collect()), key=by_first)
+    assert got == sorted(((i, row in shared) for row, (i, _) in enumerate(rows)), key=by_first)
+
+
+def test_passages_at_all_offsets_and_lengths(session):
+    words = [f"w{i}" for i in range(5_000)]
+    made, want = [], {}
+    for n in (49, 50, 51, 60, 62, 63):
+        for shift in range(13):
+            a, b = len(made), len(made) + 1
+            passage = [f"{w}x{a}" for w in words[:n]]
+            made += [(a, " ".join(passage)), (b, " \t".join([f"{w}y{b}" for w in words[:shift]] + passage + [f"{w}z{b}" for w in words[:70]]))]
+            want[a] = want[b] = n >= 50
+    made.append((-1, " ".join(words[:60] * 2)))  # only within one text
+    want[-1] = False
+    made += [(-2, "a " * 50), (-3, "a " * 50), (-4, "b " * 49), (-5, "b " * 49)]
+    want |= {-2: True, -3: True, -4: False, -5: False}
+    got = {r["doc_id"]: r["repeats_passage"] for r in suffix_dedup.repeated_strings(session.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_mix_keeps_rows_and_stays_within_a_block(docs):
