@@ -4,9 +4,8 @@ Each question is answered the direct way in SQL, by another method than its plan
 the quadratic pair listings (q27, q40, q60) that the DataFrame plans
 factorise, so the SQL checks the factorisation against brute force.
 
-:func:`oracle_queries` gives DuckDB statements over the raw warehouse tables (the driver's
-correctness oracle): straight from the tables (``_raw``), or over common table expressions
-that name the roles first.
+:func:`oracle_queries` gives DuckDB statements straight over the raw warehouse tables (the
+driver's correctness oracle); none goes through a mapping of the roles.
 
 Column names and types match the DataFrame results (counts and day
 differences BIGINT, money summed as DECIMAL(18,2) and returned as DOUBLE).
@@ -20,55 +19,6 @@ from collections.abc import Callable
 from shopfloor.plans.catalog import ALL, WAREHOUSE_PARAMS
 from shopfloor.plans.common import SERVICE_ORDER
 
-ROLES_SQL = """
-r_customer AS (
-  SELECT c_custkey AS cid, c_name AS cname, n_name AS cadd, c_mktsegment AS gender
-  FROM customer JOIN nation ON c_nationkey = n_nationkey),
-r_employee AS (
-  SELECT s_suppkey AS eid, s_name AS ename, r_name AS ejob, n_name AS eadd,
-         CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS esal,
-         CAST(DATE '1990-01-01' + CAST(floor(abs(s_acctbal)) AS INTEGER) AS DATE) AS edoj,
-         CASE WHEN s_acctbal < 2000 THEN DATE '2001-12-31' END AS edol
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-r_vendor AS (
-  SELECT s_suppkey AS vid, s_name AS vname, n_name AS vadd
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-r_part AS (
-  SELECT p_partkey AS spid, p_name AS spname, p_retailprice AS sprate, p_brand AS spunit FROM part),
-r_service AS (
-  SELECT l_orderkey AS sid, o_custkey AS cid, l_suppkey AS eid, l_partkey AS spid,
-         l_returnflag AS type_veh, 'V' || CAST(o_orderkey AS VARCHAR) AS veh_no,
-         o_orderpriority AS typ_ser, CAST(o_orderdate AS DATE) AS ser_date, l_quantity AS qty,
-         l_extendedprice / l_quantity AS sp_rate, l_extendedprice AS sp_amt,
-         CASE WHEN l_tax = 0 THEN CAST(0 AS DOUBLE) ELSE l_tax END AS sp_g,
-         l_extendedprice AS ser_amt,
-         CASE WHEN l_discount = 0 THEN CAST(0 AS DOUBLE) ELSE l_discount END AS comm,
-         l_extendedprice AS total
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'),
-r_purchase AS (
-  SELECT l_orderkey AS pid, l_suppkey AS vid, l_partkey AS spid, l_quantity AS pqty,
-         l_extendedprice / l_quantity AS sprate,
-         CASE WHEN l_tax = 0 THEN CAST(0 AS DOUBLE) ELSE l_tax END AS spgst,
-         CAST(l_shipdate AS DATE) AS pdate, l_extendedprice AS total
-  FROM lineitem
-  WHERE l_linestatus = 'O')
-"""
-
-SVC_COLS = ", ".join(SERVICE_ORDER)
-SVC_ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in SERVICE_ORDER)
-PART_COLS = "spid, spname, sprate, spunit"
-
-
-def money(expr: str) -> str:
-    return f"CAST(SUM(CAST({expr} AS DECIMAL(18,2))) AS DOUBLE)"
-
-
-_resolve: Callable[[str, str], object]
-
-
-def _p(name: str, key: str):
-    return _resolve(name, key)
-
 
 def _default(name: str, key: str):
     return inspect.signature(ALL[name]).parameters[key].default
@@ -78,150 +28,7 @@ def _lit_list(values) -> str:
     return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
 
 
-def _svc(prefix: str) -> str:
-    return ", ".join(f"{prefix}.{c}" for c in SERVICE_ORDER)
-
-
-def _queries(resolve: Callable[[str, str], object]) -> dict[str, str]:
-    global _resolve
-    _resolve = resolve
-    q: dict[str, str] = {}
-    q["q07_last_n_records"] = "SELECT * FROM r_employee ORDER BY eid DESC LIMIT 4"
-    q["q08_row_count_no_count"] = "SELECT CAST(SUM(1) AS BIGINT) AS record_count FROM r_employee"
-    q["q09_first_service_per_customer"] = (
-        f"SELECT {SVC_COLS} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cid ORDER BY {SVC_ORDER}) AS rn "
-        f"FROM r_service) WHERE rn = 1")
-    q["q11_left_employees"] = "SELECT ename FROM r_employee WHERE edol IS NOT NULL"
-    q["q12_two_wheeler_customers"] = (
-        "SELECT COUNT(DISTINCT cid) AS two_wheeler_customers FROM r_service "
-        f"WHERE lower(type_veh) = lower('{_p('q12_two_wheeler_customers', 'vehicle_type')}')")
-    q["q20_profit_loss"] = (
-        "SELECT CAST((SELECT SUM(CAST(total AS DECIMAL(18,2))) FROM r_service) - "
-        "((SELECT SUM(CAST(esal AS DECIMAL(18,2))) FROM r_employee) + "
-        "(SELECT SUM(CAST(total AS DECIMAL(18,2))) FROM r_purchase)) AS DOUBLE) AS profit_or_loss")
-    q["q27_service_supply_report"] = (
-        "WITH listing AS (SELECT DISTINCT c.cname, s.veh_no, s.spid, sp.spname, p.pdate, v.vid, v.vname, v.vadd "
-        "FROM r_service s JOIN r_customer c ON s.cid = c.cid JOIN r_part sp ON s.spid = sp.spid "
-        "JOIN r_purchase p ON s.spid = p.spid JOIN r_vendor v ON p.vid = v.vid) "
-        "SELECT cname, veh_no, spid, spname, CAST(COUNT(*) AS BIGINT) AS n_supply_records, "
-        "MIN(pdate) AS first_pdate, MAX(pdate) AS last_pdate, CAST(COUNT(DISTINCT vid) AS BIGINT) AS n_vendors "
-        "FROM listing GROUP BY cname, veh_no, spid, spname")
-    q["q35_salary_grade_rank"] = (
-        "SELECT ename, esal, CASE WHEN dr <= 2 THEN 'A' WHEN dr <= 4 THEN 'B' ELSE 'C' END AS salary_grade "
-        "FROM (SELECT ename, esal, DENSE_RANK() OVER (ORDER BY esal DESC NULLS LAST) AS dr FROM r_employee)")
-    q["q36_nth_record"] = "SELECT * FROM r_employee ORDER BY eid LIMIT 1 OFFSET 3"
-    q["q38_services_per_day"] = (
-        "SELECT ser_date, COUNT(*) AS number_of_services FROM r_service GROUP BY ser_date "
-        "ORDER BY number_of_services DESC, ser_date")
-    q["q40_customer_pairs_same_employee"] = (
-        "WITH pairs AS (SELECT DISTINCT s1.eid, s1.cid AS cid1, s2.cid AS cid2 FROM r_service s1 "
-        "JOIN r_service s2 ON s1.eid = s2.eid AND s1.cid < s2.cid), "
-        "members AS (SELECT DISTINCT eid, cid FROM r_service WHERE eid IS NOT NULL AND cid IS NOT NULL), "
-        "ends AS (SELECT eid, cid1 AS cid FROM pairs UNION ALL SELECT eid, cid2 FROM pairs) "
-        "SELECT m.eid, m.cid, c.cname, CAST(COUNT(e.cid) AS BIGINT) AS n_partners FROM members m "
-        "LEFT JOIN ends e ON m.eid = e.eid AND m.cid = e.cid JOIN r_customer c ON m.cid = c.cid "
-        "GROUP BY m.eid, m.cid, c.cname")
-    q["q43_max_service_per_customer"] = (
-        "SELECT c.*, s.max_service_amount FROM r_customer c JOIN "
-        "(SELECT cid, MAX(total) AS max_service_amount FROM r_service GROUP BY cid) s ON c.cid = s.cid")
-    q["q44_service_count_per_customer"] = (
-        "SELECT c.*, COALESCE(s.n, 0) AS total_services FROM r_customer c LEFT JOIN "
-        "(SELECT cid, COUNT(*) AS n FROM r_service GROUP BY cid) s ON c.cid = s.cid")
-    q["q57_odd_day_services"] = f"SELECT {SVC_COLS} FROM r_service WHERE day(ser_date) % 2 <> 0"
-    q["q58_even_day_services"] = f"SELECT {SVC_COLS} FROM r_service WHERE day(ser_date) % 2 = 0"
-    q["q60_part_age_at_use"] = (
-        f"WITH s AS (SELECT ROW_NUMBER() OVER () AS rid, * FROM r_service) "
-        f"SELECT {_svc('s')}, sp.spname, CAST(COUNT(*) AS BIGINT) AS n_purchases, "
-        "CAST(MIN(date_diff('day', p.pdate, s.ser_date)) AS BIGINT) AS min_days, "
-        "CAST(MAX(date_diff('day', p.pdate, s.ser_date)) AS BIGINT) AS max_days, "
-        "CAST(SUM(date_diff('day', p.pdate, s.ser_date)) AS BIGINT) AS total_days "
-        "FROM s JOIN r_purchase p ON s.spid = p.spid JOIN r_part sp ON s.spid = sp.spid "
-        f"GROUP BY s.rid, {_svc('s')}, sp.spname")
-    start, end = _p("q61_services_in_date_range", "start"), _p("q61_services_in_date_range", "end")
-    q["q61_services_in_date_range"] = (
-        f"SELECT {SVC_COLS} FROM r_service WHERE ser_date BETWEEN DATE '{start}' AND DATE '{end}'")
-
-    # --- variants ---
-    served = "r_service s JOIN r_employee e ON s.eid = e.eid"
-    q["v03_zero_comm_rows"] = f"SELECT e.ename, s.comm FROM {served} WHERE s.comm = 0"
-    q["v03_dedup_by_key"] = (
-        f"SELECT ename, comm FROM (SELECT e.ename, s.comm, ROW_NUMBER() OVER (PARTITION BY e.ename "
-        f"ORDER BY s.comm NULLS FIRST) AS rn FROM {served} WHERE s.comm = 0) WHERE rn = 1")
-    q["v03_dedup_by_key_comm"] = (
-        f"SELECT ename, comm FROM (SELECT e.ename, s.comm, ROW_NUMBER() OVER (PARTITION BY s.comm "
-        f"ORDER BY e.ename NULLS FIRST) AS rn FROM {served} WHERE s.comm = 0) WHERE rn = 1")
-    q["v04_max_comm_per_employee"] = (
-        f"SELECT e.ename, MAX(s.comm) AS max_comm FROM {served} GROUP BY e.ename "
-        "ORDER BY max_comm DESC NULLS LAST, e.ename LIMIT 1")
-    q["v04_top_total_commission"] = (
-        f"SELECT eid, {money('comm')} AS sum_comm FROM r_service GROUP BY eid "
-        "ORDER BY sum_comm DESC NULLS LAST, eid LIMIT 1")
-    top_order = ", ".join(f"s.{c} ASC NULLS FIRST" for c in SERVICE_ORDER)
-    q["v04_top1_row"] = f"SELECT e.ename, s.comm FROM {served} ORDER BY s.comm DESC NULLS LAST, {top_order} LIMIT 1"
-    q["v05_min_comm_per_employee"] = f"SELECT e.ename, MIN(s.comm) AS min_comm FROM {served} GROUP BY e.ename"
-    q["v05_bottom1_positive"] = (
-        f"SELECT e.ename, s.comm FROM {served} WHERE s.comm > 0 ORDER BY s.comm ASC, {top_order} LIMIT 1")
-    q["v06_key_midpoint"] = f"SELECT {PART_COLS} FROM r_part WHERE spid = (SELECT floor(AVG(spid)) FROM r_part)"
-    q["v07_last_n_ascending"] = (
-        f"SELECT * FROM (SELECT {PART_COLS} FROM r_part ORDER BY spid DESC LIMIT 4) ORDER BY spid")
-    q["v10_top_total_spender"] = (
-        f"SELECT c.cname, {money('s.total')} AS sum_total FROM r_service s JOIN r_customer c ON s.cid = c.cid "
-        "GROUP BY c.cname ORDER BY sum_total DESC NULLS LAST, c.cname LIMIT 1")
-    q["v10_top_part_amount"] = (
-        "SELECT c.cname, s.sp_amt FROM r_service s JOIN r_customer c ON s.cid = c.cid "
-        f"ORDER BY s.sp_amt DESC NULLS LAST, {top_order} LIMIT 1")
-    q["v12_service_rows_by_vehicle_type"] = (
-        "SELECT type_veh, COUNT(*) AS service_rows FROM r_service "
-        f"WHERE type_veh = '{_p('v12_service_rows_by_vehicle_type', 'vehicle_type')}' GROUP BY type_veh")
-    q["v13_part_usage_counts"] = (
-        "SELECT sp.spname, COUNT(*) AS usage_count FROM r_service s JOIN r_part sp ON s.spid = sp.spid "
-        "GROUP BY sp.spname")
-    q["v15_income_per_service"] = (
-        "SELECT s.sid, e.ename, CAST(CAST(e.esal AS DECIMAL(18,2)) * 12 + CAST(s.comm AS DECIMAL(18,2)) * 12 "
-        f"AS DOUBLE) AS annual_income FROM {served}")
-    q["v17_colour_purchase_rows"] = (
-        "SELECT sp.spname, p.total FROM r_purchase p JOIN r_part sp ON p.spid = sp.spid "
-        f"WHERE p.spid IN ({_lit_list(_p('v17_colour_purchase_rows', 'part_ids'))})")
-    q["v20_margin_per_employee"] = (
-        "SELECT e.ename, CAST(SUM(CAST(e.esal AS DECIMAL(18,2)) - CAST(s.total AS DECIMAL(18,2))) AS DOUBLE) "
-        f"AS margin FROM {served} GROUP BY e.ename")
-    q["v24_top_service_gst"] = (
-        "SELECT c.cname, s.sp_g FROM r_service s JOIN r_customer c ON s.cid = c.cid "
-        f"ORDER BY s.sp_g DESC NULLS LAST, {top_order} LIMIT 1")
-    q["v33_dense_rank_services"] = (
-        "SELECT e.ename, COUNT(*) AS service_count, "
-        "CAST(DENSE_RANK() OVER (ORDER BY COUNT(*) DESC) AS BIGINT) AS service_dense_rank "
-        f"FROM {served} GROUP BY e.eid, e.ename")
-    bands = _p("v35_salary_grade_bands", "bands")
-    cases = " ".join(f"WHEN esal > {limit} THEN '{label}'" for limit, label in bands)
-    q["v35_salary_grade_bands"] = (
-        f"SELECT ename, esal, CASE {cases} ELSE '{_p('v35_salary_grade_bands', 'otherwise')}' END AS grade "
-        "FROM r_employee "
-        "ORDER BY esal DESC NULLS LAST, ename")
-    q["v39_same_city_as_employee"] = (
-        "SELECT s.sid, c.cname, c.cadd, s.veh_no, s.typ_ser, s.type_veh FROM r_service s "
-        "JOIN r_employee e ON s.eid = e.eid JOIN r_customer c ON s.cid = c.cid WHERE e.eadd = c.cadd")
-    q["v40_customers_per_employee"] = "SELECT eid, COUNT(cid) AS customer_count FROM r_service GROUP BY eid"
-    q["v42_rating_served_only"] = (
-        "SELECT e.ename, COUNT(*) AS service_count, CASE WHEN COUNT(*) > 3 THEN 'A' WHEN COUNT(*) >= 2 THEN 'B' "
-        f"ELSE 'C' END AS rating FROM {served} GROUP BY e.eid, e.ename")
-    q["v43_total_per_customer"] = (
-        f"SELECT c.cid, c.cname, c.cadd, {money('s.total')} AS total_spent FROM r_service s "
-        "JOIN r_customer c ON s.cid = c.cid GROUP BY c.cid, c.cname, c.cadd")
-    q["v45_location_of_max_total"] = (
-        "SELECT v.vname, v.vadd, sp.sprate FROM (SELECT * FROM r_purchase "
-        "ORDER BY total DESC NULLS LAST, pid, vid, spid, pdate LIMIT 1) p "
-        "JOIN r_vendor v ON p.vid = v.vid JOIN r_part sp ON p.spid = sp.spid")
-    q["v49_spend_position"] = (
-        f"WITH spend AS (SELECT cid, {money('total')} AS total_spent FROM r_service GROUP BY cid) "
-        "SELECT cid, total_spent, CASE pos WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'D' "
-        "WHEN 5 THEN 'E' ELSE 'F' END AS spend_grade FROM (SELECT cid, total_spent, ROW_NUMBER() OVER "
-        "(ORDER BY total_spent ASC NULLS LAST, cid) AS pos FROM spend)")
-    q["v56_first_hired"] = "SELECT ename, edoj FROM r_employee WHERE edoj = (SELECT MIN(edoj) FROM r_employee)"
-    return q
-
-
-def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
+def _statements(resolve: Callable[[str, str], object]) -> dict[str, str]:
     """Statements straight over the warehouse tables, each from the question's definition."""
     done, bought = "l_linestatus = 'F'", "l_linestatus = 'O'"
 
@@ -266,7 +73,73 @@ def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
     spend = f"WITH spend AS (SELECT o_custkey AS k, sum({cents}) AS t FROM orders, lineitem WHERE o_orderkey = l_orderkey AND {done} GROUP BY 1)"
     crowded = resolve("q39_services_shared_city", "more_than")
     per_supplier = f"SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE {done} GROUP BY l_suppkey"
+    staff = """s_suppkey AS eid, s_name AS ename, r_name AS ejob, n_name AS eadd, if(s_acctbal >= 0, s_acctbal, NULL) AS esal,
+               CAST(DATE '1990-01-01' + CAST(floor(abs(s_acctbal)) AS INTEGER) AS DATE) AS edoj, if(s_acctbal < 2000, DATE '2001-12-31', NULL) AS edol"""
+    hired = "supplier, nation, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey"
+    pay = "SELECT s_name AS ename, if(s_acctbal >= 0, s_acctbal, NULL) AS esal FROM supplier SEMI JOIN nation ON s_nationkey = n_nationkey"
+    buyer = "c_custkey AS cid, c_name AS cname, n_name AS cadd"
+    piece = "p_partkey AS spid, p_name AS spname, p_retailprice AS sprate, p_brand AS spunit"
+    uses = f"SELECT {row} FROM lineitem, orders WHERE l_orderkey = o_orderkey AND {done}"
+    worked = f"lineitem, supplier WHERE l_suppkey = s_suppkey AND {done}"
+    whole_row = ", ".join(SERVICE_ORDER)
+
+    def top_use(column: str, order: str, name: str, table: str, key: str, where: str = "true") -> str:  # the first row in that order
+        return f"SELECT {name}, {column} FROM (SELECT * FROM ({uses}) WHERE {where} QUALIFY row_number() OVER (ORDER BY {column} {order}, {whole_row}) = 1), {table} WHERE {key}"
+
+    bands = " ".join(f"WHEN esal > {limit} THEN '{label}'" for limit, label in resolve("v35_salary_grade_bands", "bands"))
+    part_ids = _lit_list(resolve("v17_colour_purchase_rows", "part_ids"))
     return {
+        "q07_last_n_records": f"SELECT {staff} FROM {hired} QUALIFY row_number() OVER (ORDER BY s_suppkey DESC) <= 4",
+        "q08_row_count_no_count": f"SELECT count(s_suppkey) AS record_count FROM {hired}",
+        "q09_first_service_per_customer": f"SELECT unnest(least_row) FROM (SELECT min(t) AS least_row FROM ({uses}) AS t GROUP BY t.cid)",
+        "q11_left_employees": "SELECT s_name AS ename FROM supplier SEMI JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 2000",
+        "q12_two_wheeler_customers": f"SELECT count(*) AS two_wheeler_customers FROM customer SEMI JOIN (SELECT o_custkey FROM orders, lineitem WHERE o_orderkey = l_orderkey AND {done} AND l_returnflag ILIKE '{resolve('q12_two_wheeler_customers', 'vehicle_type')}') ON c_custkey = o_custkey",
+        # All money as one signed ledger.
+        "q20_profit_loss": f"SELECT CAST(sum(a) AS DOUBLE) AS profit_or_loss FROM (SELECT if({done}, 1, -1) * {cents} AS a FROM lineitem WHERE l_linestatus IN ('F', 'O') UNION ALL SELECT -CAST(s_acctbal AS DECIMAL(18, 2)) FROM supplier WHERE s_acctbal >= 0)",
+        "q27_service_supply_report": f"""SELECT c_name AS cname, concat('V', o_orderkey) AS veh_no, p_partkey AS spid, p_name AS spname, count(DISTINCT (CAST(b.l_shipdate AS DATE), b.l_suppkey)) AS n_supply_records,
+               min(CAST(b.l_shipdate AS DATE)) AS first_pdate, max(CAST(b.l_shipdate AS DATE)) AS last_pdate, count(DISTINCT b.l_suppkey) AS n_vendors
+            FROM lineitem AS u, lineitem AS b, orders, customer, part
+            WHERE u.l_partkey = b.l_partkey AND u.{done} AND b.{bought} AND u.l_orderkey = o_orderkey AND o_custkey = c_custkey AND u.l_partkey = p_partkey GROUP BY 1, 2, 3, 4""",
+        "q35_salary_grade_rank": f"WITH pay AS ({pay}), best AS (SELECT list_reverse_sort(list(DISTINCT esal) FILTER (esal IS NOT NULL)) AS v FROM pay) SELECT ename, esal, CASE WHEN esal >= v[2] THEN 'A' WHEN esal >= v[4] THEN 'B' ELSE 'C' END AS salary_grade FROM pay, best",
+        "q36_nth_record": f"SELECT {staff} FROM {hired} QUALIFY row_number() OVER (ORDER BY s_suppkey) = 4",
+        "q38_services_per_day": f"SELECT CAST(o_orderdate AS DATE) AS ser_date, CAST(sum(n) AS BIGINT) AS number_of_services FROM (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE {done} GROUP BY 1), orders WHERE k = o_orderkey GROUP BY 1",
+        "q40_customer_pairs_same_employee": f"WITH u AS (SELECT DISTINCT l_suppkey AS eid, o_custkey AS cid FROM lineitem, orders WHERE l_orderkey = o_orderkey AND {done}) SELECT a.eid, a.cid, c_name AS cname, count(b.cid) AS n_partners FROM u AS a LEFT JOIN u AS b ON a.eid = b.eid AND a.cid <> b.cid, customer WHERE a.cid = c_custkey GROUP BY 1, 2, 3",
+        "q43_max_service_per_customer": f"SELECT {buyer}, c_mktsegment AS gender, max(l_extendedprice) AS max_service_amount FROM customer, nation, orders, lineitem WHERE c_nationkey = n_nationkey AND c_custkey = o_custkey AND o_orderkey = l_orderkey AND {done} GROUP BY ALL",
+        "q44_service_count_per_customer": f"SELECT {buyer}, c_mktsegment AS gender, count(o_custkey) AS total_services FROM (SELECT o_custkey FROM orders, lineitem WHERE o_orderkey = l_orderkey AND {done}) RIGHT JOIN customer ON o_custkey = c_custkey, nation WHERE c_nationkey = n_nationkey GROUP BY ALL",
+        "q57_odd_day_services": f"{uses} AND right(strftime(CAST(o_orderdate AS DATE), '%d'), 1) IN ('1', '3', '5', '7', '9')",
+        "q58_even_day_services": f"{uses} AND right(strftime(CAST(o_orderdate AS DATE), '%d'), 1) IN ('0', '2', '4', '6', '8')",
+        "q60_part_age_at_use": f"""WITH u AS (SELECT row_number() OVER () AS r, * FROM ({uses})),
+            ages AS (SELECT r, ser_date - CAST(l_shipdate AS DATE) AS days FROM u, lineitem WHERE spid = l_partkey AND {bought}),
+            sums AS (SELECT r, count(*) AS n_purchases, min(days) AS min_days, max(days) AS max_days, CAST(sum(days) AS BIGINT) AS total_days FROM ages GROUP BY r)
+            SELECT {whole_row}, p_name AS spname, n_purchases, min_days, max_days, total_days FROM u JOIN sums USING (r), part WHERE spid = p_partkey""",
+        "q61_services_in_date_range": f"{uses} AND {week('q61_services_in_date_range', 'o_orderdate')}",
+        "v03_zero_comm_rows": f"SELECT s_name AS ename, abs(l_discount) AS comm FROM {worked} AND NOT l_discount <> 0",
+        "v03_dedup_by_key": f"SELECT s_name AS ename, min(abs(l_discount)) AS comm FROM {worked} AND l_discount = 0 GROUP BY s_name",
+        "v03_dedup_by_key_comm": f"SELECT min(s_name) AS ename, abs(l_discount) AS comm FROM {worked} AND l_discount = 0 GROUP BY 2",
+        "v04_max_comm_per_employee": f"SELECT s_name AS ename, abs(l_discount) AS max_comm FROM {worked} ORDER BY 2 DESC NULLS LAST, 1 LIMIT 1",
+        "v04_top_total_commission": f"WITH t AS (SELECT l_suppkey AS eid, sum(CAST(l_discount AS DECIMAL(18, 2))) AS c FROM lineitem WHERE {done} GROUP BY 1) SELECT min(eid) AS eid, CAST(max(c) AS DOUBLE) AS sum_comm FROM t WHERE c = (SELECT max(c) FROM t)",
+        "v04_top1_row": top_use("comm", "DESC", "s_name AS ename", "supplier", "eid = s_suppkey"),
+        "v05_min_comm_per_employee": f"SELECT s_name AS ename, list_min(list(abs(l_discount))) AS min_comm FROM {worked} GROUP BY 1",
+        "v05_bottom1_positive": top_use("comm", "ASC", "s_name AS ename", "supplier", "eid = s_suppkey", "comm > 0"),
+        "v06_key_midpoint": f"SELECT {piece} FROM part WHERE p_partkey = (SELECT sum(p_partkey) // count(*) FROM part)",
+        "v07_last_n_ascending": f"SELECT {piece} FROM part QUALIFY row_number() OVER (ORDER BY p_partkey DESC) <= 4",
+        "v10_top_total_spender": f"{spend}, named AS (SELECT c_name AS cname, sum(t) AS t FROM spend, customer WHERE k = c_custkey GROUP BY 1) SELECT min(cname) AS cname, CAST(max(t) AS DOUBLE) AS sum_total FROM named WHERE t = (SELECT max(t) FROM named)",
+        "v10_top_part_amount": top_use("sp_amt", "DESC", "c_name AS cname", "customer", "cid = c_custkey"),
+        "v12_service_rows_by_vehicle_type": f"SELECT l_returnflag AS type_veh, count(*) AS service_rows FROM lineitem WHERE ({done}, l_returnflag) = (true, '{resolve('v12_service_rows_by_vehicle_type', 'vehicle_type')}') GROUP BY ALL",
+        "v13_part_usage_counts": f"SELECT p_name AS spname, CAST(sum(n) AS BIGINT) AS usage_count FROM part, (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE {done} GROUP BY 1) WHERE k = p_partkey GROUP BY 1",
+        "v15_income_per_service": f"SELECT l_orderkey AS sid, s_name AS ename, if(s_acctbal >= 0, CAST(12 * (CAST(s_acctbal AS DECIMAL(18, 2)) + CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE), NULL) AS annual_income FROM {worked}",
+        "v17_colour_purchase_rows": f"SELECT p_name AS spname, l_extendedprice AS total FROM (FROM part WHERE p_partkey IN ({part_ids})), lineitem WHERE p_partkey = l_partkey AND {bought}",
+        "v20_margin_per_employee": f"SELECT s_name AS ename, CAST(sum(if(s_acctbal >= 0, n * CAST(s_acctbal AS DECIMAL(18, 2)) - t, NULL)) AS DOUBLE) AS margin FROM supplier, (SELECT l_suppkey AS k, count(*) AS n, sum({cents}) AS t FROM lineitem WHERE {done} GROUP BY 1) WHERE k = s_suppkey GROUP BY 1",
+        "v24_top_service_gst": top_use("sp_g", "DESC", "c_name AS cname", "customer", "cid = c_custkey"),
+        "v33_dense_rank_services": f"WITH per AS ({per_supplier}) SELECT s_name AS ename, n AS service_count, 1 + (SELECT count(DISTINCT o.n) FROM per AS o WHERE o.n > per.n) AS service_dense_rank FROM per, supplier WHERE k = s_suppkey",
+        "v35_salary_grade_bands": f"SELECT ename, esal, CASE {bands} ELSE '{resolve('v35_salary_grade_bands', 'otherwise')}' END AS grade FROM ({pay})",
+        "v39_same_city_as_employee": f"SELECT l_orderkey AS sid, c_name AS cname, n_name AS cadd, concat('V', o_orderkey) AS veh_no, o_orderpriority AS typ_ser, l_returnflag AS type_veh FROM lineitem, orders, customer, supplier, nation WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND {done} AND n_nationkey = c_nationkey AND n_nationkey = s_nationkey",
+        "v40_customers_per_employee": f"SELECT l_suppkey AS eid, count(*) AS customer_count FROM lineitem SEMI JOIN orders ON l_orderkey = o_orderkey WHERE {done} GROUP BY 1",
+        "v42_rating_served_only": f"SELECT s_name AS ename, n AS service_count, substr('CBBA', CAST(least(n, 4) AS INTEGER), 1) AS rating FROM ({per_supplier}), supplier WHERE k = s_suppkey",
+        "v43_total_per_customer": f"{spend} SELECT {buyer}, CAST(t AS DOUBLE) AS total_spent FROM spend, customer, nation WHERE k = c_custkey AND c_nationkey = n_nationkey",
+        "v45_location_of_max_total": f"SELECT s_name AS vname, n_name AS vadd, p_retailprice AS sprate FROM (FROM lineitem WHERE {bought} QUALIFY row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_suppkey, l_partkey, CAST(l_shipdate AS DATE)) = 1), supplier, nation, part WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND l_partkey = p_partkey",
+        "v49_spend_position": f"{spend} SELECT k AS cid, CAST(t AS DOUBLE) AS total_spent, substr('ABCDEF', CAST(least(row_number() OVER (ORDER BY t, k), 6) AS INTEGER), 1) AS spend_grade FROM spend",
+        "v56_first_hired": f"SELECT ename, edoj FROM (SELECT {staff} FROM {hired} QUALIFY rank() OVER (ORDER BY floor(abs(s_acctbal))) = 1)",
         "q01_serviced_customers": f"SELECT c_name AS cname FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE {done})) GROUP BY c_name",
         "q02_unserviced_customers": f"SELECT c_name AS cname FROM customer ANTI JOIN ({finished('q02_unserviced_customers', 'o_custkey')}) ON c_custkey = o_custkey",
         "q03_employees_zero_comm": f"SELECT s_name AS ename FROM supplier SEMI JOIN (SELECT l_suppkey FROM lineitem WHERE {done} AND l_discount = 0) ON s_suppkey = l_suppkey GROUP BY s_name",
@@ -320,15 +193,9 @@ def _raw(resolve: Callable[[str, str], object]) -> dict[str, str]:
 
 
 def oracle_queries() -> dict[str, str]:
-    """Full DuckDB statements over the warehouse tables: role CTEs + question body."""
+    """DuckDB statements over the warehouse tables, by question."""
 
     def resolve(name: str, key: str):
         return WAREHOUSE_PARAMS[name][key] if key in WAREHOUSE_PARAMS.get(name, {}) else _default(name, key)
 
-    out = _raw(resolve)
-    for name, body in _queries(resolve).items():
-        if body.lstrip().upper().startswith("WITH "):
-            out[name] = "WITH " + ROLES_SQL.strip() + ",\n" + body.lstrip()[5:]
-        else:
-            out[name] = "WITH " + ROLES_SQL.strip() + "\n" + body
-    return out
+    return _statements(resolve)
