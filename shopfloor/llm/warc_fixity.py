@@ -11,7 +11,8 @@ Everything is DataFrame operations; a node gathers at most ``FAN`` children.
 
 Defined cases: a NULL url or html is empty; records that repeat a ``page_id`` are ordered by
 their digest and are records of their own; a NULL ``page_id`` goes to archive -1; an empty
-replica has no root, and against it every record is ``missing``; two empty replicas give no row.
+replica has no root, and against it every record is ``missing``; two empty replicas give no row. Extra columns of
+the pages are ignored, whatever their names.
 """
 
 from __future__ import annotations

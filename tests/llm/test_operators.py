@@ -261,6 +261,27 @@ def test_fixity_states(session):
     assert warc_fixity.audit(warc_fixity.records(none), warc_fixity.records(none)).count() == 0
 
 
+def test_fixity_with_clashing_columns_and_repeated_rows(session):
+    made = [(i, f"http://x/{i}", f"<p>{i}</p>") for i in (*range(40), 7, 7, None, None)] + [(3, None, None)]
+    plain = session.createDataFrame(made, "page_id long, url string, html string")
+    clash = plain.selectExpr("*", "'x' AS archive", "5 AS copy", "'o' AS ordinal", "1 AS `offset`", "true AS n_bytes", "'s' AS sha256", "'r' AS record", "2 AS branch", "3 AS up", "'ok' AS state", "0 AS found_sha256")
+    want = sorted(map(tuple, warc_fixity.records(plain).collect()), key=by_first)
+    got = sorted(map(tuple, warc_fixity.records(clash).collect()), key=by_first)
+    assert got == want and len(got) == len(made)
+    found = warc_fixity.audit(warc_fixity.records(clash), warc_fixity.records(plain.where("page_id <> 11 OR page_id IS NULL"))).collect()
+    assert len(found) == len(made) and {r["page_id"] for r in found if r["state"] == "missing"} == {11}
+
+
+def test_repeated_rows_are_judged_alike(session, hard):
+    labels = session.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 0, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    twice = hard.unionByName(hard)
+    for found, columns in ((quality_resampling.resampled(twice, labels), ("weight", "kept")), (language_id.identify(twice), ("held_out", "lang_pred", "score"))):
+        rows = Counter((r["doc_id"], *(r[c] for c in columns)) for r in found.collect())
+        assert sum(rows.values()) == 2 * hard.count()
+        assert all(n % 2 == 0 for n in rows.values())
+        assert sum(n for (i, *_), n in rows.items() if i == 8) == 4 and len([1 for i, *_ in rows if i == 8]) == 1
+
+
 def test_quality_rejects_what_labels_reject(session):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(400)]
