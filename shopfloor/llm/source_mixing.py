@@ -8,8 +8,9 @@ slots each source has its share to within less than one block.
 
 Releases and deadlines are whole numbers got from the weights as exact fractions, for every block of the
 corpus, so nothing adds up over the length of the mix. The schedule is made on the driver in one
-pass of a heap over the blocks (rows / ``block_rows`` steps), written ``PLACES`` at a time to a table, and
-joined with the rows by source and block.
+pass of a heap over the blocks, written ``PLACES`` at a time to a table, and joined with the rows by source
+and block. Blocks have ``BLOCK_ROWS`` rows, and more where the table would have over ``BLOCKS`` of them: the driver's
+steps don't grow with the data, and a block, the most a source is ever off, stays below two millionths of the rows.
 
 A source without rows left leaves the slot of its next block empty; from there on the others go on within
 their own releases and deadlines, and slots for which nothing is released stay empty. No row
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from shopfloor.llm.common import written
 
 BLOCK_ROWS = 8
+BLOCKS = 500_000  #: blocks of a mix whose block size is not given, besides the last block of each source
 PLACES = 500_000  #: places of blocks that the driver holds at a time
 TEMPERATURE = 0.5  #: derived weights go with the number of rows to this power
 BUCKET_ROWS = 2_000  #: rows of one source that are numbered within one task's group
@@ -52,6 +54,11 @@ def weights_by_text(docs: DataFrame, temperature: float = TEMPERATURE) -> dict[s
     return tempered_weights({r["source"]: max(1, r["n"] or 0) for r in sums}, temperature)
 
 
+def rows_of_a_block(rows: int) -> int:
+    """The rows of a block of a table with so many rows."""
+    return max(BLOCK_ROWS, -(-rows // BLOCKS))
+
+
 def schedule(weights: Mapping[str | None, float], blocks: Mapping[str | None, int]) -> Iterator[tuple[str | None, int, int, bool]]:
     """(source, number of its block, slot, exact) of all blocks by slot, earliest deadline first among released blocks."""
     import heapq
@@ -102,10 +109,11 @@ def _numbered(docs: DataFrame, seed: int) -> DataFrame:
     return numbered.join(before, same).withColumn("_n", F.col("_before") + F.col("_in")).drop("_source", "_b", "_before", "_in", "_bucket", "_key", "_rest")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int | None = None, seed: int = 17) -> DataFrame:
     """``docs`` with ``block`` (of the source), ``slot`` (of the sequence), ``position`` (the order of the mix) and ``exact``.
 
-    Without ``weights`` they are derived from the row counts, see :func:`tempered_weights`. Columns of
+    Without ``weights`` they are derived from the row counts, see :func:`tempered_weights`, and without
+    ``block_rows`` it follows the number of rows, see :func:`rows_of_a_block`. Columns of
     ``docs`` with one of these four names are replaced; all others pass unchanged, whatever their names.
     """
     inner = [c for c in docs.columns if c not in ("block", "slot", "position", "exact")]
@@ -114,7 +122,7 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(inner)), "block", "slot", "position", "exact")
 
 
-def _mixed(docs: DataFrame, weights: Mapping[str | None, float] | None, block_rows: int, seed: int) -> DataFrame:
+def _mixed(docs: DataFrame, weights: Mapping[str | None, float] | None, block_rows: int | None, seed: int) -> DataFrame:
     spark = docs.sparkSession
     counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}  # one row per source
     weights = weights or tempered_weights(counts)
@@ -126,6 +134,7 @@ def _mixed(docs: DataFrame, weights: Mapping[str | None, float] | None, block_ro
     wrong = [k for k, w in weights.items() if not (math.isfinite(w) and (w > 0 or (w == 0 and k not in counts)))]
     if wrong:
         raise ValueError(f"the weight is not positive for {wrong}")
+    block_rows = block_rows or rows_of_a_block(sum(counts.values()))
     placed = schedule({k: w for k, w in weights.items() if w}, {k: -(-n // block_rows) for k, n in counts.items()})
     kind = "_source string, _block long, _slot long, _exact boolean"
     places = reduce(DataFrame.unionByName, (written(spark.createDataFrame(part, kind), "places") for part in batched(placed, PLACES)))
