@@ -3,8 +3,8 @@
 Fingerprints that differ in at most ``max_bits`` bits are linked. The 64 bits are put into
 partitions of correlated bits; partition i gets a threshold t_i (-1: not probed) such that
 the sum of (t_i + 1) is ``max_bits + 1``, so two linked fingerprints differ in at most t_i
-bits of some partition i. Dynamic programming picks the thresholds with the fewest estimated
-candidate pairs. A fingerprint is probed under the bits of each partition, with every choice of
+bits of some partition i. Dynamic programming picks the thresholds with the fewest candidate pairs and probes, both
+worked out from the counts of the partition's values for every threshold up to its width. A fingerprint is probed under the bits of each partition, with every choice of
 t_i of them masked, and each bucket verifies the full distance.
 
 A bucket of more than ``BUCKET`` different fingerprints is not compared pair by pair: its
@@ -18,6 +18,7 @@ without any ``doc_id`` has a NULL component; an empty table gives an empty resul
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -111,24 +112,42 @@ def co_counts(fps: DataFrame) -> tuple[np.ndarray, int]:
     return flat[:-1].reshape(64, 64), int(flat[-1])
 
 
+def pairs_by_distance(bits: list[int], values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Ordered pairs of rows, each with itself too, by the number of ``bits`` in which their values differ.
+
+    How often two values differ by a given pattern is the counts' correlation with themselves over exclusive or: the
+    square of their Walsh-Hadamard transform, transformed back.
+    """
+    width = len(bits)
+    cell = np.zeros(len(values), np.int64)
+    for k, b in enumerate(bits):
+        cell |= (values >> np.uint64(b) & np.uint64(1)).astype(np.int64) << k
+    spectrum = np.bincount(cell, counts, 1 << width)
+    for back in (False, True):
+        for k in range(width):
+            halves = spectrum.reshape(-1, 2, 1 << k)
+            spectrum = np.stack([halves[:, 0] + halves[:, 1], halves[:, 0] - halves[:, 1]], 1).reshape(-1)
+        spectrum = spectrum / (1 << width) if back else spectrum**2
+    return np.bincount(np.bitwise_count(np.arange(1 << width)), spectrum, width + 1)
+
+
+def probe_costs(bits: list[int], values: np.ndarray, counts: np.ndarray) -> list[float]:
+    """By threshold t: candidate pairs of a partition probed by all its bits but t, however the t are chosen, and the probes."""
+    width, n = len(bits), float(counts.sum())
+    pairs = pairs_by_distance(bits, values, counts)
+    pairs[0] -= n
+    return [sum(float(pairs[d]) / 2 * comb(width - d, t - d) for d in range(t + 1)) + comb(width, t) * n for t in range(width + 1)]
+
+
 def allocate(histograms: list[tuple[list[int], np.ndarray, np.ndarray]], max_bits: int) -> list[int]:
-    """Thresholds of the partitions (bits, masked values, their counts) by dynamic programming on candidate pairs."""
-
-    def cost(bits: list[int], values: np.ndarray, counts: np.ndarray, t: int) -> float:
-        if t < 0:
-            return 0.0
-        total = 0.0
-        for masked in combinations(bits, t):
-            keep = np.uint64(_unsigned(~sum(1 << b for b in masked)))
-            _, at = np.unique(values & keep, return_inverse=True)
-            per = np.bincount(at, counts)
-            total += float((per * (per - 1) / 2).sum()) + float(counts.sum())  # pairs, and the probes themselves
-        return total
+    """Thresholds of the partitions (bits, masked values, their counts) by dynamic programming on candidate pairs.
 
+    Each is -1 (not probed) to the width of its partition; they add up, with one for each partition, to ``max_bits`` + 1.
+    """
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for bits, values, counts in histograms:
         step: dict[int, tuple[float, list[int]]] = {}
-        costs = {t: cost(bits, values, counts, t) for t in range(-1, min(max_bits, 2) + 1)}
+        costs = {-1: 0.0} | dict(enumerate(probe_costs(bits, values, counts)[:max_bits + 1]))
         for used, (so_far, chosen) in best.items():
             for t, c in costs.items():
                 if used + t + 1 <= max_bits + 1 and (used + t + 1 not in step or so_far + c < step[used + t + 1][0]):
