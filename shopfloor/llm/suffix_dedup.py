@@ -15,8 +15,10 @@ places are the suffixes of all texts; two of them tie if their first ``width`` b
    many as take the bytes of the text itself, so memory is bounded and shuffle files never
    exceed the input however much of it repeats. Each bucket answers which of its suffixes tie.
 
-The key is a hash (two polynomial sums modulo 2**64, cut to 96 bits): strings with equal keys count as
-equal, no byte is compared after it.
+The key is a hash: strings with equal keys count as equal, no byte is compared after it. Its first 61 bits are a
+polynomial of the bytes modulo the prime 2**61 - 1 at a point drawn anew by the driver for every run, so two given
+different strings of ``width`` bytes agree in them with a probability below ``width`` / 2**60, whatever the strings are
+made of; a polynomial modulo 2**64 gives another 32 bits.
 
 The same steps over words in place of bytes tell the texts with a passage of ``words`` consecutive words that also
 stands in another text: word offsets take a difference cover of period ``PASSAGE_PERIOD``, and the word suffixes near a shared
@@ -33,6 +35,7 @@ empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,7 +50,7 @@ PASSAGE_PERIOD = 13  #: period of the cover of word offsets
 PASSAGE_WORDS = 50  #: a passage of over 50 words has two such strings, so a word that touches its neighbour outside may differ
 PIECE_BYTES = 1 << 20  #: texts are handled in pieces of about this size, at least one text
 BUCKET_KEYS = 1 << 20  #: suffixes that one bucket holds on average
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  #: odd multipliers of the two rolling keys
+BASE = 0x9E3779B97F4A7C15  #: odd multiplier of the rolling keys modulo 2**64
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -64,9 +67,7 @@ class RollingKeys:
 
     def __init__(self, seed: int, longest: int) -> None:
         self.values = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-        base = BASES[seed % 2]
-        inverse = pow(base, -1, 2**64)
-        self.power, self.inverse = self._powers(base, longest), self._powers(inverse, longest)
+        self.power, self.inverse = self._powers(BASE, longest), self._powers(pow(BASE, -1, 2**64), longest)
 
     @staticmethod
     def _powers(base: int, n: int) -> np.ndarray:
@@ -87,6 +88,77 @@ class RollingKeys:
         return key
 
 
+PRIME = (1 << 61) - 1
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits modulo the prime."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.minimum(x, x - np.uint64(PRIME))  # below the prime the difference wraps to a larger number
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 30 and 31 bits: no sum below passes 64 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    out = np.empty(len(a), np.uint64)
+    for at in range(0, len(a), 1 << 14):  # what a processor keeps close
+        x, y = a[at:at + (1 << 14)], b[at:at + (1 << 14)]
+        x1, x0, y1, y0 = x >> half, x & low, y >> half, y & low
+        middle = x1 * y0 + x0 * y1
+        out[at:at + (1 << 14)] = _reduced((x1 * y1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + x0 * y0)
+    return out
+
+
+class PrimeKeys:
+    """Keys of all strings of one width, by prefix sums of a polynomial modulo the prime at ``point``."""
+
+    def __init__(self, point: int, longest: int) -> None:
+        self.point = point
+        self._grow(longest)
+
+    def _grow(self, longest: int) -> None:
+        power, self.inverse = self._powers(self.point, longest), self._powers(pow(self.point, -1, PRIME), longest)
+        self.halves = power >> np.uint64(31), power & np.uint64((1 << 31) - 1)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out, known = np.ones(n + 1, np.uint64), 1
+        while known <= n:
+            more = min(known, n + 1 - known)
+            out[known:known + more] = _product(out[:more], np.full(more, pow(base, known, PRIME), np.uint64))
+            known += more
+        return out
+
+    def of(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keys of the strings of values (bytes, or any 64-bit numbers) from each start to each end, the 61 bits on the left.
+
+        A byte counts as one more than its value, so that none is zero. The halves of the terms are summed by themselves:
+        the sums may wrap, their differences are below 2**64 for strings of up to 2**20 values.
+        """
+        n = len(values)
+        if n > len(self.inverse) - 1:
+            self._grow(n)
+        if values.dtype == np.uint8:
+            small = values.astype(np.uint64) + np.uint64(1)
+            left, right = small * self.halves[0][:n], small * self.halves[1][:n]
+        else:
+            terms = _product(_reduced(values), (self.halves[0][:n] << np.uint64(31)) + self.halves[1][:n])
+            left, right = terms >> np.uint64(31), terms & np.uint64((1 << 31) - 1)
+        left, right = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (left, right))
+        left, right = left[ends] - left[starts], right[ends] - right[starts]
+        sums = _reduced((left >> np.uint64(30)) + ((left & np.uint64((1 << 30) - 1)) << np.uint64(31)) + _reduced(right))
+        return _product(sums, self.inverse[starts]) << np.uint64(3)
+
+
+_PRIME_KEYS: list[PrimeKeys] = []
+
+
+def _of_point(point: int) -> PrimeKeys:
+    if not _PRIME_KEYS or _PRIME_KEYS[0].point != point:  # those of the last run go
+        _PRIME_KEYS[:] = [PrimeKeys(point, 2 * PIECE_BYTES)]
+    return _PRIME_KEYS[0]
+
+
 _KEYS: dict[int, RollingKeys] = {}
 
 
@@ -279,13 +351,13 @@ def _sampled(width: int) -> Callable:
     return select
 
 
-def _candidates(width: int) -> Callable:
+def _candidates(width: int, point: int) -> Callable:
     def select(item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, None]:
         data, _ = _laid(item)
         places = _bits(item, "marked", len(data))
         if not len(places):
             return places, np.zeros(0, np.uint64), np.zeros(0, np.uint32), None
-        return places, _keys(0, data, places, places + width), (_keys(1, data, places, places + width) >> np.uint64(32)).astype(np.uint32), None
+        return places, _of_point(point).of(data, places, places + width), (_keys(0, data, places, places + width) >> np.uint64(32)).astype(np.uint32), None
 
     return select
 
@@ -304,14 +376,14 @@ def _sampled_words(words: int) -> Callable:
     return select
 
 
-def _candidate_words(words: int) -> Callable:
+def _candidate_words(words: int, point: int) -> Callable:
     def select(item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if not item["n_words"].as_py():
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         values, counts = _words(*_laid(item))
         places = _bits(item, "marked_words", len(values))
-        first, second = (_rolling(i).of(values, places, places + words) for i in (0, 1))
-        return places, first, (second >> np.uint64(32)).astype(np.uint32), _texts_of(places, counts)
+        second = _rolling(0).of(values, places, places + words)
+        return places, _of_point(point).of(values, places, places + words), (second >> np.uint64(32)).astype(np.uint32), _texts_of(places, counts)
 
     return select
 
@@ -352,9 +424,9 @@ def _mark(width: int, buckets: int, words: int, word_buckets: int) -> Callable:
     return run
 
 
-def _cut(width: int, buckets: int, words: int, word_buckets: int) -> Callable:
+def _cut(width: int, buckets: int, words: int, word_buckets: int, point: int) -> Callable:
     """Per text of a piece: what goes, the digest of what stays, and whether another text has a passage of it."""
-    select, select_words = _candidates(width), _candidate_words(words)
+    select, select_words = _candidates(width, point), _candidate_words(words, point)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +466,7 @@ def repeated_strings(docs: DataFrame, width: int = 400, words: int = PASSAGE_WOR
     """
     if width < 2 * PERIOD or words < 2 * PASSAGE_PERIOD:
         raise ValueError(f"the width is {2 * PERIOD} bytes or more, a passage has {2 * PASSAGE_PERIOD} words or more")
-    spark = docs.sparkSession
+    spark, point = docs.sparkSession, secrets.randbelow(PRIME - 2) + 2  # a retried task has the same point
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
     keyed = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     with arrow_bytes(spark):
@@ -412,12 +484,12 @@ def repeated_strings(docs: DataFrame, width: int = 400, words: int = PASSAGE_WOR
         marked = spark.read.schema(_MARKED).parquet(path)
         let_go(spark)
         total, total_words = (x or 0 for x in marked.agg(F.sum("n"), F.sum("n_words")).first())
-        answers, n = _ranked(marked, _candidates(width), total, max(1, -(-12 * total // max(1, n_bytes))), "suffix-ties")
+        answers, n = _ranked(marked, _candidates(width, point), total, max(1, -(-12 * total // max(1, n_bytes))), "suffix-ties")
         let_go(spark)
-        word_answers, n_word = _ranked(marked, _candidate_words(words), total_words, max(1, -(-12 * total_words // max(1, n_bytes))), "passage-ties")
+        word_answers, n_word = _ranked(marked, _candidate_words(words, point), total_words, max(1, -(-12 * total_words // max(1, n_bytes))), "passage-ties")
         let_go(spark)
         joined = marked.join(answers, "piece", "left").join(word_answers.withColumnRenamed("answers", "word_answers"), "piece", "left")
-        cut = written(joined.mapInArrow(_cut(width, n, words, n_word), "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, repeats_passage boolean"), "cut")
+        cut = written(joined.mapInArrow(_cut(width, n, words, n_word, point), "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, repeats_passage boolean"), "cut")
         drop_folder(spark, path)
         let_go(spark)
     per_text = rows.join(cut, "digest", "left")

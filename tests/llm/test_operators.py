@@ -136,6 +136,31 @@ def test_threshold_allocation_covers_the_distance():
     assert sum(t + 1 for t in chosen) == 4 and chosen[0] == -1  # the crowded partition is not probed
 
 
+def test_probe_costs_are_those_of_all_masks():
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    bits = [3, 4, 17, 40, 63, 9]
+    at = np.unique(rng.integers(0, 64, 30))
+    values = np.array([sum(1 << b for k, b in enumerate(bits) if x >> k & 1) for x in at.tolist()], np.uint64)
+    counts = rng.integers(1, 1000, len(values)).astype(float)
+    for t, got in enumerate(simhash_dedup.probe_costs(bits, values, counts)):
+        want = 0.0
+        for out in combinations(bits, t):
+            rows = Counter()
+            for v, n in zip(values.tolist(), counts.tolist(), strict=True):
+                rows[v & ~sum(1 << b for b in out)] += n
+            want += sum(n * (n - 1) / 2 for n in rows.values()) + counts.sum()
+        assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("max_bits", [0, 3, 11, 12, 20, 62])
+def test_thresholds_for_any_distance(max_bits):
+    parts = [(list(range(16 * i, 16 * i + 16)), np.arange(50, dtype=np.uint64) << np.uint64(16 * i), np.ones(50)) for i in range(4)]
+    chosen = simhash_dedup.allocate(parts, max_bits)
+    assert sum(t + 1 for t in chosen) == max_bits + 1 and all(-1 <= t <= 16 for t in chosen)
+
+
 def test_repeated_strings(docs):
     rows = [(i, t.encode()) for i, t in texts(docs)]
     seen = Counter(x[k:k + 400] for _, x in rows for k in range(len(x) - 399)) if sum(len(x) for _, x in rows) < 800_000 else None
@@ -165,6 +190,37 @@ def test_repeats_inside_one_text_and_across_alignments(session):
     assert got == {0: (810, 2), 1: (400, 1), 2: (400, 1), 3: (0, 0), 4: (2000, 1)}
 
 
+def test_keys_are_polynomials_modulo_the_prime():
+    rng, point, longest = np.random.default_rng(5), 0x123456789ABCDEF, 3000
+    prime = suffix_dedup.PrimeKeys(point, 100)  # grows with the values
+    values = np.concatenate([rng.integers(0, 2**64, longest - 6, dtype=np.uint64), np.array([0, 1, 2**61 - 2, 2**61 - 1, 2**61, 2**64 - 1], np.uint64)])
+    ends = rng.integers(0, longest + 1, 200)
+    starts = (ends * rng.random(200)).astype(np.int64)
+    want = [sum(int(v) * pow(point, k, 2**61 - 1) for k, v in enumerate(values[a:b])) % (2**61 - 1) for a, b in zip(starts, ends, strict=True)]
+    assert (prime.of(values, starts, ends) >> np.uint64(3)).tolist() == want
+    letters = np.append(rng.integers(0, 256, longest - 2).astype(np.uint8), np.array([0, 255], np.uint8))
+    want = [sum((int(v) + 1) * pow(point, k, 2**61 - 1) for k, v in enumerate(letters[a:b])) % (2**61 - 1) for a, b in zip(starts, ends, strict=True)]
+    assert (prime.of(letters, starts, ends) >> np.uint64(3)).tolist() == want
+
+
+def test_strings_alike_to_sums_modulo_a_power_of_two_stay(session):
+    """The Thue-Morse pattern and its complement agree in most bits of such sums."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(256))
+    other, tail = one.translate(str.maketrans("ab", "ba")), "".join(chr(97 + k % 23) for k in range(144))
+    made = [(0, one + tail), (1, other + tail), (2, one[:200] + other[:56] + tail)]
+    data = np.frombuffer((made[0][1] + made[1][1]).encode(), np.uint8)
+    a, b = np.array([0, 400]), np.array([400, 800])
+    prime = suffix_dedup.PrimeKeys(987654321, 800)
+    values = np.array([1, 3], np.uint64)[(data == ord("b")).astype(int)]  # sums modulo 2**64 without the last mixing
+    sums = [sum(int(v) * pow(suffix_dedup.BASE, k, 2**64) for k, v in enumerate(values[x:x + 256])) % 2**64 for x in (0, 400)]
+    assert (sums[0] ^ sums[1]) % 2**32 == 0
+    assert len(set(prime.of(data, a, b).tolist())) == 2
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeated_strings(session.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0}
+    twice = session.createDataFrame([*made, (3, "x" + made[1][1])], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeated_strings(twice).collect()} == {0: 0, 1: 400, 2: 0, 3: 400}
+
+
 @pytest.mark.parametrize("period", [suffix_dedup.PERIOD, suffix_dedup.PASSAGE_PERIOD])
 def test_difference_cover(period):
     cover = suffix_dedup.difference_cover(period)
@@ -239,6 +295,20 @@ def test_mix_of_more_sources_than_a_round_and_of_sources_that_run_out(session):
     assert [slot for _, _, slot, exact in got if exact] == [0, 1, 2, 3] and len({x[2] for x in got}) == 8
 
 
+def test_blocks_of_a_mix_are_bounded(session, monkeypatch):
+    assert source_mixing.rows_of_a_block(0) == source_mixing.rows_of_a_block(4_000_000) == 8
+    assert source_mixing.rows_of_a_block(10**11) == 200_000
+    monkeypatch.setattr(source_mixing, "BLOCKS", 20)
+    df = session.range(1000).selectExpr("id as doc_id", "if(id % 4 = 0, 'a', 'b') as source")
+    rows = source_mixing.mixed(df, {"a": 0.5, "b": 0.5}).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1000)) and len({r["position"] for r in rows}) == 1000
+    assert max(Counter(r["slot"] for r in rows).values()) == 50 and len({(r["source"], r["block"]) for r in rows}) == 20
+    done = Counter()
+    for r in sorted(rows, key=lambda r: r["position"]):
+        done[r["source"]] += r["exact"]
+        assert abs(done["a"] - done["b"]) <= 50
+
+
 def test_mix_refuses_a_source_without_weight(hard):
     with pytest.raises(ValueError):
         source_mixing.mixed(hard, weights={"a": 1.0})
