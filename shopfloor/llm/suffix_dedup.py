@@ -89,6 +89,7 @@ class RollingKeys:
 
 
 PRIME = (1 << 61) - 1
+NEAR = 1 << 14  #: numbers worked on at a time, which a processor keeps close
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -100,13 +101,9 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products modulo the prime, from halves of 30 and 31 bits: no sum below passes 64 bits."""
     half, low = np.uint64(31), np.uint64((1 << 31) - 1)
-    out = np.empty(len(a), np.uint64)
-    for at in range(0, len(a), 1 << 14):  # what a processor keeps close
-        x, y = a[at:at + (1 << 14)], b[at:at + (1 << 14)]
-        x1, x0, y1, y0 = x >> half, x & low, y >> half, y & low
-        middle = x1 * y0 + x0 * y1
-        out[at:at + (1 << 14)] = _reduced((x1 * y1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + x0 * y0)
-    return out
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * b0)
 
 
 class PrimeKeys:
@@ -138,16 +135,24 @@ class PrimeKeys:
         n = len(values)
         if n > len(self.inverse) - 1:
             self._grow(n)
-        if values.dtype == np.uint8:
-            small = values.astype(np.uint64) + np.uint64(1)
-            left, right = small * self.halves[0][:n], small * self.halves[1][:n]
-        else:
-            terms = _product(_reduced(values), (self.halves[0][:n] << np.uint64(31)) + self.halves[1][:n])
-            left, right = terms >> np.uint64(31), terms & np.uint64((1 << 31) - 1)
-        left, right = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (left, right))
-        left, right = left[ends] - left[starts], right[ends] - right[starts]
-        sums = _reduced((left >> np.uint64(30)) + ((left & np.uint64((1 << 30) - 1)) << np.uint64(31)) + _reduced(right))
-        return _product(sums, self.inverse[starts]) << np.uint64(3)
+        left, right = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        for at in range(0, n, NEAR):
+            some, high, low = values[at:at + NEAR], *(x[at:min(at + NEAR, n)] for x in self.halves)
+            if values.dtype == np.uint8:
+                small = some.astype(np.uint64) + np.uint64(1)
+                left[at + 1:at + 1 + len(some)], right[at + 1:at + 1 + len(some)] = small * high, small * low
+            else:
+                terms = _product(_reduced(some), (high << np.uint64(31)) + low)
+                left[at + 1:at + 1 + len(some)], right[at + 1:at + 1 + len(some)] = terms >> np.uint64(31), terms & np.uint64((1 << 31) - 1)
+        np.cumsum(left, out=left)
+        np.cumsum(right, out=right)
+        out = np.empty(len(starts), np.uint64)
+        for at in range(0, len(out), NEAR):
+            a, b = starts[at:at + NEAR], ends[at:at + NEAR]
+            high, low = left[b] - left[a], right[b] - right[a]
+            sums = _reduced((high >> np.uint64(30)) + ((high & np.uint64((1 << 30) - 1)) << np.uint64(31)) + _reduced(low))
+            out[at:at + NEAR] = _product(sums, self.inverse[a]) << np.uint64(3)
+        return out
 
 
 _PRIME_KEYS: list[PrimeKeys] = []
