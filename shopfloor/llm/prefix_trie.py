@@ -8,6 +8,8 @@ pieces, and the digest of a parent is the digest of the child without its last t
 1. Screening. A count-min sketch counts the prefixes of all conversations. It never counts too
    little: a prefix with an estimate of one is in one conversation only. Such tails are
    emitted where they are, with all their values known (one member, one leaf, nothing saved).
+   The sketch may fail to prove it of a prefix below a proven one; such a node's parent is a tail of the
+   same conversation.
 2. Exact grouping. Only the other prefixes are shuffled, combined in their task first.
 3. Sums over subtrees need no walk. A node belongs to the smallest of its conversations, the
    owner; a conversation owns the nodes from some depth down. What a subtree holds is the sum over
@@ -184,9 +186,9 @@ def trie(turns: DataFrame, cells: int = CELLS) -> DataFrame:
     """
     rows = written(screened(written(prefixes(turns), "prefixes"), cells), "screened")
     shared, alone = rows.where("NOT alone"), rows.where("alone")
-    same = [F.max(c).alias(c) for c in ("depth", "up_a", "up_b", "n_words", "turn_digest")]  # equal in all rows of a node
+    same = [F.max(c).alias(c) for c in ("depth", "up_a", "up_b", "up_alone", "n_words", "turn_digest")]  # equal in all rows of a node
     grouped = shared.groupBy("a", "b").agg(F.min(F.struct("conv_id", "piece")).alias("owner"), F.count("*").alias("n_convs"), *same)
-    nodes = grouped.select("a", "b", "owner.*", "depth", "up_a", "up_b", "turn_digest", "n_convs", ((F.col("n_convs") - 1) * F.col("n_words")).alias("saved"))
+    nodes = grouped.select("a", "b", "owner.*", "depth", "up_a", "up_b", "up_alone", "turn_digest", "n_convs", ((F.col("n_convs") - 1) * F.col("n_words")).alias("saved"))
     nodes = written(nodes, "nodes")
     tops = alone.where("NOT up_alone").select("conv_id", "depth", "length", "up_a", "up_b", "turn_digest")
     up = [F.col("up_a").alias("a"), F.col("up_b").alias("b")]
@@ -206,11 +208,12 @@ def trie(turns: DataFrame, cells: int = CELLS) -> DataFrame:
     full = full.withColumns({"saved_tokens": F.col("all_saved") - F.col("above"), "ends_sha256": F.coalesce("ends_sha256", none)})
     out = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256", "turn_digest"]
     root = full.where("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long")).select(*out)
-    inner = _with_parent(full.where("depth > 0"), nodes).select(*out)
+    inner = _with_parent(full.where("depth > 0 AND NOT up_alone"), nodes).select(*out)
+    below_tail = full.where("up_alone").withColumn("parent_conv_id", F.col("conv_id")).select(*out)
 
     one = F.lit(1).cast("long")
     last = F.col("depth") == F.col("length")
     known = {"n_convs": one, "n_children": F.when(last, zero).otherwise(one), "n_leaves": one, "saved_tokens": zero,
              "ends_sha256": F.when(last, F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(none)}
     tails = alone.where("up_alone").withColumn("parent_conv_id", F.col("conv_id")).withColumns(known).select(*out)
-    return root.unionByName(inner).unionByName(_with_parent(tops, nodes).withColumns(known).select(*out)).unionByName(tails)
+    return root.unionByName(inner).unionByName(below_tail).unionByName(_with_parent(tops, nodes).withColumns(known).select(*out)).unionByName(tails)

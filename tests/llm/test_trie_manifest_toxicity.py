@@ -81,6 +81,14 @@ def test_trie_is_the_same_when_the_sketch_tells_nothing_apart(hard_turns):
     assert trie_rows(prefix_trie.paths(hard_turns, *rule()), cells=2) == plain_trie(hard_turns.collect())
 
 
+@pytest.mark.parametrize("cells", [prefix_trie.CELLS, 1 << 11])
+def test_trie_keeps_nodes_that_clash_in_the_sketch_below_a_tail(session, cells):
+    rnd = random.Random(1)
+    rows = [(c, t, rnd.choice(["u", "a"]), f"w{rnd.randrange(10**6)} x") for c in range(800) for t in range(rnd.randrange(1, 12))]
+    turns = session.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    assert trie_rows(prefix_trie.paths(turns, *rule()), cells=cells) == plain_trie(turns.collect())
+
+
 def test_trie_of_no_rows(hard_turns):
     assert trie_rows(prefix_trie.paths(hard_turns.limit(0), *rule())) == []
     assert trie_rows(prefix_trie.paths(hard_turns.where("conv_id IS NULL"))) == []
