@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopfloor.session import ensure_checkpoint_dir
-from shopfloor.sources.roles import Roles
+from shopfloor.sources.roles import ROLE_COLUMNS, Roles
 
 WAREHOUSE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -149,11 +150,12 @@ def warehouse_roles(spark: SparkSession, folder: str) -> Roles:
 
 
 _PERSISTED: dict[tuple[str, str], Roles] = {}
-_PERSIST_LOCK = threading.Lock()
+_PERSIST_LOCK = threading.RLock()
+_SORTED = {"service": "ser_date", "purchase": "pdate", "customer": None, "employee": None, "vendor": None}
 
 
-def persist_roles(spark: SparkSession, roles: Roles, tag: str) -> Roles:
-    """Write the derived roles once as Parquet in the shared checkpoint folder.
+def persist_roles(spark: SparkSession, roles: Roles, tag: str, only: Sequence[str] = tuple(_SORTED)) -> Roles:
+    """Write the derived roles (those in ``only``) once as Parquet in the shared checkpoint folder.
 
     Deriving ``service`` joins lineitem with orders, and the customer,
     employee and vendor dimensions join nation (and region); a suite of
@@ -172,43 +174,66 @@ def persist_roles(spark: SparkSession, roles: Roles, tag: str) -> Roles:
     # Gone with the application: the copies serve its queries only.
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
-    def write(role: str, date_col: str | None) -> str:
+    def write(role: str) -> str:
         path = f"{target}/{role}"
         df = getattr(roles, role)
-        if date_col:
+        if _SORTED[role]:
             # A local sort by date inside each write task (no shuffle) gives every row group a narrow
             # date range, so Parquet min/max statistics let date filters skip row groups.
-            df = df.sortWithinPartitions(date_col)
+            df = df.sortWithinPartitions(_SORTED[role])
         df.write.mode("overwrite").parquet(path)
         return path
 
-    jobs = (("service", "ser_date"), ("purchase", "pdate"), ("customer", None), ("employee", None),
-            ("vendor", None))
     # Independent writes: submitted together so the scheduler can run them side by side.
-    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        paths = dict(zip([r for r, _ in jobs], pool.map(lambda job: write(*job), jobs)))
+    with _PERSIST_LOCK, ThreadPoolExecutor(max_workers=len(only)) as pool:
+        paths = dict(zip(only, pool.map(write, only)))
     derived = {role: spark.read.parquet(path) for role, path in paths.items()}
     return replace(roles, **derived).validate()
 
 
-def _state(spark: SparkSession, folder: str) -> str:
-    """The input files with their lengths and times: other data under one path is another state."""
-    files = sorted(f for t in read_warehouse(spark, folder).values() for f in t.inputFiles())
+class SuiteRoles(Roles):
+    """Roles that are written by :func:`persist_roles` when a question first asks for them, each once.
+
+    A question about one fact so does not shuffle and write the other.
+    """
+
+    def __init__(self, spark: SparkSession, roles: Roles, tag: str) -> None:
+        object.__setattr__(self, "_source", (spark, roles, tag))
+
+    def __getattr__(self, role: str) -> DataFrame:
+        if role not in ROLE_COLUMNS:
+            raise AttributeError(role)
+        with _PERSIST_LOCK:  # concurrent callers wait for one write instead of racing on the same folder
+            if role not in self.__dict__:
+                spark, roles, tag = self._source
+                stored = persist_roles(spark, roles, tag, [role]) if role in _SORTED else roles
+                object.__setattr__(self, role, getattr(stored, role))
+            return self.__dict__[role]
+
+
+def _files(spark: SparkSession, names: list[str]) -> list[tuple[str, int, int]]:
+    """The files with their lengths and times."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     conf = spark._jsc.hadoopConfiguration()
     found = []
-    for name in files:
+    for name in names:
         path = hadoop.Path(spark._jvm.java.net.URI(name))
         status = path.getFileSystem(conf).getFileStatus(path)
-        found.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
-    return hashlib.sha1("|".join(found).encode()).hexdigest()
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return found
+
+
+def _state(spark: SparkSession, folder: str) -> str:
+    """The input files with their lengths and times: other data under one path is another state."""
+    files = sorted(f for t in read_warehouse(spark, folder).values() for f in t.inputFiles())
+    return hashlib.sha1("|".join(":".join(map(str, x)) for x in _files(spark, files)).encode()).hexdigest()
 
 
 def suite_roles(spark: SparkSession, folder: str) -> Roles:
-    """Warehouse roles with persisted facts, built once per application and folder."""
+    """Warehouse roles that are written on demand, each once per application and folder."""
     key = (spark.sparkContext.applicationId, _state(spark, folder))
-    with _PERSIST_LOCK:  # concurrent callers wait for one write instead of racing on the same folder
+    with _PERSIST_LOCK:
         if key not in _PERSISTED:
             tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
-            _PERSISTED[key] = persist_roles(spark, warehouse_roles(spark, folder), tag)
+            _PERSISTED[key] = SuiteRoles(spark, warehouse_roles(spark, folder), tag)
         return _PERSISTED[key]
