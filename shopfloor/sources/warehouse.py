@@ -38,8 +38,9 @@ from __future__ import annotations
 
 import hashlib
 import threading
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,11 +150,31 @@ def warehouse_roles(spark: SparkSession, folder: str) -> Roles:
     return roles_from_tables(read_warehouse(spark, folder))
 
 
+WRITE_BYTES = 16 << 20  #: shuffled bytes that one task of a role's write joins and sorts
+
 _PERSISTED: dict[tuple[str, str], Roles] = {}
 _PERSIST_LOCK = threading.RLock()
 _SORTED = {"service": "ser_date", "purchase": "pdate", "customer": None, "employee": None, "vendor": None}
 
 
+@contextmanager
+def _small_tasks(spark: SparkSession, files: list[str]) -> Iterator[None]:
+    """Deal the shuffles of the jobs run inside into tasks of about ``WRITE_BYTES``, however much the files hold."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * sum(size for _, size, _ in _files(spark, files)) // WRITE_BYTES)
+    wanted = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": WRITE_BYTES, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": n}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def persist_roles(spark: SparkSession, roles: Roles, tag: str, only: Sequence[str] = tuple(_SORTED)) -> Roles:
     """Write the derived roles (those in ``only``) once as Parquet in the shared checkpoint folder.
 
@@ -166,7 +187,8 @@ def persist_roles(spark: SparkSession, roles: Roles, tag: str, only: Sequence[st
     machine-local temp dir — and read back as Parquet, so every later query
     gets column pruning and filter pushdown on the narrow role instead of the
     joins. ``part`` is a plain projection and is left as it is. The writes are
-    normal Spark jobs: lost executors only re-run tasks.
+    normal Spark jobs: lost executors only re-run tasks. A task holds the rows it joins and sorts, so
+    their number goes with the input and their size does not (``WRITE_BYTES``).
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
     target = f"{base}/shopfloor_roles/{tag}"
@@ -185,7 +207,8 @@ def persist_roles(spark: SparkSession, roles: Roles, tag: str, only: Sequence[st
         return path
 
     # Independent writes: submitted together so the scheduler can run them side by side.
-    with _PERSIST_LOCK, ThreadPoolExecutor(max_workers=len(only)) as pool:
+    files = sorted({f for role in only for f in getattr(roles, role).inputFiles()})
+    with _PERSIST_LOCK, _small_tasks(spark, files), ThreadPoolExecutor(max_workers=len(only)) as pool:
         paths = dict(zip(only, pool.map(write, only)))
     derived = {role: spark.read.parquet(path) for role, path in paths.items()}
     return replace(roles, **derived).validate()

@@ -41,3 +41,25 @@ def test_a_query_writes_only_the_roles_that_it_asks_for(spark, folder):
         (tag,) = set(stored(spark, "*")) - before
         assert {x.rsplit("/", 1)[1] for x in glob.glob(f"{tag}/*")} == roles
         assert got == plan(name, warehouse_roles(spark, folder), warehouse=True).collect() and got
+
+
+def test_tasks_of_a_write_are_bounded_by_bytes(spark, folder, monkeypatch):
+    """q06, q56: with more bytes than a task should hold there are more tasks, not larger ones."""
+    monkeypatch.setattr(warehouse, "WRITE_BYTES", 32 << 10, raising=False)
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    # As with orders too large to broadcast and tasks of more than the least size, here a megabyte.
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before, size = {k: spark.conf.get(k) for k in wanted}, spark.conf.get(advisory)
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        raw = warehouse_roles(spark, folder)
+        roles = persist_roles(spark, raw, "bounded-writes")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert spark.conf.get(advisory) == size
+    assert len(stored(spark, "bounded-writes/service/part-*")) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for role in ("service", "purchase", "customer"):
+        a, b = getattr(raw, role), getattr(roles, role)
+        assert a.columns == b.columns and a.count() == b.count() and a.exceptAll(b).isEmpty()
