@@ -20,7 +20,9 @@ an empty table gives an empty file. Extra columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ STEP = 64  #: symbols between two bit-offset checkpoints
 BLOCK_SYMBOLS = 1 << 16  #: a block is closed once it holds this many symbols
 MAX_BITS = 18  #: longest code word: bounds the decoding table to 2**18 entries
 SHARD_TOKENS = 4_000_000  #: symbols of one shard, and so of one task
-CACHE_WORDS = 800_000  #: words whose ids a worker remembers
+CACHE_WORDS = 1_200_000  #: words and chunks whose ids a worker remembers
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The vocabulary's own splitting pattern, written out for texts of ASCII and Latin-1 letters only.
@@ -49,15 +51,31 @@ class _Ids(dict):
     def __init__(self, library: object, kind: str) -> None:
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.model, self.kind = library.model, kind
+        self.model, self.kind = library.model, {"<u2": "H", "<u4": "I"}[kind]
+        assert array(self.kind).itemsize == int(kind[2]) and sys.byteorder == "little"
         plain = {b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173}
         assert {chr(b) for b in plain} < set(ByteLevel.alphabet())
         rest = iter(range(256, 512))  # bytes without a printable form stand for these, in ascending order
         self.shown = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
-    def __missing__(self, word: str) -> bytes:
+    def of(self, word: str) -> bytes:
         shown = word.encode("utf-8").decode("latin-1").translate(self.shown)
-        self[word] = ids = np.array([x.id for x in self.model.tokenize(shown)], self.kind).tobytes()
+        return array(self.kind, [x.id for x in self.model.tokenize(shown)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.of(word)
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of a space and what stands up to the next one; ids of chunks of one word are kept here only."""
+
+    def __init__(self, words: _Ids, split: Callable[[str], list[str]]) -> None:
+        self.words, self.split = words, split
+
+    def __missing__(self, chunk: str) -> bytes:
+        parts = self.split(f" {chunk}")
+        self[chunk] = ids = b"".join(map(self.words.__getitem__, parts)) if len(parts) > 1 else self.words.of(parts[0])
         return ids
 
 
@@ -66,7 +84,9 @@ class TextEncoder:
 
     The pattern that such a vocabulary splits texts by yields words whose ids do not depend
     on their neighbours, so the library's model encodes every distinct word once and its ids
-    are looked up after that. The store of words is emptied when it is full. A text that holds an
+    are looked up after that. No word goes on over a space, and a space that something else than
+    white space follows begins a word, so a text without other spaces is looked up by the chunks between
+    them. The store of words is emptied when it is full. A text that holds an
     added token of the vocabulary, such as an end mark, is encoded by the library as a whole.
     """
 
@@ -83,15 +103,23 @@ class TextEncoder:
         self.kind = kind
         self.fast, self.odd = re.compile(_FAST).findall, re.compile(_ODD).search
         self.full = regex.compile(public_tokenizers.PATTERN).findall
+        self.wide = re.compile(r" (?:[ \t\n\r]|\Z)").search
         self.ids = _Ids(self.library, kind)
+        self.chunks = _Chunks(self.ids, self.fast)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of this encoder's kind."""
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.ids) + len(self.chunks) > CACHE_WORDS:
             self.ids.clear()
+            self.chunks.clear()
         if self.added(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.ids.__getitem__, (self.full if self.odd(text) else self.fast)(text)))
+        if self.odd(text):
+            return b"".join(map(self.ids.__getitem__, self.full(text)))
+        if self.wide(text):
+            return b"".join(map(self.ids.__getitem__, self.fast(text)))
+        first, *rest = text.split(" ")
+        return b"".join(map(self.ids.__getitem__, self.fast(first))) + b"".join(map(self.chunks.__getitem__, rest))
 
 
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
@@ -117,8 +145,8 @@ def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                more = np.bincount(np.frombuffer(value.as_buffer(), kind))
+            for low in range(0, batch.num_rows, 256):  # the ids of many texts at once
+                more = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(low, 256).to_pylist()), kind))
                 if len(more) > len(total):
                     total, more = more.astype(np.int64), total
                 total[:len(more)] += more
@@ -294,7 +322,7 @@ def _token_table(docs: DataFrame, keys: list[str], tokenizer: str, end_id: int,
 def token_index(spark: SparkSession, out: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32, shard, block`` of every document, from a full reading of the files."""
     with arrow_bytes(spark):
-        return written(read_tokens(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "block"), "token-index")
+        return written(_decoded(spark, out, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "block"), "token-index")
 
 
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
@@ -303,6 +331,11 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     ``start`` counts the ids of all documents before it. The blocks are decoded independently;
     the offset of a block comes from the symbol counts in the block headers alone.
     """
+    return _decoded(spark, out)
+
+
+def _decoded(spark: SparkSession, out: str, with_ids: bool = True) -> DataFrame:
+    """:func:`read_tokens`; everything is decoded and summed up, but ``ids`` leave the workers only on request."""
     code = spark.read.parquet(f"{out}/code").collect()  # one row per vocabulary entry at most
     bits = np.zeros(max([r["id"] for r in code], default=0) + 1, np.int64)
     for r in code:
@@ -317,9 +350,10 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
                 ids = unpack(payload, offsets, n, *tables).astype("<u4")
                 ends = np.cumsum(np.array(lengths, np.int64))
                 starts = ends - np.array(lengths, np.int64)
-                values = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+                each = [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                values = [x.tobytes() for x in each] if with_ids else [None] * len(each)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(docs), pa.int64()), pa.array([block] * len(docs), pa.int64()), pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(values, pa.binary()), pa.array([zlib.crc32(v) for v in values], pa.int64())],
+                    [pa.array([shard] * len(docs), pa.int64()), pa.array([block] * len(docs), pa.int64()), pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(values, pa.binary()), pa.array([zlib.crc32(x) for x in each], pa.int64())],
                     ["shard", "block", "place", "doc_id", "in_block", "n_tokens", "ids", "ids_crc32"])
 
     docs = blocks.mapInArrow(run, "shard long, block long, place long, doc_id long, in_block long, n_tokens long, ids binary, ids_crc32 long")
