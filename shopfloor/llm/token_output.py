@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ STEP = 64  #: symbols between two bit-offset checkpoints
 BLOCK_SYMBOLS = 1 << 16  #: a block is closed once it holds this many symbols
 MAX_BITS = 18  #: longest code word: bounds the decoding table to 2**18 entries
 SHARD_TOKENS = 4_000_000  #: symbols of one shard, and so of one task
-CACHE_WORDS = 1_200_000  #: words and chunks whose ids a worker remembers
+TEXTS = 1024  #: texts that are encoded at a time
+CACHE_WORDS = 300_000  #: a worker forgets words and chunks once it remembers the ids of more, before the next texts
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The vocabulary's own splitting pattern, written out for texts of ASCII and Latin-1 letters only.
@@ -99,6 +101,7 @@ class TextEncoder:
 
         self.library = Tokenizer.from_file(path)
         added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.added_tokens = added
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self.kind = kind
         self.fast, self.odd = re.compile(_FAST).findall, re.compile(_ODD).search
@@ -121,6 +124,53 @@ class TextEncoder:
         first, *rest = text.split(" ")
         return b"".join(map(self.ids.__getitem__, self.fast(first))) + b"".join(map(self.chunks.__getitem__, rest))
 
+    def encode_all(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The ids of every text, as by :meth:`encode`, with ``end`` after them.
+
+        The different chunks of all ``texts`` are split into words at once, and only their words are remembered.
+        A text with an added token, or with white space after a space or a space at its end, goes through :meth:`encode`.
+        """
+        if not len(texts):
+            return pa.array([], pa.binary())
+        if len(self.ids) + len(self.chunks) > CACHE_WORDS:
+            self.ids.clear()
+            self.chunks.clear()
+        parts = pc.split_pattern(texts, " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        flat = parts.flatten().dictionary_encode()
+        bounds, chunks = bounds - bounds[0], flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = pc.utf8_slice_codeunits(flat.dictionary, 0, 1).dictionary_encode()
+        blank = np.array([not x or x.isspace() for x in first.dictionary.to_pylist()], bool)
+        whole = blank[first.indices.to_numpy()]  # chunks that are no word's beginning
+        at = flat.indices.to_numpy().astype(np.int64)
+        apart = whole[at]
+        apart[bounds[:-1]] = False  # nothing stands before the first chunk of a text
+        alone = np.logical_or.reduceat(apart, bounds[:-1])
+        for token in self.added_tokens:
+            alone |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        firsts = [self.encode(texts[i].as_py()) if alone[i] else b"".join(map(self.ids.__getitem__, self.words(chunks[at[k]]))) for i, k in enumerate(bounds[:-1].tolist())]
+        ids = self._of_chunks([x for x, y in zip(chunks, whole.tolist(), strict=True) if not y])
+        place = np.where(whole, len(ids), np.cumsum(~whole) - 1)[at]
+        place[np.repeat(alone, np.diff(bounds))] = len(ids)  # an empty one
+        place[bounds[:-1]] = len(ids) + 1 + np.arange(len(firsts))
+        found = pa.concat_arrays([ids, pa.array([b"", *firsts], pa.binary())]).take(pa.array(place))
+        ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1)[bounds]
+        whole_texts = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), found.buffers()[2]])
+        return pc.binary_join_element_wise(whole_texts, pa.scalar(end, pa.binary()), pa.scalar(b"", pa.binary()))
+
+    def words(self, text: str) -> list[str]:
+        return (self.full if self.odd(text) else self.fast)(text)
+
+    def _of_chunks(self, chunks: list[str]) -> pa.Array:
+        """The ids of a space and each of ``chunks``; none is empty or begins with white space."""
+        if not chunks:
+            return pa.array([], pa.binary())
+        words = self.words(" " + " ".join(chunks))
+        ids = pa.array(list(map(self.ids.__getitem__, words)), pa.binary())
+        starts = np.flatnonzero(pc.starts_with(pa.array(words), " ").to_numpy(zero_copy_only=False))
+        ends = np.frombuffer(ids.buffers()[1], np.int32, len(words) + 1)[np.append(starts, len(words))]
+        return pa.Array.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(ends.tobytes()), ids.buffers()[2]])
+
 
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
@@ -311,8 +361,10 @@ def _token_table(docs: DataFrame, keys: list[str], tokenizer: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer, kind), np.array([end_id], kind).tobytes()
         for batch in batches:
-            ids = pa.array([encoder.encode(x.as_py()) + end for x in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, *(batch.column(2 + i) for i in range(len(keys)))], ["doc_id", "ids", *(f"k{i}" for i in range(len(keys)))])
+            for low in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(low, TEXTS)
+                ids = encoder.encode_all(some.column(1), end)
+                yield pa.RecordBatch.from_arrays([some.column(0), ids, *(some.column(2 + i) for i in range(len(keys)))], ["doc_id", "ids", *(f"k{i}" for i in range(len(keys)))])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
     kinds = ", ".join(f"k{i} {chosen.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keys)))
