@@ -51,6 +51,8 @@ SPECIFIC = 3  #: literal words of an item that is looked up as a whole
 GAP, AGREE = 4, 3  #: words that a walk may skip on either side, and that must agree after them
 BLOCK_WINDOWS = 1_000_000
 GROUP_WORDS = 200_000  #: words of documents that are looked up at a time
+KNOWN_PIECES = 400_000  #: a worker forgets its pieces once it knows more, before the next texts
+KNOWN_KEYS = 100_000  #: words whose keys a worker remembers beside its pieces
 
 #: Words that count as a unit after a number.
 UNITS = frozenset("""
@@ -75,7 +77,7 @@ class WordKeys(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) >= KNOWN_KEYS:
             self.clear()
         self[word] = key = xxh64_intdigest(word.encode("utf-8", "replace"), 7)
         return key
@@ -177,7 +179,7 @@ class Pieces(dict):
 
     def template_keys(self, texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """By reading: the keys of the template words of all ``texts``, and the place of the border before each text."""
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN_PIECES:
             self.clear()
         border = np.array([self[_BORDERS]])
         at = np.concatenate([x for text in texts for x in (border, self.found(text))] + [border])

@@ -42,6 +42,7 @@ TEMPERATURE = 0.1
 LABEL_ROWS = 400_000
 AGAIN = 0  #: the bucket of all four-grams of one word
 SLICE = 1 << 14  #: buckets that are summed in one row
+KNOWN_WORDS = 200_000  #: words whose buckets a task remembers, some 60 MB
 
 
 class NgramBuckets(dict):
@@ -53,7 +54,7 @@ class NgramBuckets(dict):
         grams = [word]
         if len(word) > 4:
             grams += ["^" + word[:4], "^" + word[:5]]
-        if len(self) > 1_000_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = found = tuple(xxh64_intdigest(g.encode("utf-8", "replace")) % BUCKETS for g in grams)
         return found
